@@ -228,46 +228,30 @@ def dig_looks(fields: Fields) -> dict[str, Look]:
     return {"__dig_next": Ahead(fields.row(), F.col("__dig"), depth=2)}
 
 
+def followed_by_end(label: Column, next_label: Column) -> Column:
+    """Is the next dig row an end of this one?  A plain dig end also counts as
+    followed by a re-dig end, whose label contains it."""
+    return (~matches(label, DIG_END) & matches(next_label, DIG_END)) | (
+        ~matches(label, REDIG_END) & matches(next_label, REDIG_END))
+
+
 def dig_outcome(df: DataFrame, fields: Fields, own_size: bool = False) -> DataFrame:
-    """Add what each dig row becomes (``__r0_*``) and what the next one becomes
-    (``__r1_*``), in steps, since each step is used by several later ones."""
-    rows = {0: (F.col(fields.label), fields.text(fields.modifiers), fields.flag(),
-                F.col("__dig_next_1")),
-            1: (F.col("__dig_next_1")["b"], F.col("__dig_next_1")["m"],
-                F.col("__dig_next_1")["k"], F.col("__dig_next_2"))}
-
-    def step(df: DataFrame, make) -> DataFrame:
-        return df.withColumns({f"__r{i}_{k}": v for i, row in rows.items()
-                               for k, v in make(lambda c, i=i: F.col(f"__r{i}_{c}"), *row).items()})
-
-    def pairing(_, label, modifiers, check, nxt):
-        is_end = matches(label, DIG_END)
-        # A plain dig end is also followed by a re-dig end, which contains it.
-        return {"end": is_end, "loose": F.coalesce(label == LOOSE_MARKER, F.lit(False)),
-                "followed": (~is_end & matches(nxt["b"], DIG_END))
-                | (~matches(label, REDIG_END) & matches(nxt["b"], REDIG_END))}
-
-    def inherited(at, label, modifiers, check, nxt):
-        sized = matches(nxt["m"], ANY_SIZE)
-        cases = [(at("followed") & sized, nxt["m"]),
-                 (at("followed") & ~at("loose") & ~sized, F.lit(DEFAULT_OUTCOME))]
-        if own_size:
-            cases.insert(0, (at("loose") & matches(modifiers, ANY_SIZE), modifiers))
-        return {"modifiers": when_chain(cases, modifiers)}
-
-    def named(at, label, modifiers, check, nxt):
-        size = F.when(at("end"), size_label(at("modifiers"), DIG_PREFIX, lone_tiny=True))
-        return {"label": F.coalesce(size, label)}
-
-    def flagged(at, label, modifiers, check, nxt):
-        return {"check": F.when(odd_dig_end(at("label")), F.lit(True)).otherwise(check)}
-
-    def dropped(at, label, modifiers, check, nxt):
-        return {"removed": unsized_dig_end(at("label"), at("modifiers"), at("check"))}
-
-    for make in (pairing, inherited, named, flagged, dropped):
-        df = step(df, make)
-    return df
+    """Add what each dig row becomes, in steps, since later ones reuse earlier."""
+    label, modifiers = F.col(fields.label), fields.text(fields.modifiers)
+    nxt = F.col("__dig_next_1")
+    df = df.withColumns({
+        "__dig_end": matches(label, DIG_END),
+        "__loose": F.coalesce(label == LOOSE_MARKER, F.lit(False)),
+        "__followed": followed_by_end(label, nxt["b"])})
+    followed, loose = F.col("__followed"), F.col("__loose")
+    # The second case is only reached when the end names no size.
+    cases = [(followed & matches(nxt["m"], ANY_SIZE), nxt["m"]),
+             (followed & ~loose, F.lit(DEFAULT_OUTCOME))]
+    if own_size:
+        cases.insert(0, (loose & matches(modifiers, ANY_SIZE), modifiers))
+    df = df.withColumn("__dig_mods", when_chain(cases, modifiers))
+    return df.withColumn("__size", F.when(
+        F.col("__dig_end"), size_label("__dig_mods", DIG_PREFIX, lone_tiny=True)))
 
 
 def odd_dig_end(label: Column) -> Column:
@@ -279,29 +263,35 @@ def several_sizes(is_end: Column, modifiers: Column) -> Column:
     return F.when(is_end & (count_pattern(modifiers, ";") > 1), F.lit(True))
 
 
-def unsized_dig_end(label: Column, modifiers: Column, check: Column) -> Column:
-    """Flag dig ends without a size for removal unless they are under review."""
-    return F.when(check.isNull() & label.isin(*REMOVABLE_DIG_ENDS)
-                  & ~matches(modifiers, ANY_SIZE), F.lit(True))
+def unsized_dig_end(label: Column, modifiers: Column, check: Column, next_label: Column,
+                    next_modifiers: Column) -> Column:
+    """Is it a dig end that is left without a size and not under review?"""
+    sized = F.when(followed_by_end(label, next_label), matches(next_modifiers, ANY_SIZE)) \
+        .otherwise(matches(modifiers, ANY_SIZE))
+    return check.isNull() & F.coalesce(label.isin(*REMOVABLE_DIG_ENDS), F.lit(False)) & ~sized
 
 
-DIG_STEPS = tuple(f"__r{i}_{k}" for i in (0, 1) for k in
-                  ("end", "loose", "followed", "modifiers", "label", "check", "removed"))
+DIG_STEPS = ("__dig_end", "__loose", "__followed", "__dig_mods", "__size")
 
 
 def dig_patch(fields: Fields) -> dict[str, Column]:
     """The family's values, read from the columns of :func:`dig_outcome`."""
-    nxt, time = F.col("__dig_next_1"), F.col(fields.time)
-    followed, loose = F.col("__r0_followed"), F.col("__r0_loose")
-    end_sec = when_chain([(~followed & ~F.col("__r0_end") & ~loose, time + 1),
+    nxt, after = F.col("__dig_next_1"), F.col("__dig_next_2")
+    label, time = F.col(fields.label), F.col(fields.time)
+    modifiers, check = fields.text(fields.modifiers), fields.flag()
+    followed, loose, is_end = F.col("__followed"), F.col("__loose"), F.col("__dig_end")
+    end_sec = when_chain([(~followed & ~is_end & ~loose, time + 1),
                           (followed & ~loose, nxt["t"])])
+    gone_next = unsized_dig_end(nxt["b"], nxt["m"], nxt["k"], after["b"], after["m"])
     values = {
-        "end_sec": end_sec, "duration": end_sec - time, "modifiers": F.col("__r0_modifiers"),
-        "comments": inherit_comments(F.col("__r1_removed"), nxt["c"],
-                                     fields.text(fields.comments)),
-        "check": F.col("__r0_check"), "removed": F.col("__r0_removed"),
-        "label": F.col("__r0_label"),
-        "several": several_sizes(F.col("__r0_end"), F.col("__r0_modifiers"))}
+        "end_sec": end_sec, "duration": end_sec - time, "modifiers": F.col("__dig_mods"),
+        "comments": inherit_comments(gone_next, nxt["c"], fields.text(fields.comments)),
+        "check": F.when(F.col("__size").isNull() & odd_dig_end(label), F.lit(True))
+        .otherwise(check),
+        "removed": F.when(unsized_dig_end(label, modifiers, check, nxt["b"], nxt["m"]),
+                          F.lit(True)),
+        "label": F.coalesce("__size", label),
+        "several": several_sizes(is_end, F.col("__dig_mods"))}
     return {k: F.when(F.col("__dig"), v) for k, v in values.items()}
 
 

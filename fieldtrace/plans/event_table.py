@@ -19,7 +19,7 @@ from ..functions.logic import keyword_label, matches, review_flag
 from ..functions.text import (compose_id, count_pattern, extract_bracketed,
                               merge_tags, normalize_direction, replace_map,
                               size_label, trim_blanks)
-from ..operators.columns import cast_columns, order_columns, trim_all
+from ..operators.columns import cast_columns, order_columns, quoted, trim_all
 from ..operators.intervals import (FAMILIES, STOPS_AS_WRITTEN, STOPS_DIG_ONLY,
                                    FamilySpec, Fields, dig_flags, dig_looks,
                                    dig_outcome, dig_patch, other_looks,
@@ -77,11 +77,12 @@ def event_table(log: DataFrame, dictionary: DataFrame, *,
     small = fits_broadcast(dictionary)
 
     def work(rows: DataFrame, timeline: Timeline) -> DataFrame:
-        rows = raw_pass(normalize(rows), timeline, fixes)
+        rows = list_tags(normalize(rows), fixes, on_mismatch)
+        rows, packed = pack(rows)
+        rows = raw_pass(rows, timeline, fixes)
         rows = family_pass(timeline.settle(rows), timeline, fixes)
-        rows = list_tags(rows, fixes, on_mismatch)
         rows = marker_pass(timeline.settle(rows), timeline, fixes)
-        rows = split_sizes(rows, fixes)
+        rows = split_sizes(unpack(rows, packed), fixes)
         rows = split_tags(rows)
         rows = tags_to_labels(rows, fixes)
         rows = relabel(rows, dictionary, small=small)
@@ -103,6 +104,26 @@ def normalize(df: DataFrame) -> DataFrame:
         "location": keyword_label(focal, PLACES)}).drop("time_raw")
 
 
+# Columns the look-up passes work on.
+_ACTIVE = ("session_id", "seq", "st_sec", "behavior", "modifiers", "comments", "check",
+           "kmp_id", "location", "date")
+
+
+def pack(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Hold every other column in one struct while the look-ups run: sorting and
+    windows then copy one value instead of a few dozen."""
+    active = [c for c in df.columns if c in _ACTIVE or c.startswith("__b")]
+    packed = [c for c in df.columns if c not in active]
+    last_tag = F.element_at("__l_agg_sub", -1).alias("last_tag")
+    held = F.struct(*[F.col(quoted(c)).alias(c) for c in packed]).alias("packed")
+    return df.select(*active, last_tag, held), packed
+
+
+def unpack(df: DataFrame, packed: list[str]) -> DataFrame:
+    kept = [c for c in df.columns if c != "packed"]
+    return df.select(*kept, *[F.col("packed")[c].alias(c) for c in packed])
+
+
 def families(fixes: frozenset[str]) -> dict[str, FamilySpec]:
     specs = dict(FAMILIES)
     if "gt_first" in fixes:
@@ -217,7 +238,7 @@ def marker_pass(df: DataFrame, timeline: Timeline, fixes: frozenset[str]) -> Dat
     df = df.withColumn("stays", stays)
     label = F.col("written") if "near_original" in fixes else F.col("behavior")
     df = timeline.look(df, **near_looks(label, ~F.col("gone")),
-                       tag_before=Behind(F.element_at("__l_agg_sub", -1), F.col("stays")))
+                       tag_before=Behind(F.col("last_tag"), F.col("stays")))
     df = df.where(F.col("stays"))
     df = df.withColumns({"sized": is_sized_loose(), "near": is_near(),
                          "wide": F.coalesce(count_pattern(m, ";") > 1, F.lit(False))})
@@ -242,8 +263,8 @@ def split_sizes(df: DataFrame, fixes: frozenset[str]) -> DataFrame:
     df = explode_sizes(df, F.col("several") & F.col("check").isNull(), found=found)
     first = (F.col("size_pos") == 0) & ((F.col("marker_rank") == 0) | ~F.col("copied"))
     return (df.withColumn("tag_before", F.when(first, F.col("tag_before"))
-                          .otherwise(F.element_at("__l_agg_sub", -1)))
-            .drop("several", "found", "copied"))
+                          .otherwise(F.col("last_tag")))
+            .drop("last_tag", "several", "found", "copied"))
 
 
 def split_tags(df: DataFrame) -> DataFrame:
