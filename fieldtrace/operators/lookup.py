@@ -41,8 +41,7 @@ def relabel(df: DataFrame, dictionary: DataFrame, col: str = "behavior",
         joined = df.join(entries, F.lower(col).eqNullSafe(F.col("__key")), "left")
     else:
         salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS))
-        spread = entries.withColumn(
-            "__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        spread = entries.withColumn("__salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
         joined = df.withColumn("__own", salt).join(
             spread, F.lower(col).eqNullSafe(F.col("__key"))
             & (F.col("__own") == F.col("__salt")), "left").drop("__own", "__salt")

@@ -44,7 +44,7 @@ def from_headings(df: DataFrame) -> DataFrame:
 
 
 def read_sessions(spark: SparkSession, path: str, *, fmt: str = "parquet",
-                  schema: T.StructType | None = LOG_SCHEMA,
+                  schema: T.StructType | str | None = LOG_SCHEMA,
                   sessions: Sequence[str] | None = None,
                   options: Mapping[str, str] | None = None,
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -95,13 +95,16 @@ def name_sessions(df: DataFrame, catalogue: DataFrame, position: str = "sheet_no
 
 def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet",
                    order: Sequence[str] = ("row_order",), keep_order: bool = False,
-                   options: Mapping[str, str] | None = None) -> None:
+                   ranged: bool = False, options: Mapping[str, str] | None = None) -> None:
     """One directory per session, rows in order inside each file; overwrites.
 
-    Rows are already grouped by session, so sorting inside partitions is enough
-    and each task has one file open at a time.
+    The event table is already grouped by session, so sorting inside partitions
+    is enough and each task has one file open at a time.  ``ranged`` shuffles by
+    session and order first: for rows that are not grouped yet, and for long
+    sessions, whose files then follow each other in the order of their names.
     """
-    ordered = df.sortWithinPartitions("session_id", *order)
+    placed = df.repartitionByRange("session_id", *order) if ranged else df
+    ordered = placed.sortWithinPartitions("session_id", *order)
     out = ordered if keep_order else ordered.drop(*order)
     (out.write.mode("overwrite").options(**dict(options or {}))
      .partitionBy("session_id").format(fmt).save(path))

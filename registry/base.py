@@ -12,12 +12,12 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None) -> Callable[[Query], Query]:
-    """Register a query under its function name, with its oracle if any."""
+def query(sql: str | None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, by default under its function name, with its oracle if any."""
     def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        QUERIES[name or fn.__name__] = fn
         if sql is not None:
-            ORACLES[fn.__name__] = sql
+            ORACLES[name or fn.__name__] = sql
         return fn
     return add
 

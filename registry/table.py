@@ -77,8 +77,8 @@ def bare_direction(col: str) -> str:
 SCAN = "Nearest neigh.|Other vig."
 NONE = "CAST(NULL AS BOOLEAN)"
 
-STAGES_SQL = f"""WITH {LOG_SQL},
-{DICTIONARY_SQL},
+# CTEs up to ``raw``: ids, place, previous label and review flag per row.
+RAW_SQL = f"""{LOG_SQL},
 ids AS (
   SELECT *, array_to_string(regexp_extract_all(focal_individual, '\\(([^()]*)\\)', 1), '') AS own_id,
          lag(behavior) OVER (PARTITION BY session_id ORDER BY seq) AS previous
@@ -94,25 +94,34 @@ raw AS (
     sum(CASE WHEN {has('behavior', 'Start focal')} THEN 1 ELSE 0 END)
       OVER (PARTITION BY session_id ORDER BY seq) AS focal_no,
     CASE WHEN pup_care IS NOT NULL THEN true END AS check_flag
-  FROM ids),
-{family_sql('ga', 'GA', has('behavior', 'GA'),
+  FROM ids)"""
+
+FAMILY_SQL = {
+    "ga": family_sql(
+        "ga", 'GA', has('behavior', 'GA'),
             "CASE WHEN followed THEN nt WHEN NOT is_end THEN st_sec + 1 END",
-            "followed", "check_flag", "ck IS NULL")},
-{family_sql('gt', 'GT', has('behavior', 'GT') + " AND " + has('previous', 'GT')
+            "followed", "check_flag", "ck IS NULL"),
+    "gt": family_sql(
+        "gt", 'GT', has('behavior', 'GT') + " AND " + has('previous', 'GT')
             + " AND NOT " + has('behavior', 'GT other'),
             "CASE WHEN followed OR NOT is_end THEN nt END",
-            "followed", "check_flag", "ck IS NULL")},
-{family_sql('burr', 'Burr/BH renn', "behavior IS NOT NULL AND (" + has('behavior', 'Burr/BH renn')
+            "followed", "check_flag", "ck IS NULL"),
+    "burr": family_sql(
+        "burr", 'Burr/BH renn', "behavior IS NOT NULL AND (" + has('behavior', 'Burr/BH renn')
             + " OR " + has('previous', 'Burr/BH renn') + ")",
             "CASE WHEN NOT is_end THEN nt END", "followed AND NOT is_end", "check_flag",
-            "ck IS NULL", has('behavior', 'Burr/BH renn'))},
-{family_sql('inburr', 'In burr/BH', has('behavior', 'In burr/BH'),
+            "ck IS NULL", has('behavior', 'Burr/BH renn')),
+    "inburr": family_sql(
+        "inburr", 'In burr/BH', has('behavior', 'In burr/BH'),
             "CASE WHEN followed AND NOT is_end THEN nt END", "followed AND NOT is_end",
-            "CASE WHEN NOT followed AND NOT is_end THEN true ELSE check_flag END", "ck IS NULL")},
-{family_sql('oov', 'Out of view', has('behavior', 'Out of view'),
+            "CASE WHEN NOT followed AND NOT is_end THEN true ELSE check_flag END", "ck IS NULL"),
+    "oov": family_sql(
+        "oov", 'Out of view', has('behavior', 'Out of view'),
             "CASE WHEN followed AND NOT is_end THEN nt END", "followed AND NOT is_end",
-            f"CASE WHEN NOT followed AND NOT is_end THEN true ELSE {NONE} END", "ck IS NULL")},
-kept AS (
+            f"CASE WHEN NOT followed AND NOT is_end THEN true ELSE {NONE} END", "ck IS NULL"),
+}
+
+BY_OTHER_SQL = f"""kept AS (
   SELECT *, lead(behavior) OVER w AS nb, lead(st_sec) OVER w AS nt FROM raw
   WHERE NOT coalesce({hits('behavior', SCAN)} AND {semis('behavior')} = 0, false)
   WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
@@ -120,10 +129,9 @@ by_other AS (
   SELECT session_id, seq, nt AS end_sec, nt - st_sec AS duration, modifiers, comments,
          check_flag, {NONE} AS removed
   FROM kept WHERE {has('behavior', 'Dig')} AND NOT {has('behavior', 'End')}
-    AND NOT {has('nb', 'End', 'Dig')}),
-base0 AS (SELECT *, CAST(NULL AS BIGINT) AS end_sec, CAST(NULL AS BIGINT) AS duration FROM raw),
-{lay_sql('base1', 'base0', 'by_other')},
-dig_rows AS (
+    AND NOT {has('nb', 'End', 'Dig')})"""
+
+DIG_SQL = f"""dig_rows AS (
   SELECT r.*, lead(behavior) OVER w AS nb, lead(r.st_sec) OVER w AS nt,
          lead(r.modifiers) OVER w AS nm
   FROM raw r ANTI JOIN by_other o USING (session_id, seq)
@@ -160,7 +168,15 @@ dig AS (
          CASE WHEN nc IS NULL THEN comments WHEN nr THEN nc END AS comments,
          ck AS check_flag, removed, named, several
   FROM (SELECT *, lead(comments) OVER w AS nc, lead(removed) OVER w AS nr FROM dig_gone
-        WINDOW w AS (PARTITION BY session_id ORDER BY seq))),
+        WINDOW w AS (PARTITION BY session_id ORDER BY seq)))"""
+
+STAGES_SQL = f"""WITH {RAW_SQL},
+{DICTIONARY_SQL},
+{','.join(FAMILY_SQL.values())},
+{BY_OTHER_SQL},
+base0 AS (SELECT *, CAST(NULL AS BIGINT) AS end_sec, CAST(NULL AS BIGINT) AS duration FROM raw),
+{lay_sql('base1', 'base0', 'by_other')},
+{DIG_SQL},
 {lay_sql('base2', 'base1', 'ga')},
 {lay_sql('base3', 'base2', 'inburr')},
 {lay_sql('base4', 'base3', 'gt')},
