@@ -8,23 +8,26 @@ from pyspark.sql import functions as F
 from ..vocabulary import CLOCK_PREFIX, DATE_SUFFIX, SECONDS_PER_DAY
 from .logic import as_column
 
-_CLOCK = r"^(\d{1,2}):(\d{2}):(\d{2})$"
+_CLOCK = r"^\d{1,2}:\d{2}:\d{2}$"
 
 
 def fraction_to_seconds(col: Column | str) -> Column:
-    """Day fraction below 1 to whole seconds, halves to even; else null."""
-    day = as_column(col).try_cast("double")
+    """Day fraction below 1 to whole seconds, halves to even; else null.
+
+    Texts with a colon are not tried as numbers: a failed cast is costly.
+    """
+    text = as_column(col)
+    day = F.when(~text.contains(":"), text.try_cast("double"))
     return F.when(day < 1, F.rint(day * SECONDS_PER_DAY).cast("bigint"))
 
 
 def clock_to_seconds(col: Column | str, prefix: str = CLOCK_PREFIX) -> Column:
     """``[prefix]HH:MM:SS`` to seconds; null when the text is not a clock time."""
     text = F.replace(as_column(col), F.lit(prefix), F.lit(""))
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, _CLOCK, i).try_cast("bigint")
-
-    return part(1) * 3600 + part(2) * 60 + part(3)
+    hours = F.substring_index(text, ":", 1).cast("bigint")
+    minutes = F.substr(text, F.lit(-5), F.lit(2)).cast("bigint")
+    seconds = F.substr(text, F.lit(-2)).cast("bigint")
+    return F.when(text.rlike(_CLOCK), hours * 3600 + minutes * 60 + seconds)
 
 
 def normalize_time(col: Column | str) -> Column:
@@ -32,13 +35,19 @@ def normalize_time(col: Column | str) -> Column:
     return F.coalesce(fraction_to_seconds(col), clock_to_seconds(col))
 
 
+def _two_digits(number: Column) -> Column:
+    text = number.cast("string")
+    return F.when(number < 10, F.concat(F.lit("0"), text)).otherwise(text)
+
+
 def format_clock(seconds: Column | str) -> Column:
     """Seconds to ``HH:MM:SS``; negative spans get a leading minus sign."""
     s = as_column(seconds).cast("bigint")
     size = F.abs(s)
-    text = F.format_string("%02d:%02d:%02d", F.floor(size / 3600),
-                           F.floor(size / 60) % 60, size % 60)
-    return F.when(s < 0, F.concat(F.lit("-"), text)).when(s >= 0, text)
+    hours = F.floor(size / 3600)
+    return F.concat(
+        F.when(s < 0, F.lit("-")).otherwise(F.lit("")), _two_digits(hours), F.lit(":"),
+        _two_digits(F.floor(size / 60) % 60), F.lit(":"), _two_digits(size % 60))
 
 
 def clean_date(col: Column | str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PLAIN = re.compile(r"\^?[^\\.\[\](){}*+?^$]+")
+_STEM = re.compile(r"([^\\.\[\](){}*+?^$]+)\.")
 
 
 def as_column(col: Column | str) -> Column:
@@ -21,18 +22,24 @@ def matches(col: Column | str, pattern: str) -> Column:
     """Regex test in which a null text does not match (never null).
 
     Alternatives that are plain words become substring or prefix tests, which
-    are much cheaper per row than a regex.
+    are much cheaper per row than a regex; words that end in a wildcard are
+    tested for their stem first.
     """
-    text = as_column(col)
-    words = pattern.split("|")
+    text, words = as_column(col), pattern.split("|")
     if all(_PLAIN.fullmatch(w) for w in words):
-        test = reduce(or_, [text.startswith(w[1:]) if w[0] == "^" else text.contains(w)
-                            for w in words])
+        test = _any_word(text, words)
+    elif all(_STEM.fullmatch(w) for w in words):
+        test = _any_word(text, [w[:-1] for w in words]) & text.rlike(pattern)
     else:
         test = text.rlike(pattern)
     return F.coalesce(test, F.lit(False))
 
 
+def _any_word(text: Column, words: Sequence[str]) -> Column:
+    return reduce(or_, [text.startswith(w[1:]) if w[0] == "^" else text.contains(w)
+                        for w in words])
+
+
 def na_ifelse(cond: Column, yes: Column, no: Column) -> Column:
     """Two-way choice in which a null condition gives null, not ``no``."""
     return F.when(cond, yes).when(~cond, no)

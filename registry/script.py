@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldtrace.functions import format_clock
 from fieldtrace.operators import long_sessions, row_sequence
 
 from .base import table
@@ -118,10 +119,7 @@ def lay_script(rows: DataFrame) -> DataFrame:
         [(i, *r) for i, r in enumerate(SCRIPT)],
         "idx bigint, " + ", ".join(f"{c} string" for c in CELLS))
     second = F.lit(21600) + 13 * F.col("seq") + F.col("event_id") % 7
-    day = F.concat(
-        F.lit("1899-12-31 "),
-        F.format_string("%02d:%02d:%02d", F.floor(F.col("__sec") / 3600),
-                        F.floor(F.col("__sec") / 60) % 60, F.col("__sec") % 60))
+    day = F.concat(F.lit("1899-12-31 "), format_clock("__sec"))
     fraction = (F.col("__sec") / F.lit(86400.0)).cast("string")
     user = F.col("session_id")
     return (rows.withColumn("__sec", second)
