@@ -29,6 +29,9 @@ BLOCK_ROWS = 2_000_000
 # Long-session keys are broadcast up to this many; beyond it all rows are cut.
 MAX_BROADCAST_KEYS = 200_000
 
+# Stands for "count the rows per session first".
+MEASURE = "measure"
+
 _BLOCK = "__block"
 
 
@@ -266,11 +269,17 @@ def _apart(df: DataFrame, keys: Sequence[str],
 
 def per_session(df: DataFrame, work: Callable[[DataFrame, Timeline], DataFrame],
                 keys: Sequence[str] = ("session_id",), order: Sequence[str] = ("seq",),
-                long: DataFrame | None = None,
+                long: DataFrame | str | None = MEASURE,
                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Run ``work`` over every session: ordinary ones in one window pass,
-    the ones listed in ``long`` (see :func:`long_sessions`) block by block."""
+    the ones listed in ``long`` block by block.
+
+    ``long`` is what :func:`long_sessions` found, None if it is known that there
+    are none; by default it is found here.
+    """
     plain = Timeline(tuple(keys), tuple(order))
+    if isinstance(long, str):
+        long = long_sessions(df, keys, block_rows)
     if long is None:
         return work(df, plain)
     blocked = replace(plain, block_rows=block_rows)
@@ -280,7 +289,7 @@ def per_session(df: DataFrame, work: Callable[[DataFrame, Timeline], DataFrame],
 
 
 def row_sequence(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-                 name: str = "seq", long: DataFrame | None = None) -> DataFrame:
+                 name: str = "seq", long: DataFrame | str | None = MEASURE) -> DataFrame:
     """Number the rows of each session from 1 in the given total order.
 
     Long sessions are sorted globally, so that a session spans many tasks, and
@@ -292,6 +301,8 @@ def row_sequence(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
         w = Window.partitionBy(*keys).orderBy(*by)
         return part.withColumn(name, F.row_number().over(w).cast("bigint"))
 
+    if isinstance(long, str):
+        long = long_sessions(df, keys)
     if long is None:
         return in_window(df)
     ordinary, lengthy = _apart(df, keys, long)

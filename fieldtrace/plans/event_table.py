@@ -32,8 +32,8 @@ from ..operators.rows import (NEAR_COLUMNS, as_lists, duplicate_where,
                               is_sized_loose, mirror_partner, near_looks,
                               outcome_of, piece, places, residual_text,
                               splits_approach, two_small)
-from ..operators.timeline import (BLOCK_ROWS, Behind, Latest, Running,
-                                  Timeline, per_session)
+from ..operators.timeline import (BLOCK_ROWS, MEASURE, Behind, Latest,
+                                  Running, Timeline, per_session)
 from ..vocabulary import (CATEGORIES, DIG_PREFIX, FOUND_PREFIX, PLACES,
                           REPORT_HEADINGS, SECONDS_PER_DAY, SESSION_START,
                           WRESTLE_MAP)
@@ -60,13 +60,13 @@ _TAGS = ("agg_sub", "play", "olfactory")
 
 def event_table(log: DataFrame, dictionary: DataFrame, *,
                 repair: Collection[str] = (), on_mismatch: str = "raise",
-                long: DataFrame | None = None,
+                long: DataFrame | str | None = MEASURE,
                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The tidy event table of all sessions.
 
     ``log`` has ``session_id``, ``seq`` (dense from 1) and the raw columns of
     the log schema; ``dictionary`` has ``behavior, replacement, dict_seq``.
-    ``long`` lists sessions that need block-wise work (see ``long_sessions``).
+    ``long`` lists sessions that need block-wise work (see ``per_session``).
     The struct ``row_order`` sorts rows inside a session; :func:`report` gives
     the final headings.
     """

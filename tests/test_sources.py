@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldtrace import read_dictionary, read_sessions, report, write_sessions, write_table
 from fieldtrace import functions as fx
 from fieldtrace import operators as op
+from fieldtrace.__main__ import main
 from fieldtrace.operators.rows import residual_text
 from fieldtrace.plans import event_table
 from fieldtrace.sources import LOG_SCHEMA
@@ -117,3 +118,14 @@ def test_overlay_matches_null_keys_and_is_idempotent(spark):
     once = op.overlay(base, patch, ["k", "d"], ["v"], "gone")
     assert as_rows(once) == [(1, None, "A"), (2, "d", "b")]
     assert as_rows(op.overlay(once, patch, ["k", "d"], ["v"], "gone")) == as_rows(once)
+
+
+@pytest.mark.parametrize("flags", [[], ["--single", "--repair", "keep_partner"]])
+def test_batch_job(spark, tmp_path, flags):
+    log_of(spark, SESSIONS).write.parquet(str(tmp_path / "log"))
+    spark.createDataFrame([("GA", "x", 1)], "behavior string, replacement string, dict_seq bigint"
+                          ).write.parquet(str(tmp_path / "words"))
+    main([str(tmp_path / "log"), str(tmp_path / "words"), str(tmp_path / "out"),
+          "--sessions", "s1", *flags])
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert as_rows(back, "session_id", "Behavior") == [("s1", "Dig"), ("s1", "x")]
