@@ -67,11 +67,11 @@ def normalize_direction(col: Column | str, guard: Column | str | None = None) ->
     ``guard`` is the text tested for ``Initiate``; by default the column itself.
     """
     raw = as_column(col)
-    directed = matches(raw, "Initiate; |Receive; ")
+    directed = matches(col, "Initiate; |Receive; ")
     joined = F.when(directed, replace_map(raw, DIRECTION_MAP)).otherwise(raw)
     single = directed & F.coalesce(count_pattern(raw, ";") == 1, F.lit(False))
-    guarded = matches(raw if guard is None else guard, "Initiate")
-    spread = matches(raw, "^Receive; ") & ~single & ~guarded
+    guarded = matches(col if guard is None else guard, "Initiate")
+    spread = matches(col, "^Receive; ") & ~single & ~guarded
     return F.when(spread, F.replace(joined, F.lit(";"), F.lit("; Receive"))).otherwise(joined)
 
 
@@ -81,8 +81,9 @@ def size_label(modifiers: Column | str, prefix: str, *, lone_tiny: bool) -> Colu
     ``lone_tiny`` also labels a bare ``Tiny``.
     """
     m = as_column(modifiers)
-    cases = [(matches(m, w), F.lit(prefix + w.lower())) for w in ("Small", "Medium", "Large")]
-    cases.append((matches(m, TINY_FEW), F.lit(prefix + "tiny.few")))
+    cases = [(matches(modifiers, w), F.lit(prefix + w.lower()))
+             for w in ("Small", "Medium", "Large")]
+    cases.append((matches(modifiers, TINY_FEW), F.lit(prefix + "tiny.few")))
     cases.append((m == TINY_MANY, F.lit(prefix + "tiny.many")))
     if lone_tiny:
         cases.append((m == "Tiny", F.lit(prefix + "tiny")))

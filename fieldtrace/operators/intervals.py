@@ -78,7 +78,7 @@ class FamilySpec:
     def flags(self, fields: Fields, previous: Column | None = None) -> dict[str, Column]:
         """Label tests, as columns, so that they are evaluated once per row:
         rows the family changes, end markers, and rows that only end a state."""
-        label = F.col(fields.label)
+        label = fields.label
         hit, allowed = matches(label, self.start), F.lit(True)
         if self.exclude is not None:
             allowed = ~matches(label, self.exclude)
@@ -87,7 +87,7 @@ class FamilySpec:
             out[self.flag("own")] = hit & allowed & matches(previous, self.start)
         elif self.members == "touch":
             out[self.flag("after")] = (matches(previous, self.start) & allowed
-                                       & label.isNotNull())
+                                       & F.col(label).isNotNull())
         return out
 
     def looks(self, fields: Fields) -> dict[str, Look]:
@@ -201,9 +201,9 @@ def dig_flags(fields: Fields, stops: str = STOPS_AS_WRITTEN) -> dict[str, Column
     """``__other``: digs whose next row, scan rows aside, is no dig or end.
     ``__dig``: every other dig row, dig end and loose marker."""
     label = F.col(fields.label)
-    dig, loose = matches(label, DIG), F.coalesce(label == LOOSE_MARKER, F.lit(False))
-    other = (dig & ~is_scan_only(label) & ~matches(label, "End")
-             & ~matches(F.col("__kept_next")["b"], stops))
+    dig, loose = matches(fields.label, DIG), F.coalesce(label == LOOSE_MARKER, F.lit(False))
+    other = (dig & ~is_scan_only(label) & ~matches(fields.label, "End")
+             & ~matches("__kept_next.b", stops))
     return {"__other": other, "__dig": ~other & (dig | loose)}
 
 
@@ -228,7 +228,7 @@ def dig_looks(fields: Fields) -> dict[str, Look]:
     return {"__dig_next": Ahead(fields.row(), F.col("__dig"), depth=2)}
 
 
-def followed_by_end(label: Column, next_label: Column) -> Column:
+def followed_by_end(label: Column | str, next_label: Column | str) -> Column:
     """Is the next dig row an end of this one?  A plain dig end also counts as
     followed by a re-dig end, whose label contains it."""
     return (~matches(label, DIG_END) & matches(next_label, DIG_END)) | (
@@ -237,15 +237,14 @@ def followed_by_end(label: Column, next_label: Column) -> Column:
 
 def dig_outcome(df: DataFrame, fields: Fields, own_size: bool = False) -> DataFrame:
     """Add what each dig row becomes, in steps, since later ones reuse earlier."""
-    label, modifiers = F.col(fields.label), fields.text(fields.modifiers)
-    nxt = F.col("__dig_next_1")
+    label, modifiers = fields.label, fields.text(fields.modifiers)
     df = df.withColumns({
         "__dig_end": matches(label, DIG_END),
-        "__loose": F.coalesce(label == LOOSE_MARKER, F.lit(False)),
-        "__followed": followed_by_end(label, nxt["b"])})
+        "__loose": F.coalesce(F.col(label) == LOOSE_MARKER, F.lit(False)),
+        "__followed": followed_by_end(label, "__dig_next_1.b")})
     followed, loose = F.col("__followed"), F.col("__loose")
     # The second case is only reached when the end names no size.
-    cases = [(followed & matches(nxt["m"], ANY_SIZE), nxt["m"]),
+    cases = [(followed & matches("__dig_next_1.m", ANY_SIZE), F.col("__dig_next_1.m")),
              (followed & ~loose, F.lit(DEFAULT_OUTCOME))]
     if own_size:
         cases.insert(0, (loose & matches(modifiers, ANY_SIZE), modifiers))
@@ -254,21 +253,22 @@ def dig_outcome(df: DataFrame, fields: Fields, own_size: bool = False) -> DataFr
         F.col("__dig_end"), size_label("__dig_mods", DIG_PREFIX, lone_tiny=True)))
 
 
-def odd_dig_end(label: Column) -> Column:
+def odd_dig_end(label: str) -> Column:
     """A dig end in none of the accepted spellings."""
-    return matches(label, DIG_END) & ~label.isin(*ACCEPTED_DIG_ENDS)
+    return matches(label, DIG_END) & ~F.col(label).isin(*ACCEPTED_DIG_ENDS)
 
 
 def several_sizes(is_end: Column, modifiers: Column) -> Column:
     return F.when(is_end & (count_pattern(modifiers, ";") > 1), F.lit(True))
 
 
-def unsized_dig_end(label: Column, modifiers: Column, check: Column, next_label: Column,
-                    next_modifiers: Column) -> Column:
+def unsized_dig_end(label: str, modifiers: Column | str, check: Column, next_label: str,
+                    next_modifiers: str) -> Column:
     """Is it a dig end that is left without a size and not under review?"""
     sized = F.when(followed_by_end(label, next_label), matches(next_modifiers, ANY_SIZE)) \
         .otherwise(matches(modifiers, ANY_SIZE))
-    return check.isNull() & F.coalesce(label.isin(*REMOVABLE_DIG_ENDS), F.lit(False)) & ~sized
+    removable = F.coalesce(F.col(label).isin(*REMOVABLE_DIG_ENDS), F.lit(False))
+    return check.isNull() & removable & ~sized
 
 
 DIG_STEPS = ("__dig_end", "__loose", "__followed", "__dig_mods", "__size")
@@ -276,21 +276,21 @@ DIG_STEPS = ("__dig_end", "__loose", "__followed", "__dig_mods", "__size")
 
 def dig_patch(fields: Fields) -> dict[str, Column]:
     """The family's values, read from the columns of :func:`dig_outcome`."""
-    nxt, after = F.col("__dig_next_1"), F.col("__dig_next_2")
-    label, time = F.col(fields.label), F.col(fields.time)
-    modifiers, check = fields.text(fields.modifiers), fields.flag()
+    nxt, time, check = F.col("__dig_next_1"), F.col(fields.time), fields.flag()
+    modifiers = fields.modifiers or F.lit(None).cast("string")
     followed, loose, is_end = F.col("__followed"), F.col("__loose"), F.col("__dig_end")
     end_sec = when_chain([(~followed & ~is_end & ~loose, time + 1),
                           (followed & ~loose, nxt["t"])])
-    gone_next = unsized_dig_end(nxt["b"], nxt["m"], nxt["k"], after["b"], after["m"])
+    gone = unsized_dig_end(fields.label, modifiers, check, "__dig_next_1.b", "__dig_next_1.m")
+    gone_next = unsized_dig_end("__dig_next_1.b", "__dig_next_1.m", nxt["k"],
+                                "__dig_next_2.b", "__dig_next_2.m")
     values = {
         "end_sec": end_sec, "duration": end_sec - time, "modifiers": F.col("__dig_mods"),
         "comments": inherit_comments(gone_next, nxt["c"], fields.text(fields.comments)),
-        "check": F.when(F.col("__size").isNull() & odd_dig_end(label), F.lit(True))
+        "check": F.when(F.col("__size").isNull() & odd_dig_end(fields.label), F.lit(True))
         .otherwise(check),
-        "removed": F.when(unsized_dig_end(label, modifiers, check, nxt["b"], nxt["m"]),
-                          F.lit(True)),
-        "label": F.coalesce("__size", label),
+        "removed": F.when(gone, F.lit(True)),
+        "label": F.coalesce("__size", fields.label),
         "several": several_sizes(is_end, F.col("__dig_mods"))}
     return {k: F.when(F.col("__dig"), v) for k, v in values.items()}
 

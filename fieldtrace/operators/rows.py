@@ -149,7 +149,8 @@ def explode_sizes(df: DataFrame, several: Column, *, label: str = "behavior",
                "TinyFew": "tiny.few", "TinyMany": "tiny.many"}
     hit = F.coalesce(several, F.lit(False))
     # No size at all gives one empty token.
-    sizes = F.split(F.concat_ws(";", *[F.when(matches(m, t), F.lit(n)) for t, n in tests]), ";")
+    sizes = F.split(F.concat_ws(";", *[F.when(matches(modifiers, t), F.lit(n))
+                                       for t, n in tests]), ";")
     tokens = F.when(hit, sizes).otherwise(F.array(F.lit(None).cast("string")))
     rows = (df.withColumns({"__hit": hit,
                             "__found": F.lit(False) if found is None
@@ -200,8 +201,8 @@ def mirror_partner(df: DataFrame, *, keep_partner: bool = False, literal: bool =
     ``literal`` and ``keep_partner`` mend that.
     """
     p = F.col(partner)
-    both = (matches(p, RECEIVED) & ~matches(label, APPROACH)
-            & F.coalesce(F.col(tags) == "", F.lit(False)) & matches(p, "|".join(MUTUAL)))
+    both = (matches(partner, RECEIVED) & ~matches(label, APPROACH)
+            & F.coalesce(F.col(tags) == "", F.lit(False)) & matches(partner, "|".join(MUTUAL)))
     df = df.withColumn("__both", both)
     other = p if keep_partner else F.lit(None).cast("string")
     df = df.withColumn(partner, F.when(F.col("__both"), replace_first(p, RECEIVED_ITEM, ""))

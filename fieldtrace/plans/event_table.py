@@ -19,7 +19,7 @@ from ..functions.logic import keyword_label, matches, review_flag
 from ..functions.text import (compose_id, count_pattern, extract_bracketed,
                               merge_tags, normalize_direction, replace_map,
                               size_label, trim_blanks)
-from ..operators.columns import cast_columns, order_columns, quoted, trim_all
+from ..operators.columns import order_columns, quoted, trim_all
 from ..operators.intervals import (FAMILIES, STOPS_AS_WRITTEN, STOPS_DIG_ONLY,
                                    FamilySpec, Fields, dig_flags, dig_looks,
                                    dig_outcome, dig_patch, other_looks,
@@ -77,12 +77,11 @@ def event_table(log: DataFrame, dictionary: DataFrame, *,
     small = fits_broadcast(dictionary)
 
     def work(rows: DataFrame, timeline: Timeline) -> DataFrame:
-        rows = list_tags(normalize(rows), fixes, on_mismatch)
-        rows, packed = pack(rows)
+        rows = pack(list_tags(normalize(rows), fixes, on_mismatch))
         rows = raw_pass(rows, timeline, fixes)
         rows = family_pass(timeline.settle(rows), timeline, fixes)
         rows = marker_pass(timeline.settle(rows), timeline, fixes)
-        rows = split_sizes(unpack(rows, packed), fixes)
+        rows = split_sizes(unpack(rows), fixes)
         rows = split_tags(rows)
         rows = tags_to_labels(rows, fixes)
         rows = relabel(rows, dictionary, small=small)
@@ -95,13 +94,13 @@ def event_table(log: DataFrame, dictionary: DataFrame, *,
 
 def normalize(df: DataFrame) -> DataFrame:
     """Time, tag types, ids as written in the row, place and review flag."""
-    df = cast_columns(df, _TAGS)
     focal = F.col("focal_individual")
     return df.withColumns({
+        **{c: F.col(c).cast("string") for c in _TAGS},
         "st_sec": normalize_time("time_raw"),
         "check": review_flag("pup_care", F.lit(None).cast("boolean")),
         "kmp_id": extract_bracketed(focal),
-        "location": keyword_label(focal, PLACES)}).drop("time_raw")
+        "location": keyword_label("focal_individual", PLACES)}).drop("time_raw")
 
 
 # Columns the look-up passes work on.
@@ -109,19 +108,17 @@ _ACTIVE = ("session_id", "seq", "st_sec", "behavior", "modifiers", "comments", "
            "kmp_id", "location", "date")
 
 
-def pack(df: DataFrame) -> tuple[DataFrame, list[str]]:
+def pack(df: DataFrame) -> DataFrame:
     """Hold every other column in one struct while the look-ups run: sorting and
     windows then copy one value instead of a few dozen."""
     active = [c for c in df.columns if c in _ACTIVE or c.startswith("__b")]
     packed = [c for c in df.columns if c not in active]
     last_tag = F.element_at("__l_agg_sub", -1).alias("last_tag")
-    held = F.struct(*[F.col(quoted(c)).alias(c) for c in packed]).alias("packed")
-    return df.select(*active, last_tag, held), packed
+    return df.select(*active, last_tag, F.struct(*map(quoted, packed)).alias("packed"))
 
 
-def unpack(df: DataFrame, packed: list[str]) -> DataFrame:
-    kept = [c for c in df.columns if c != "packed"]
-    return df.select(*kept, *[F.col("packed")[c].alias(c) for c in packed])
+def unpack(df: DataFrame) -> DataFrame:
+    return df.select("*", "packed.*").drop("packed")
 
 
 def families(fixes: frozenset[str]) -> dict[str, FamilySpec]:

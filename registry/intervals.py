@@ -190,5 +190,5 @@ def size_label(spark, sf_dir):
 FROM log WHERE behavior IS NOT NULL""")
 def flag_compound(spark, sf_dir):
     rows = _log(spark, sf_dir)[0].where(F.col("behavior").isNotNull())
-    return rows.select("session_id", "seq", odd_dig_end(F.col("behavior")).alias("odd"),
+    return rows.select("session_id", "seq", odd_dig_end("behavior").alias("odd"),
                        (fx.count_pattern("modifiers", ";") > 1).alias("several"))
