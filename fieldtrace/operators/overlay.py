@@ -21,7 +21,8 @@ def overlay(base: DataFrame, patch: DataFrame, on: Sequence[str], cols: Sequence
 
     Keys match null to null.  Base rows whose partner carries ``drop_flag`` are
     removed; a null patch value leaves the base value.  ``on`` must be unique
-    in the patch, otherwise base rows multiply.
+    in the patch, otherwise base rows multiply.  Only the base may repeat a key,
+    and adaptive execution splits that side of the left join where it is skewed.
     """
     b, p = base.alias("b"), patch.alias("p")
     same = reduce(and_, [F.col(f"b.{c}").eqNullSafe(F.col(f"p.{c}")) for c in on])

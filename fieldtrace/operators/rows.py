@@ -78,30 +78,34 @@ def explode_tokens(df: DataFrame, col: str | Column, sep: str, into: str, pos: s
             .drop("__pos", "__token"))
 
 
-def as_lists(df: DataFrame, cols: Sequence[str], sep: str, on_mismatch: str = "raise",
-             check: str = "check") -> DataFrame:
+def as_lists(df: DataFrame, cols: Sequence[str], sep: str) -> DataFrame:
     """Replace each text by the list of its pieces, ``__l_<name>``.
 
     A null text is a list of one null.  Lists must be of equal length or of
-    length one; otherwise the job stops, or with ``on_mismatch='flag'`` the
-    texts stay whole and the review flag is set.
+    length one; where they are not, ``__uneven`` holds and each list is the
+    whole text.
     """
     lists = {f"__l_{c}": F.coalesce(F.split(F.col(c), sep),
                                     F.array(F.lit(None).cast("string"))) for c in cols}
     df = df.withColumns(lists)
     longest = F.greatest(*[F.size(p) for p in lists])
-    bad = reduce(or_, [(F.size(p) != 1) & (F.size(p) != longest) for p in lists])
-    first = f"__l_{cols[0]}"
-    if on_mismatch == "raise":
-        stop = F.raise_error(F.lit(f"lists of different length in {', '.join(cols)}"))
-        df = df.withColumn(first, F.when(bad, stop.cast("array<string>")).otherwise(F.col(first)))
-    else:
-        df = df.withColumn("__bad", bad)
-        whole = {f"__l_{c}": F.when(F.col("__bad"), F.array(F.col(c)))
-                 .otherwise(F.col(f"__l_{c}")) for c in cols}
-        whole[check] = F.when(F.col("__bad"), F.lit(True)).otherwise(F.col(check))
-        df = df.withColumns(whole)
-    return df.drop("__bad", *cols)
+    uneven = reduce(or_, [(F.size(p) != 1) & (F.size(p) != longest) for p in lists])
+    df = df.withColumn("__uneven", uneven)
+    return df.withColumns({f"__l_{c}": F.when(F.col("__uneven"), F.array(F.col(c)))
+                           .otherwise(F.col(f"__l_{c}")) for c in cols}).drop(*cols)
+
+
+def judge_uneven(df: DataFrame, on_mismatch: str = "raise", check: str = "check") -> DataFrame:
+    """Stop the job at rows with uneven lists, or with ``'flag'`` mark them."""
+    if on_mismatch not in ("raise", "flag"):
+        raise ValueError(f"on_mismatch must be 'raise' or 'flag', not {on_mismatch!r}")
+    if on_mismatch == "flag":
+        return df.withColumn(check, F.when(F.col("__uneven"), F.lit(True)).otherwise(
+            F.col(check))).drop("__uneven")
+    stop = F.raise_error(F.lit("lists of different length in one row"))
+    first = next(c for c in df.columns if c.startswith("__l_"))
+    return df.withColumn(first, F.when(F.col("__uneven"), stop.cast("array<string>"))
+                         .otherwise(F.col(first))).drop("__uneven")
 
 
 def places(lists: Sequence[str]) -> Column:
@@ -119,7 +123,8 @@ def zip_explode(df: DataFrame, cols: Sequence[str], sep: str, pos: str = "piece_
                 on_mismatch: str = "raise", check: str = "check") -> DataFrame:
     """Split several lists in parallel, one row per place (see :func:`as_lists`)."""
     lists = [f"__l_{c}" for c in cols]
-    split = as_lists(df, cols, sep, on_mismatch, check).withColumn(pos, places(lists))
+    split = judge_uneven(as_lists(df, cols, sep), on_mismatch, check)
+    split = split.withColumn(pos, places(lists))
     return split.withColumns({c: piece(F.col(f"__l_{c}"), F.col(pos)) for c in cols}).drop(*lists)
 
 

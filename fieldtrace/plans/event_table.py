@@ -29,9 +29,9 @@ from ..operators.overlay import coalesce_patch
 from ..operators.rows import (NEAR_COLUMNS, as_lists, duplicate_where,
                               explode_conditional, explode_sizes,
                               explode_tokens, is_loose, is_near,
-                              is_sized_loose, mirror_partner, near_looks,
-                              outcome_of, piece, places, residual_text,
-                              splits_approach, two_small)
+                              is_sized_loose, judge_uneven, mirror_partner,
+                              near_looks, outcome_of, piece, places,
+                              residual_text, splits_approach, two_small)
 from ..operators.timeline import (BLOCK_ROWS, MEASURE, Behind, Latest,
                                   Running, Timeline, per_session)
 from ..vocabulary import (CATEGORIES, DIG_PREFIX, FOUND_PREFIX, PLACES,
@@ -77,12 +77,12 @@ def event_table(log: DataFrame, dictionary: DataFrame, *,
     small = fits_broadcast(dictionary)
 
     def work(rows: DataFrame, timeline: Timeline) -> DataFrame:
-        rows = pack(list_tags(normalize(rows), fixes, on_mismatch))
+        rows = pack(list_tags(normalize(rows), fixes))
         rows = raw_pass(rows, timeline, fixes)
         rows = family_pass(timeline.settle(rows), timeline, fixes)
         rows = marker_pass(timeline.settle(rows), timeline, fixes)
         rows = split_sizes(unpack(rows), fixes)
-        rows = split_tags(rows)
+        rows = split_tags(judge_uneven(rows, on_mismatch))
         rows = tags_to_labels(rows, fixes)
         rows = relabel(rows, dictionary, small=small)
         rows = mirror_partner(rows, keep_partner="keep_partner" in fixes,
@@ -111,7 +111,7 @@ _ACTIVE = ("session_id", "seq", "st_sec", "behavior", "modifiers", "comments", "
 def pack(df: DataFrame) -> DataFrame:
     """Hold every other column in one struct while the look-ups run: sorting and
     windows then copy one value instead of a few dozen."""
-    active = [c for c in df.columns if c in _ACTIVE or c.startswith("__b")]
+    active = [c for c in df.columns if c in _ACTIVE]
     packed = [c for c in df.columns if c not in active]
     last_tag = F.element_at("__l_agg_sub", -1).alias("last_tag")
     return df.select(*active, last_tag, F.struct(*map(quoted, packed)).alias("packed"))
@@ -207,13 +207,13 @@ def family_pass(df: DataFrame, timeline: Timeline, fixes: frozenset[str]) -> Dat
     return df.select(*kept, *timeline.extra(df, kept), *[v.alias(c) for c, v in out.items()])
 
 
-def list_tags(df: DataFrame, fixes: frozenset[str], on_mismatch: str) -> DataFrame:
+def list_tags(df: DataFrame, fixes: frozenset[str]) -> DataFrame:
     """Normalise the tag texts and hold each as a list of trimmed pieces."""
     guard = None if "own_guard" in fixes else F.col("play")
     df = df.withColumns({"agg_sub": normalize_direction("agg_sub", guard),
                          "olfactory": normalize_direction("olfactory", guard),
                          "play": replace_map(normalize_direction("play"), WRESTLE_MAP)})
-    return as_lists(df, _TAGS, ";", on_mismatch=on_mismatch)
+    return as_lists(df, _TAGS, ";")
 
 
 def marker_pass(df: DataFrame, timeline: Timeline, fixes: frozenset[str]) -> DataFrame:

@@ -327,7 +327,7 @@ def flagship(spark, sf_dir):
 
 @query(STAGES_SQL + "\n" + OUTPUT_SQL)
 def event_table(spark, sf_dir):
-    """The whole table: every rule, in the reference's order of application."""
+    """The whole table: every rule, in the order in which the protocol applies them."""
     events, _ = flagship(spark, sf_dir)
     return (events.withColumn("seq", F.col("row_order")["seq"])
             .drop("row_order", "time_2", "sex"))

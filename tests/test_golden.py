@@ -177,3 +177,9 @@ def test_list_mismatch(spark):
         table_of(spark, sessions)
     rows = table_of(spark, sessions, on_mismatch="flag")["a"]
     assert {(r["agg_sub"], r["play"], r["check"]) for r in rows} == {("a;b", "x;y;z", True)}
+
+
+def test_removed_rows_do_not_stop_the_job(spark):
+    uneven = {"agg_sub": "a;b", "play": "x;y;z"}
+    rows = table_of(spark, {"a": [(10, "GA"), (20, "GA; End", uneven)]})["a"]
+    assert [r["behavior"] for r in rows] == ["GA"]
