@@ -114,33 +114,27 @@ def scripted_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def lay_script(rows: DataFrame) -> DataFrame:
-    spark = rows.sparkSession
-    cells = spark.createDataFrame(
-        [(i, *r) for i, r in enumerate(SCRIPT)],
-        "idx bigint, " + ", ".join(f"{c} string" for c in CELLS))
-    second = F.lit(21600) + 13 * F.col("seq") + F.col("event_id") % 7
-    day = F.concat(F.lit("1899-12-31 "), format_clock("__sec"))
-    fraction = (F.col("__sec") / F.lit(86400.0)).cast("string")
-    user = F.col("session_id")
-    return (rows.withColumn("__sec", second)
-            .withColumn("idx", (F.col("seq") + user) % len(SCRIPT))
-            .join(F.broadcast(cells), "idx", "left")   # one row per script place
-            .select(
-                "session_id", "seq",
-                F.date_add(F.lit("2024-01-01").cast("date"), (user % 300).cast("int"))
-                .alias("date"),
-                F.when(user % 2 == 0, fraction).otherwise(day).alias("time_raw"),
-                F.lit(None).cast("string").alias("time_2"),
-                F.concat(F.lit(" obs "), user % 3).alias("observer"),
-                F.col("event_type").alias("groups"), *CELLS,
-                F.lit(None).cast("string").alias("sex"),
-                F.concat(F.lit("h"), user % 2).alias("life_history"),
-                F.concat(F.lit("r"), F.col("seq") % 4, F.lit(" ")).alias("time_spent_running")))
+    cells = rows.sparkSession.sql(
+        f"SELECT * FROM VALUES {_values((i, *r) for i, r in enumerate(SCRIPT))} "
+        f"AS script(idx, {', '.join(CELLS)})")
+    timed = rows.selectExpr(
+        "*", f"cast((seq + session_id) % {len(SCRIPT)} AS int) AS idx",
+        "21600 + 13 * seq + event_id % 7 AS __sec")
+    timed = timed.withColumn("__clock", format_clock("__sec"))
+    # One row per place of the script, so the size of this side is fixed.
+    return timed.join(F.broadcast(cells), "idx", "left").selectExpr(
+        "session_id", "seq", "date_add(DATE'2024-01-01', cast(session_id % 300 AS int)) AS date",
+        """CASE WHEN session_id % 2 = 0 THEN cast(__sec / 86400.0D AS string)
+           ELSE concat('1899-12-31 ', __clock) END AS time_raw""",
+        "cast(NULL AS string) AS time_2", "concat(' obs ', session_id % 3) AS observer",
+        "event_type AS groups", *CELLS, "cast(NULL AS string) AS sex",
+        "concat('h', session_id % 2) AS life_history",
+        "concat('r', seq % 4, ' ') AS time_spent_running")
 
 
 def dictionary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(DICTIONARY), "behavior string, replacement string, dict_seq bigint")
+    return spark.sql(f"SELECT behavior, replacement, cast(dict_seq AS bigint) AS dict_seq "
+                     f"FROM VALUES {_values(DICTIONARY)} AS t(behavior, replacement, dict_seq)")
 
 
 # -- the same in SQL -----------------------------------------------------------
