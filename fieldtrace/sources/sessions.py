@@ -46,15 +46,18 @@ def from_headings(df: DataFrame) -> DataFrame:
 def read_sessions(spark: SparkSession, path: str, *, fmt: str = "parquet",
                   schema: T.StructType | str | None = LOG_SCHEMA,
                   sessions: Sequence[str] | None = None,
-                  options: Mapping[str, str] | None = None,
+                  options: Mapping[str, str] | None = None, numbered: bool = True,
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All sessions under ``path`` as one frame.
 
     The layout is one ``session_id=...`` directory per session, or a table with
     that column.  ``sessions`` selects by directory, so the others are not
-    listed into the scan.  A schema avoids inference.  Without a ``seq`` column
-    rows are numbered by file and place in the file, which only parquet knows.
+    listed into the scan.  A schema avoids inference.  With ``numbered=False``,
+    or a schema without ``seq``, rows are numbered by file and place in the file,
+    which only parquet knows.
     """
+    if not numbered and isinstance(schema, T.StructType):
+        schema = T.StructType([f for f in schema if f.name != "seq"])
     reader = spark.read.options(**dict(options or {}))
     if schema is not None:
         reader = reader.schema(schema)

@@ -44,7 +44,7 @@ def test_log_round_trip(spark, tmp_path, fmt):
 def test_rows_are_numbered_by_place_in_file(spark, tmp_path):
     log = log_of(spark, SESSIONS).drop("seq")
     log.coalesce(1).write.partitionBy("session_id").parquet(str(tmp_path / "p"))
-    back = read_sessions(spark, str(tmp_path / "p"), schema=None)
+    back = read_sessions(spark, str(tmp_path / "p"), numbered=False)
     assert as_rows(back, "session_id", "seq", "behavior") == as_rows(
         log_of(spark, SESSIONS), "session_id", "seq", "behavior")
     log.coalesce(1).write.partitionBy("session_id").csv(str(tmp_path / "c"))
