@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covering_simhash
+from . import (bitpacked_tokens, covering_simhash, factorisation_machine, source_mixing,
+               suffix_decontamination)
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,15 +20,138 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+    return add
 
 
-@query
+def tokenizer_file() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def token_digest(docs: DataFrame) -> DataFrame:
+    """Write all documents as token ids and tell what the files hold."""
+    manifest = bitpacked_tokens.write_tokens(docs, tokenizer_file())
+    return bitpacked_tokens.read_tokens(manifest).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op2_bitpacked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"))
+
+
+def _fold() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+
+
+def learnt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels outside the held-out fold."""
+    return table(spark, sf_dir, "labels").where(_fold() != 0).select("doc_id", "quality")
+
+
+@query()
+def op6_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = factorisation_machine.train(docs, learnt_labels(spark, sf_dir))
+    scored = docs.select("doc_id", factorisation_machine.score(F.col("text"), model).alias("score"))
+    return scored.select(
+        "doc_id", (_fold() == 0).alias("held_out"), "score",
+        (F.col("score") >= factorisation_machine.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query()
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = covering_simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"),
                         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         "component_id")
+
+
+def _mixing_sql() -> str:
+    words = r"[^ \t\n\x0B\f\r]+"
+    steps = [r"""w AS (
+  SELECT doc_id, text, coalesce(nullif(source, ''), 'unknown') AS source,
+         coalesce(nullif(lang, ''), 'unknown') AS lang,
+         len(regexp_extract_all(coalesce(text, ''), '""" + words + r"""')) AS tokens,
+         len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS numbers
+  FROM documents)""", f"""d AS MATERIALIZED (
+  SELECT doc_id, source, lang, tokens,
+         CASE WHEN regexp_matches(text, '{source_mixing.LEGAL}') THEN 'legal'
+              WHEN numbers * 20 > tokens THEN 'data'
+              WHEN contains(text, ' | ') THEN 'table' ELSE 'prose' END AS topic,
+         CAST(CAST('0x' || substr(md5('{source_mixing.SEED}:' ||
+              coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 13) AS BIGINT) AS DOUBLE)
+           / 4503599627370496.0 AS u FROM w)""",
+        """c0 AS MATERIALIZED (
+  SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens, 1.0::DOUBLE AS weight
+  FROM d GROUP BY ALL)"""]
+    for margin, power in source_mixing.TEMPER.items():
+        steps.append(f"""t_{margin} AS MATERIALIZED (
+  SELECT {margin}, share / sum(share) OVER () AS share FROM (
+    SELECT {margin}, pow(sum(tokens), {power}) AS share FROM c0 GROUP BY {margin}
+    HAVING sum(tokens) > 0))""")
+    n = 0
+    for _ in range(source_mixing.ROUNDS):
+        for margin in source_mixing.MARGINS:
+            steps.append(f"""c{n + 1} AS MATERIALIZED (
+  SELECT c.source, c.lang, c.topic, c.tokens,
+         c.weight * CASE WHEN h.have > 0 THEN coalesce(t.share, 0)
+           * (SELECT sum(tokens) FROM c0) / h.have ELSE 1 END AS weight
+  FROM c{n} c JOIN (SELECT {margin}, sum(tokens * weight) AS have FROM c{n} GROUP BY {margin}) h
+    ON h.{margin} = c.{margin} LEFT JOIN t_{margin} t ON t.{margin} = c.{margin})""")
+            n += 1
+    return f"""WITH {', '.join(steps)}, p AS (
+  SELECT source, lang, topic,
+         coalesce(least(weight / (SELECT max(weight) FROM c{n} WHERE tokens > 0), 1), 1) AS p
+  FROM c{n})
+SELECT doc_id, source, lang, topic, tokens, round(p, 9) AS probability, u < p AS kept
+FROM d JOIN p USING (source, lang, topic)"""
+
+
+@query(_mixing_sql())
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell, probability and draw of every document, under the default targets."""
+    rows = source_mixing.weigh(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "__cell.source", "__cell.lang", "__cell.topic", "__cell.tokens",
+        F.round("__p", 9).alias("probability"),
+        (source_mixing.draw() < F.col("__p")).alias("kept"))
+
+
+_WORDS10 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query(f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS10} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS10} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS g
+  FROM i, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s(k) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (
+  SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS g
+  FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS s(k) WHERE len(w) >= n),
+hit AS (SELECT DISTINCT r, k, n, item_id FROM dw JOIN iw USING (n, g)),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit
+  FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hit) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)""")
+def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_decontamination.matches(table(spark, sf_dir, "documents"),
+                                           table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))

@@ -23,8 +23,8 @@ NOT_BLANK = ~((_ALL == 0x20) | ((_ALL >= 0x09) & (_ALL <= 0x0D)))
 ALNUM = (((_ALL >= 0x30) & (_ALL <= 0x39)) | ((_ALL >= 0x61) & (_ALL <= 0x7A))
          | (_ALL >= 0x80))
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_powers: dict[int, list[np.ndarray]] = {}
 
 
 @dataclass
@@ -73,19 +73,25 @@ def joined(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
     return text[keep].tobytes(), start, start + size
 
 
-def _power(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) <= n:
+def _power(n: int, which: int) -> list[np.ndarray]:
+    """Powers of a base and of its inverse modulo 2**64, for ``n`` bytes."""
+    if which not in _powers or len(_powers[which][0]) <= n:
         size = max(n + 1, SLICE_BYTES + 65_536)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+        _powers[which] = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers
+            _powers[which].append(np.multiply.accumulate(steps))
+    return _powers[which]
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, equal for equal bytes wherever they lie."""
-    up, down = _power(len(data))
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray,
+                which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span, equal for equal bytes wherever they lie.
+
+    ``which`` chooses one of two hashes that can be taken together.
+    """
+    up, down = _power(len(data), which)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start]
