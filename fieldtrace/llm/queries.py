@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bitpacked_tokens, covering_simhash, factorisation_machine, source_mixing,
+from . import (bitpacked_tokens, block_anchors, covering_simhash, crf_pii, factorisation_machine, source_mixing,
                suffix_decontamination)
 from .frames import table
 
@@ -46,6 +46,13 @@ def op2_bitpacked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_block_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = block_anchors.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed",
+                       F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def _fold() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
@@ -65,6 +72,24 @@ def op6_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= factorisation_machine.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query()
+def op7_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and digest, and all spans; the spans come ordered by kind and start."""
+    found = table(spark, sf_dir, "documents").select(
+        "doc_id", crf_pii.personal_data(F.col("text")).alias("found"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    base = F.filter("found", lambda s: s["source"] == "base")
+    counts = [F.size(F.filter("found", lambda s, k=k: (s["source"] == "base") & (s["kind"] == k)))
+              .cast("bigint").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts,
+                        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+                        listed(F.col("found")).alias("spans"))
+
+
 @query()
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
