@@ -83,8 +83,11 @@ def op7_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
             ":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
     base = F.filter("found", lambda s: s["source"] == "base")
-    counts = [F.size(F.filter("found", lambda s, k=k: (s["source"] == "base") & (s["kind"] == k)))
-              .cast("bigint").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *counts,
                         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
                         listed(F.col("found")).alias("spans"))
