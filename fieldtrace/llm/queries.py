@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bitpacked_tokens, block_anchors, covering_simhash, crf_pii, factorisation_machine, source_mixing,
-               suffix_decontamination)
+from . import (bitpacked_tokens, block_anchors, chat_perspectives, covering_simhash, crf_pii,
+               factorisation_machine, license_diagonals, source_mixing, suffix_decontamination)
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,96 @@ def token_digest(docs: DataFrame) -> DataFrame:
         F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+_WORDS10 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+_CHAT_SQL = f"""WITH t AS (
+  SELECT conv_id, coalesce(nullif(role, ''), 'unknown') AS speaker,
+         replace(coalesce(text, ''), '<|', '< |') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           coalesce(nullif(role, ''), 'unknown'), replace(coalesce(text, ''), '<|', '< |')) AS seq
+  FROM conversations),
+seats AS (SELECT DISTINCT conv_id, speaker AS seat FROM t WHERE speaker <> 'system'),
+r AS (
+  SELECT t.conv_id, seat, (seq - 1) // {chat_perspectives.PART_TURNS} AS part, seq, speaker = seat AS own,
+         CASE WHEN speaker = seat THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>'
+              ELSE '<|user:' || speaker || '|>' END || chr(10) AS head,
+         text || '<|end|>' || chr(10) AS body
+  FROM t JOIN seats s ON s.conv_id IS NOT DISTINCT FROM t.conv_id),
+p AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, seat, part ORDER BY seq) AS upto
+  FROM r)
+SELECT conv_id, seat AS speaker, CAST(part AS BIGINT) AS part, count(*) AS n_turns,
+       string_agg(head || body, '' ORDER BY seq) AS text,
+       coalesce(string_agg(CAST(upto - length(body) AS BIGINT) || '-' || CAST(upto - 1 AS BIGINT), ','
+                ORDER BY seq) FILTER (WHERE own), '') AS mask
+FROM p GROUP BY conv_id, seat, part"""
+
+
+@query(_CHAT_SQL)
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part of every perspective, the mask as start-stop pairs."""
+    found = chat_perspectives.perspectives(table(spark, sf_dir, "conversations"))
+    return found.select(
+        F.col("conv").alias("conv_id"), "speaker", "part", "n_turns", "text",
+        F.array_join(F.transform("mask", lambda m: F.concat_ws(
+            "-", m["start"].cast("string"), m["stop"].cast("string"))), ",").alias("mask"))
+
+
+def _license_sql() -> str:
+    rows = ", ".join(
+        f"({n}, string_split('{text}', ' '), '{label}', {exact})" for n, (text, label, exact) in enumerate(
+            [(*b, "true") for b in license_diagonals.BASE]
+            + [(*t, "false") for t in license_diagonals.TEMPLATES]))
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS10} AS w FROM documents),
+t(template, w, label, exact) AS (VALUES {rows}),
+tp AS (SELECT template, label, exact, len(w) - 1 AS pairs, k - 1 AS tpos, w[k] AS a, w[k + 1] AS b
+  FROM t, unnest(range(1, len(w))) AS s(k)),
+dp AS (SELECT r, k - 1 AS pos, w[k] AS a, w[k + 1] AS b FROM d, unnest(range(1, len(w))) AS s(k)),
+v AS (SELECT r, template, label, exact, pairs, pos - tpos AS diagonal, min(tpos) AS lo, max(tpos) AS hi,
+        list(DISTINCT tpos) AS ts
+  FROM dp JOIN tp USING (a, b) GROUP BY ALL),
+c AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER l > {license_diagonals.GAP} THEN 1 ELSE 0 END AS cut
+  FROM v WINDOW l AS (PARTITION BY r, template ORDER BY diagonal)),
+m AS (SELECT *, sum(cut) OVER (PARTITION BY r, template ORDER BY diagonal) AS band FROM c),
+s AS (SELECT r, label, exact, pairs, len(list_distinct(flatten(list(ts)))) AS votes,
+        min(diagonal + lo) AS start, max(diagonal + hi) + 2 AS stop
+  FROM m GROUP BY r, template, label, exact, pairs, band),
+f AS (SELECT * FROM s WHERE CASE WHEN exact THEN votes = pairs
+        ELSE votes >= {license_diagonals.LEAST_SHARE} * pairs
+         AND stop - start <= {license_diagonals.STRETCH} * (pairs + 1) END),
+g AS (SELECT r, count(*) FILTER (WHERE exact) AS n_base, min(start) FILTER (WHERE exact) AS first_word,
+        max(start) FILTER (WHERE exact) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact) AS base_labels,
+        string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(votes / pairs) AS score
+  FROM f GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN g USING (r)"""
+
+
+@query(_license_sql())
+def op5_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base places, labels and the best share of a template in every document."""
+    found = license_diagonals.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["base"])
+
+    def labels(places):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(
+            places, lambda p: p["label"]))), ",")
+
+    starts = F.transform(base, lambda p: p["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0))
+        .alias("score"))
+
+
 @query()
 def op2_bitpacked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"))
@@ -153,10 +243,6 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (source_mixing.draw() < F.col("__p")).alias("kept"))
 
 
-_WORDS10 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
-
-
 @query(f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS10} AS w FROM documents),
 i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS10} AS w FROM benchmark),
 iw AS (
