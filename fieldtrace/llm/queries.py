@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bitpacked_tokens, block_anchors, chat_perspectives, covering_simhash, crf_pii,
-               factorisation_machine, license_diagonals, source_mixing, suffix_decontamination)
+               factorisation_machine, license_diagonals, permutation_index, source_mixing,
+               suffix_decontamination)
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,13 @@ def token_digest(docs: DataFrame) -> DataFrame:
         F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query()
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for each vector whose id is divisible by 20."""
+    found = permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 _WORDS10 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
