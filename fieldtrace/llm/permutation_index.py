@@ -2,8 +2,8 @@
 
 Every vector is represented by the order of its nearest pivots.  In each shard
 of the index a pivot has an inverted file: the vectors that list it, with the
-place they list it at.  A query reads the files of its own pivots and adds up the
-footrule distance, sum over its pivots of ``|place in the query - place in the
+place they list it at.  A query reads the files of its own nearest pivots and adds
+up the footrule distance, sum over these pivots of ``|place in the query - place in the
 vector|`` (a pivot a vector does not list counts as listed last).  The nearest
 ``depth`` share of a shard by footrule is reranked by the exact inner product in
 double precision.
@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 
 from .frames import settle, work_folder
 
-PIVOTS = 128
-LISTED = 128
+PIVOTS = 256
+# Pivots in a vector's order, and those of a query whose files are read.
+LISTED = 256
+READ = 64
 K = 20
 # Share of a shard's vectors that is reranked, and at least so many of them.
-DEPTH = 0.05
-LEAST_DEPTH = 512
+DEPTH = 0.1
+LEAST_DEPTH = 1024
 SHARD_ROWS = 8_192
 QUERY_ROWS = 8_192
 # Ids that one task lists for equal vectors.
@@ -89,8 +91,8 @@ def _shard(table: pa.Table, pivots: np.ndarray, listed: int) -> pa.Table:
                     [c.split()[0] for c in _INDEX.split(", ")])
 
 
-def _search(queries: pa.Table, index: pa.Table, pivots: np.ndarray, listed: int, k: int,
-            depth: float, least_depth: int) -> pa.Table:
+def _search(queries: pa.Table, index: pa.Table, pivots: np.ndarray, listed: int, read: int,
+            k: int, depth: float, least_depth: int) -> pa.Table:
     """The nearest ``k`` ids of one shard for each query of a block."""
     out = ([np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)])
     if len(queries) and len(index):
@@ -105,10 +107,15 @@ def _search(queries: pa.Table, index: pa.Table, pivots: np.ndarray, listed: int,
         near = _orders(asked, pivots, listed)
         take = min(len(counts), max(least_depth, int(np.ceil(depth * len(counts)))))
         for q, name in enumerate(queries["query"].to_pylist()):
-            footrule = np.full(len(counts), listed * (listed + 1) // 2, np.int32)
-            for j, pivot in enumerate(near[q].tolist()):
-                file = slice(files[pivot], files[pivot + 1])
-                footrule[members[file]] += np.abs(places[file] - j) - (listed - j)
+            # At first as if no vector listed any of the pivots.
+            footrule = np.full(len(counts), sum(listed - j for j in range(read)), np.int32)
+            for j, pivot in enumerate(near[q, :read].tolist()):
+                lo, hi = files[pivot], files[pivot + 1]
+                change = np.abs(places[lo:hi] - j) - (listed - j)
+                if hi - lo == len(counts):
+                    footrule += change
+                else:
+                    footrule[members[lo:hi]] += change
             if take < len(counts):
                 bound = np.partition(footrule, take - 1)[take - 1]
                 some = np.flatnonzero(footrule <= bound)
@@ -142,7 +149,8 @@ def distinct_vectors(rows: DataFrame, keep: int, salts: int) -> DataFrame:
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id",
            vector_col: str = "embedding", k: int = K, pivots: int = PIVOTS,
-           listed: int = LISTED, depth: float = DEPTH, least_depth: int = LEAST_DEPTH,
+           listed: int = LISTED, read: int = READ, depth: float = DEPTH,
+           least_depth: int = LEAST_DEPTH,
            shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` nearest rows found for each row
     with ``is_query``, without the row itself.  Ids are whole numbers.  Runs jobs.
@@ -160,6 +168,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id",
     sample = classes.orderBy(F.xxhash64("least"), "least", "vector").select("vector").limit(pivots)
     sample = np.array([r["vector"] for r in sample.collect()], np.float64).reshape(-1, width)
     listed = min(listed, len(sample))
+    read = min(read, listed)
     shards = max(1, -(-classes.count() // shard_rows))
     index = (classes.withColumn("shard", F.pmod(F.xxhash64("least"), F.lit(shards)))
              .groupBy("shard").applyInArrow(lambda t: _shard(t, sample, listed), _INDEX))
@@ -178,7 +187,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id",
     right = index.select(
         "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(
-        lambda q, i: _search(q, i, sample, listed, k + 1, depth, least_depth), _FOUND)
+        lambda q, i: _search(q, i, sample, listed, read, k + 1, depth, least_depth), _FOUND)
     # At most k + 1 rows of each shard come together for a query.
     best = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(
         F.struct((-F.col("score")).alias("s"), "id"))), 1, k + 1).alias("best"))
