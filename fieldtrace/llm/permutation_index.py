@@ -166,7 +166,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id",
     classes = settle(distinct_vectors(rows, k + 1, 1 + n // SALT_ROWS)
                      .withColumn("least", F.col("ids")[0]), folder)
     sample = classes.orderBy(F.xxhash64("least"), "least", "vector").select("vector").limit(pivots)
-    sample = np.array([r["vector"] for r in sample.collect()], np.float64).reshape(-1, width)
+    sample = np.array([r["vector"] for r in sample.collect()], np.float64).reshape(-1, max(width, 1))
     listed = min(listed, len(sample))
     read = min(read, listed)
     shards = max(1, -(-classes.count() // shard_rows))
