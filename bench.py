@@ -2,7 +2,8 @@
 
 ``BENCH_SF_DIR`` names the tables (default sf0.1), ``BENCH_CPUS`` the local
 cores.  Each query is built, planned and run in full; the value is the median
-of three runs after one warm-up.
+of three runs after one warm-up.  ``rows_per_sec`` and ``exchanges`` (of the
+plan as built, without the jobs that run while it is built) stand beside it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ HEADLINE = (
     "event_table", "state_pair_point", "state_dig", "state_next_row", "subset_lead",
     "fill_down", "running_counter", "session_source", "near_marker", "dictionary_relabel",
     "duplicate_tagged", "mirror_partner", "zip_explode", "explode_sizes", "explode_tokens",
-    "overlay", "extract_bracketed", "clock_text",
+    "overlay", "extract_bracketed", "clock_text", "stable_order", "sink_order",
+    "sink_single_table", "event_table_blocked",
 )
 RUNS = 3
 
@@ -32,6 +34,15 @@ def timed(spark, sf_dir: str, name: str) -> float:
     return time.perf_counter() - start
 
 
+def shape(spark, sf_dir: str, name: str) -> tuple[int, int]:
+    """Rows of the result and shuffles of its plan."""
+    df = QUERIES[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    planned = df._jdf.queryExecution().executedPlan().toString()
+    return df.count(), max(plan.count("Exchange "), planned.count("Exchange hash")
+                           + planned.count("Exchange range") + planned.count("Exchange Round"))
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -45,15 +56,18 @@ def main() -> None:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    took = {}
+    took, rate, shuffles = {}, {}, {}
     for name in HEADLINE:
+        rows, shuffles[name] = shape(spark, sf_dir, name)
         timed(spark, sf_dir, name)
         took[name] = round(statistics.median(timed(spark, sf_dir, name)
                                              for _ in range(RUNS)), 3)
+        rate[name] = round(rows / took[name])
     spark.stop()
     sf = os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(took.values()), 3),
-                      "unit": "sec", "queries": took, "sf": sf}))
+                      "unit": "sec", "queries": took, "rows_per_sec": rate,
+                      "exchanges": shuffles, "sf": sf}))
 
 
 if __name__ == "__main__":

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logic import matches, when_chain
 from ..functions.text import count_pattern, size_label
-from ..vocabulary import (ACCEPTED_DIG_ENDS, ANY_SIZE, DEFAULT_OUTCOME, DIG,
+from ..vocabulary import (DIG_STOPS, ACCEPTED_DIG_ENDS, ANY_SIZE, DEFAULT_OUTCOME, DIG,
                           DIG_END, DIG_PREFIX, LOOSE_MARKER, REDIG_END,
                           REMOVABLE_DIG_ENDS, SCAN_MARKER)
 from .timeline import Ahead, Behind, Look, Timeline
@@ -193,7 +193,7 @@ def other_looks(fields: Fields) -> dict[str, Look]:
 
 # The look-ahead of a dig that is taken as written, and the one that only dig
 # rows and loose markers can stop.
-STOPS_AS_WRITTEN = "End|Dig"
+STOPS_AS_WRITTEN = DIG_STOPS
 STOPS_DIG_ONLY = r"Dig|^End \(\+Modifiers\)"
 
 

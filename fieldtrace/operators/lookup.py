@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Dictionaries up to this size are broadcast; larger ones are joined by shuffle.
 BROADCAST_ENTRIES = 100_000
 BROADCAST_CHARS = 32_000_000
+# A label with more rows than this is spread over salts when joined by shuffle.
+HOT_ROWS = 1_000_000
 SALTS = 64
 
 
@@ -26,25 +28,37 @@ def fits_broadcast(dictionary: DataFrame) -> bool:
 
 
 def relabel(df: DataFrame, dictionary: DataFrame, col: str = "behavior",
-            small: bool | None = None) -> DataFrame:
+            small: bool | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Replace ``col`` by the dictionary's ``replacement``, ignoring case.
 
     The first entry of a key wins, also when its replacement is null; a label
     without an entry stays.  Null labels match a null key.  ``small`` states
-    whether the dictionary may be broadcast; by default it is measured.  A
-    large one is joined by shuffle, with its keys repeated over a few salts so
-    that one very common label does not land in one task.
+    whether the dictionary may be broadcast; by default it is measured, by a
+    job.  A large one is joined by shuffle; a count finds the labels with more
+    than ``hot_rows`` rows, and only their rows and entries are spread over salts.
     """
     entries = first_matches(dictionary)
     if fits_broadcast(dictionary) if small is None else small:
-        entries = F.broadcast(entries)
-        joined = df.join(entries, F.lower(col).eqNullSafe(F.col("__key")), "left")
+        joined = df.join(F.broadcast(entries), F.lower(col).eqNullSafe(F.col("__key")), "left")
     else:
-        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS))
-        spread = entries.withColumn("__salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-        joined = df.withColumn("__own", salt).join(
-            spread, F.lower(col).eqNullSafe(F.col("__key"))
-            & (F.col("__own") == F.col("__salt")), "left").drop("__own", "__salt")
+        # At most rows / hot_rows labels are hot.
+        hot = (df.groupBy(F.lower(col).alias("__hot")).agg(F.count(F.lit(1)).alias("__n"))
+               .where(F.col("__n") > hot_rows).select("__hot"))
+        listed = [r["__hot"] for r in hot.collect()]
+        if listed:
+            def spread(key):
+                found = F.coalesce(key.isin([v for v in listed if v is not None]), F.lit(False))
+                return found | key.isNull() if None in listed else found
+
+            salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS))
+            df = df.withColumn("__own", F.when(spread(F.lower(col)), salt).otherwise(F.lit(0)))
+            entries = entries.withColumn("__salt", F.explode(
+                F.when(spread(F.col("__key")), F.expr(f"sequence(0L, {SALTS - 1}L)"))
+                .otherwise(F.array(F.lit(0).cast("bigint")))))
+            joined = df.join(entries, F.lower(col).eqNullSafe(F.col("__key"))
+                             & (F.col("__own") == F.col("__salt")), "left").drop("__own", "__salt")
+        else:
+            joined = df.join(entries, F.lower(col).eqNullSafe(F.col("__key")), "left")
     hit = F.col("__entry").isNotNull()
     return (joined.withColumn(col, F.when(hit, F.col("__entry")["replacement"])
                               .otherwise(F.col(col)))

@@ -14,9 +14,11 @@ blocks, not rows, so the second, cross-block window stays small.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +28,10 @@ from ..functions.logic import as_column
 
 # A session with more rows than this is cut into blocks.
 BLOCK_ROWS = 2_000_000
-# Long-session keys are broadcast up to this many; beyond it all rows are cut.
+# Long-session keys are broadcast up to this many, and this many bytes; beyond
+# that they are joined by shuffle.
 MAX_BROADCAST_KEYS = 200_000
+MAX_BROADCAST_BYTES = 16_000_000
 
 # Stands for "count the rows per session first".
 MEASURE = "measure"
@@ -70,8 +74,8 @@ Look = Ahead | Behind | Latest | Running
 class Timeline:
     """Session keys (never null) and row order.
 
-    ``order[0]`` is the dense position in the session; further entries break
-    ties among rows that share one.  ``block_rows=None`` means every session
+    ``order[0]`` is the position in the session, from which blocks follow if it
+    is dense; further entries break ties among rows that share one.  ``block_rows=None`` means every session
     fits one task.
     """
     keys: tuple[str, ...] = ("session_id",)
@@ -225,48 +229,82 @@ def _neighbour(name: str, look: Look, k: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints and intermediate tables."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="run-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+    """A folder of this session below the one the cluster shares.
+
+    ``spark.checkpoint.dir`` names it; where that is unset, as in tests, the
+    warehouse is taken, which a cluster shares as well.  The folder is removed
+    when the driver ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    path = f"{base.rstrip('/')}/sessions-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return fs.makeQualified(at).toString()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The frame, written as Parquet to the shared folder and read again.
+
+    Runs a job.  Later readers scan only the columns they use, and a lost
+    executor does not restart the chain.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _null_key(keys: Sequence[str]) -> Column:
+    return reduce(or_, [F.col(k).isNull() for k in keys])
 
 
 def long_sessions(df: DataFrame, keys: Sequence[str],
                   block_rows: int = BLOCK_ROWS) -> DataFrame | None:
     """Keys of sessions with more than ``block_rows`` rows, or None.
 
-    Runs one narrow, map-side combined count.  At most rows / block_rows keys
-    come back.
+    Runs one narrow, map-side combined count and refuses null keys.  At most
+    rows / block_rows keys come back.
     """
-    present = F.lit(True)
-    for k in keys:
-        present = present & F.col(k).isNotNull()
-    found = (df.where(present).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-             .where(F.col("__n") > block_rows).select(*keys))
-    return settle(found) if found.take(1) else None
+    found = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+                   .where((F.col("__n") > block_rows) | _null_key(keys)).select(*keys))
+    if not found.where(_null_key(keys)).isEmpty():
+        raise ValueError(f"null session key in {list(keys)}")
+    return None if found.isEmpty() else found
 
 
 def _apart(df: DataFrame, keys: Sequence[str],
-           long: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """Rows of ordinary and of long sessions, without shuffling them."""
-    if long.count() > MAX_BROADCAST_KEYS:
-        return None, df
-    listed = F.broadcast(long)
+           long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary and of long sessions.  Few keys are broadcast, so that no
+    row is shuffled; the size of many is left to Spark to judge."""
+    size = long.agg(F.count(F.lit(1)).alias("n"), F.sum(reduce(add, [
+        F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys])
+    ).alias("bytes")).first()
+    few = size["n"] <= MAX_BROADCAST_KEYS and (size["bytes"] or 0) <= MAX_BROADCAST_BYTES
+    listed = F.broadcast(long) if few else long
     return df.join(listed, list(keys), "left_anti"), df.join(listed, list(keys), "left_semi")
 
 
+def _placed(df: DataFrame, line: Timeline) -> DataFrame:
+    """Rows of long sessions with their block.
+
+    The position gives the block if it is dense; otherwise a place counted in
+    the session does, since sparse positions would leave a row or two per block.
+    """
+    at = line.order[0]
+    size = df.groupBy(*line.keys).agg(F.count(F.lit(1)).alias("__n"), F.min(at).alias("__least"),
+                                      F.max(at).alias("__most"))
+    dense = (F.col("__least") >= 1) & (F.col("__most") <= F.col("__n"))
+    if size.where(~F.coalesce(dense, F.lit(False))).isEmpty():
+        return df
+    counted = _numbered_apart(df, line.keys, [F.col(c) for c in line.order], "__place")
+    return counted.withColumn(
+        _BLOCK, F.floor((F.col("__place") - 1) / line.block_rows)).drop("__place")
+
+
 def per_session(df: DataFrame, work: Callable[[DataFrame, Timeline], DataFrame],
                 keys: Sequence[str] = ("session_id",), order: Sequence[str] = ("seq",),
                 long: DataFrame | str | None = MEASURE,
@@ -275,7 +313,8 @@ def per_session(df: DataFrame, work: Callable[[DataFrame, Timeline], DataFrame],
     the ones listed in ``long`` block by block.
 
     ``long`` is what :func:`long_sessions` found, None if it is known that there
-    are none; by default it is found here.
+    are none; by default it is found here, by a job.  Long sessions run jobs
+    while the frame is built.
     """
     plain = Timeline(tuple(keys), tuple(order))
     if isinstance(long, str):
@@ -284,8 +323,8 @@ def per_session(df: DataFrame, work: Callable[[DataFrame, Timeline], DataFrame],
         return work(df, plain)
     blocked = replace(plain, block_rows=block_rows)
     ordinary, lengthy = _apart(df, keys, long)
-    done = blocked.leave(work(blocked.settle(lengthy), blocked))
-    return done if ordinary is None else work(ordinary, plain).unionByName(done)
+    done = blocked.leave(work(_placed(blocked.settle(lengthy), blocked), blocked))
+    return work(ordinary, plain).unionByName(done)
 
 
 def row_sequence(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
@@ -306,17 +345,22 @@ def row_sequence(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     if long is None:
         return in_window(df)
     ordinary, lengthy = _apart(df, keys, long)
-    placed = (settle(lengthy.orderBy(*keys, *by))
-              .withColumn("__at", F.monotonically_increasing_id())
-              .withColumn("__part", F.shiftright("__at", 33)))
+    return in_window(ordinary).unionByName(_numbered_apart(lengthy, keys, by, name))
+
+
+def _numbered_apart(df: DataFrame, keys: Sequence[str], by: Sequence[Column],
+                    name: str) -> DataFrame:
+    """Number by a global sort: a row's place in its sorted part plus the rows of
+    its session in the parts before."""
+    placed = settle(df.orderBy(*keys, *by).withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
     w = Window.partitionBy(*keys).orderBy("__part")
+    # One row per long session and sorted part.
     runs = (placed.groupBy(*keys, "__part")
             .agg(F.min("__at").alias("__from"), F.count(F.lit(1)).alias("__n"))
             .withColumn("__before", F.coalesce(
                 F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
             .drop("__n"))
-    # One row per long session and sorted part, so small enough to broadcast.
-    numbered = (placed.join(F.broadcast(runs), [*keys, "__part"], "left")
-                .withColumn(name, F.col("__at") - F.col("__from") + F.col("__before") + 1)
-                .drop("__at", "__part", "__from", "__before"))
-    return numbered if ordinary is None else in_window(ordinary).unionByName(numbered)
+    return (placed.join(runs, [*keys, "__part"], "left")
+            .withColumn(name, F.col("__at") - F.col("__from") + F.col("__before") + 1)
+            .drop("__at", "__part", "__from", "__before"))

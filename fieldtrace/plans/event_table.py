@@ -57,6 +57,12 @@ MERGED = ("end_sec", "modifiers", "comments")
 
 _TAGS = ("agg_sub", "play", "olfactory")
 
+# The columns of a log.
+LOG_COLUMNS = frozenset({
+    "session_id", "seq", "date", "time_raw", "time_2", "observer", "groups", "focal_individual",
+    "behavior", "partner", *_TAGS, "pup_care", "modifiers", "sex", "life_history",
+    "time_spent_running", "comments"})
+
 
 def event_table(log: DataFrame, dictionary: DataFrame, *,
                 repair: Collection[str] = (), on_mismatch: str = "raise",
@@ -68,13 +74,23 @@ def event_table(log: DataFrame, dictionary: DataFrame, *,
     the log schema; ``dictionary`` has ``behavior, replacement, dict_seq``.
     ``long`` lists sessions that need block-wise work (see ``per_session``).
     The struct ``row_order`` sorts rows inside a session; :func:`report` gives
-    the final headings.
+    the final headings.  Further columns of ``log`` are kept, whatever their names,
+    unless they are columns of the result.  Runs a job that measures the dictionary,
+    and one that looks for long sessions unless ``long`` is given.
     """
     unknown = set(repair) - REPAIRS
     if unknown:
         raise ValueError(f"unknown repairs: {sorted(unknown)}")
     fixes = frozenset(repair)
     small = fits_broadcast(dictionary)
+    extra = [c for c in log.columns if c not in LOG_COLUMNS]
+    taken = sorted(set(extra) & {"row_order", *REPORT_HEADINGS})
+    if taken:
+        raise ValueError(f"the log has columns of the result: {taken}")
+    if extra:
+        # Out of reach of the columns that the passes add.
+        log = log.select(*[c for c in log.columns if c in LOG_COLUMNS],
+                         F.struct(*map(quoted, extra)).alias("__extra"))
 
     def work(rows: DataFrame, timeline: Timeline) -> DataFrame:
         rows = pack(list_tags(normalize(rows), fixes))
@@ -89,7 +105,8 @@ def event_table(log: DataFrame, dictionary: DataFrame, *,
                               literal="mirror_literal" in fixes)
         return finalize(rows, fixes)
 
-    return per_session(log, work, long=long, block_rows=block_rows)
+    done = per_session(log, work, long=long, block_rows=block_rows)
+    return done.select("*", "__extra.*").drop("__extra") if extra else done
 
 
 def normalize(df: DataFrame) -> DataFrame:

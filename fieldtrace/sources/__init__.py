@@ -1,8 +1,9 @@
 """Reading and writing session logs."""
 
-from .sessions import (DICTIONARY_SCHEMA, LOG_SCHEMA, name_sessions,
-                       read_dictionary, read_sessions, write_sessions,
+from .sessions import (DICTIONARY_SCHEMA, LOG_SCHEMA, check_positions, from_headings,
+                       name_sessions, read_dictionary, read_sessions, write_sessions,
                        write_table)
 
-__all__ = ["DICTIONARY_SCHEMA", "LOG_SCHEMA", "name_sessions", "read_dictionary",
-           "read_sessions", "write_sessions", "write_table"]
+__all__ = ["DICTIONARY_SCHEMA", "LOG_SCHEMA", "check_positions", "from_headings",
+           "name_sessions", "read_dictionary", "read_sessions", "write_sessions",
+           "write_table"]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.clock import clean_date
 from ..operators.columns import rename_columns, rename_matching
 from ..operators.timeline import BLOCK_ROWS, long_sessions, row_sequence
 
@@ -36,50 +37,112 @@ VARYING_HEADINGS = {"focal individual": "focal_individual", "partner(s)": "partn
 
 
 def from_headings(df: DataFrame) -> DataFrame:
-    """Rename the raw headings; two of them vary and are found by their ending."""
+    """A raw log under the library's names, its date parsed.
+
+    Two headings vary and are found by their ending.  A date text that does not
+    parse stops the job.
+    """
     df = rename_columns(df, RAW_HEADINGS)
     for ending, name in VARYING_HEADINGS.items():
         df = rename_matching(df, name, suffix=ending)
-    return rename_matching(df, "time_2", prefix="Time...")
+    df = rename_matching(df, "time_2", prefix="Time...")
+    if dict(df.dtypes)["date"] != "date":
+        parsed = clean_date(F.col("date").cast("string"))
+        bad = F.raise_error(F.concat(F.lit("not a date: "), F.col("date").cast("string")))
+        df = df.withColumn("date", F.when(F.col("date").isNotNull() & parsed.isNull(),
+                                          bad.cast("date")).otherwise(parsed))
+    return df.withColumns({c: F.col(c).cast("string") for c in _TEXTS if c in df.columns})
+
+
+def _never_null(df: DataFrame, *cols: str) -> DataFrame:
+    """Stop the job at a null in one of the columns."""
+    return df.withColumns({c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null {c} in the log"))
+                                     .cast(dict(df.dtypes)[c])).otherwise(F.col(c)) for c in cols})
+
+
+def _bound_by_header(spark: SparkSession, path: str, schema: T.StructType | str,
+                     options: Mapping[str, str]) -> T.StructType:
+    """The schema in the order of a text file's header; unknown headings are texts."""
+    declared = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    types = {f.name: f.dataType for f in declared}
+    names = spark.read.options(**options).csv(path).columns
+    return T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
 
 
 def read_sessions(spark: SparkSession, path: str, *, fmt: str = "parquet",
                   schema: T.StructType | str | None = LOG_SCHEMA,
                   sessions: Sequence[str] | None = None,
-                  options: Mapping[str, str] | None = None, numbered: bool = True,
+                  options: Mapping[str, str] | None = None, raw: bool = False,
                   block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All sessions under ``path`` as one frame.
 
-    The layout is one ``session_id=...`` directory per session, or a table with
-    that column.  ``sessions`` selects by directory, so the others are not
-    listed into the scan.  A schema avoids inference.  With ``numbered=False``,
-    or a schema without ``seq``, rows are numbered by file and place in the file,
-    which only parquet knows.
+    The layout is one ``session_id=...`` directory per session, bucket directories
+    (see :func:`write_sessions`) or a table with that column.  ``sessions`` selects
+    by directory, so the others are not listed into the scan.  A schema avoids
+    inference.  With ``raw`` the log has its raw headings and a date as text.
+
+    Rows of files without ``seq`` are numbered by file and place in the file,
+    which only parquet knows; the files' own schema tells, not the declared one.
+    A null session or position stops the job that meets it; see
+    :func:`check_positions` for repeated ones.  Text files with a header are bound
+    by name, and what does not parse stops the job.
     """
-    if not numbered and isinstance(schema, T.StructType):
-        schema = T.StructType([f for f in schema if f.name != "seq"])
-    reader = spark.read.options(**dict(options or {}))
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.format(fmt).load(path)
+    given = dict(options or {})
+    reader = spark.read.options(**given)
+    if raw:
+        df = reader.format(fmt).load(path)
+    elif fmt == "csv" and given.get("header", "").lower() == "true" and schema is not None:
+        df = (reader.option("mode", "FAILFAST")
+              .schema(_bound_by_header(spark, path, schema, given)).csv(path))
+    elif schema is not None:
+        own = schema
+        if fmt in ("parquet", "orc"):
+            declared = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+            there = set(reader.format(fmt).load(path).columns)
+            own = T.StructType([f for f in declared if f.name in there or f.name != "seq"])
+        df = reader.option("mode", "FAILFAST").schema(own).format(fmt).load(path)
+    else:
+        df = reader.format(fmt).load(path)
     if sessions is not None:
-        df = df.where(F.col("session_id").isin(list(sessions)))
-    if "seq" in df.columns:
-        return df
-    if fmt != "parquet":
-        raise ValueError("a text log needs a seq column: its row order is not stored")
-    placed = df.select("*", F.col("_metadata.file_path").alias("__file"),
-                       F.col("_metadata.row_index").alias("__row"))
-    long = long_sessions(placed, ["session_id"], block_rows)
-    return row_sequence(placed, ["session_id"], ["__file", "__row"], long=long).drop(
-        "__file", "__row")
+        df = df.where(F.col("session_id").cast("string").isin(list(sessions)))
+        if BUCKET in df.columns and sessions:
+            n = buckets_of(spark, path)
+            of = spark.createDataFrame([(s,) for s in sessions], "s string").select(
+                bucket_of("s", n).alias("b")).distinct().collect()
+            df = df.where(F.col(BUCKET).isin([r["b"] for r in of]))
+    df = df.drop(BUCKET)
+    if "seq" not in df.columns:
+        if fmt != "parquet":
+            raise ValueError("a text log needs a seq column: its row order is not stored")
+        # Files of one write are numbered; their names need not sort as numbers.
+        placed = df.select(
+            "*", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
+            .try_cast("bigint").alias("__file_no"), F.col("_metadata.file_path").alias("__file"),
+            F.col("_metadata.row_index").alias("__row"))
+        df = row_sequence(placed, ["session_id"], ["__file_no", "__file", "__row"],
+                          long=long_sessions(placed, ["session_id"], block_rows)).drop(
+            "__file_no", "__file", "__row")
+    if raw:
+        df = from_headings(df)
+    return _never_null(df, "session_id", "seq")
+
+
+def check_positions(log: DataFrame) -> None:
+    """Raise if a session repeats a position.  Runs one job over two columns."""
+    twice = log.groupBy("session_id", "seq").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
+    if twice:
+        raise ValueError(f"session {twice[0]['session_id']!r} repeats seq {twice[0]['seq']}")
 
 
 def read_dictionary(spark: SparkSession, path: str, *, fmt: str = "parquet",
                     options: Mapping[str, str] | None = None) -> DataFrame:
     """The label dictionary; ``dict_seq`` decides which entry of a key is first."""
-    return (spark.read.options(**dict(options or {})).schema(DICTIONARY_SCHEMA)
-            .format(fmt).load(path))
+    given = dict(options or {})
+    schema = DICTIONARY_SCHEMA
+    if fmt == "csv" and given.get("header", "").lower() == "true":
+        schema = _bound_by_header(spark, path, schema, given)
+    return (spark.read.options(**given).option("mode", "FAILFAST").schema(schema)
+            .format(fmt).load(path).select(*DICTIONARY_SCHEMA.fieldNames()))
 
 
 def name_sessions(df: DataFrame, catalogue: DataFrame, position: str = "sheet_no",
@@ -96,30 +159,65 @@ def name_sessions(df: DataFrame, catalogue: DataFrame, position: str = "sheet_no
     return df.join(catalogue.select(position, "session_id"), position, "inner")
 
 
+BUCKET = "session_bucket"
+
+
+def bucket_of(session: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(session).cast("string")), F.lit(buckets)).cast("int")
+
+
+def buckets_of(spark: SparkSession, path: str) -> int:
+    """The number of buckets a dataset was written with, from its marker file."""
+    return int(spark.read.text(f"{path.rstrip('/')}/_buckets").first()[0])
+
+
+def _with_order(df: DataFrame, fmt: str, order: Sequence[str]) -> DataFrame:
+    """Text files cannot hold a struct: there it becomes a text that sorts alike."""
+    if fmt != "csv":
+        return df
+    for c in order:
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.StructType):
+            df = df.withColumn(c, F.concat_ws(".", *[
+                F.lpad(F.col(c)[f.name].cast("string"), 12, "0") for f in kind]))
+    return df
+
+
 def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet",
-                   order: Sequence[str] = ("row_order",), keep_order: bool = False,
-                   ranged: bool = False, options: Mapping[str, str] | None = None) -> None:
+                   order: Sequence[str] = ("row_order",), ranged: bool = False,
+                   buckets: int | None = None,
+                   options: Mapping[str, str] | None = None) -> None:
     """One directory per session, rows in order inside each file; overwrites.
 
-    The event table is already grouped by session, so sorting inside partitions
-    is enough and each task has one file open at a time.  ``ranged`` shuffles by
-    session and order first: for rows that are not grouped yet, and for long
-    sessions, whose files then follow each other in the order of their names.
+    The columns in ``order`` are written too, so that a reader can restore the
+    order of a session that lies in several files.  The event table is already
+    grouped by session, so sorting inside partitions is enough and each task has
+    one file open at a time.  ``ranged`` shuffles by session and order first: for
+    rows that are not grouped yet, and for long sessions, which then spread over
+    files that follow each other.
+
+    With very many sessions give ``buckets``: sessions share that many
+    directories, sorted by session, so neither listing nor commit grows with them.
     """
     placed = df.repartitionByRange("session_id", *order) if ranged else df
-    ordered = placed.sortWithinPartitions("session_id", *order)
-    out = ordered if keep_order else ordered.drop(*order)
-    (out.write.mode("overwrite").options(**dict(options or {}))
-     .partitionBy("session_id").format(fmt).save(path))
+    by = "session_id"
+    if buckets is not None:
+        placed, by = placed.withColumn(BUCKET, bucket_of("session_id", buckets)), BUCKET
+    ordered = _with_order(placed.sortWithinPartitions(
+        *([BUCKET] if buckets is not None else []), "session_id", *order), fmt, order)
+    (ordered.write.mode("overwrite").options(**dict(options or {}))
+     .partitionBy(by).format(fmt).save(path))
+    if buckets is not None:
+        (df.sparkSession.range(1).select(F.lit(str(buckets)).alias("value")).coalesce(1)
+         .write.mode("overwrite").text(f"{path.rstrip('/')}/_buckets"))
 
 
 def write_table(df: DataFrame, path: str, *, fmt: str = "parquet",
-                order: Sequence[str] = ("row_order",), keep_order: bool = False,
+                order: Sequence[str] = ("row_order",),
                 options: Mapping[str, str] | None = None) -> None:
-    """One table sorted by session and row; overwrites.
+    """One table sorted by session and row, the order columns kept; overwrites.
 
     The sort is by range, so a long session spreads over many files.
     """
-    ordered = df.orderBy("session_id", *order)
-    out = ordered if keep_order else ordered.drop(*order)
-    out.write.mode("overwrite").options(**dict(options or {})).format(fmt).save(path)
+    ordered = _with_order(df.orderBy("session_id", *order), fmt, order)
+    ordered.write.mode("overwrite").options(**dict(options or {})).format(fmt).save(path)

@@ -27,6 +27,7 @@ ACCEPTED_DIG_ENDS = (
     "Other vig.; Re-Dig; End (+Modifiers)",
 )
 DEFAULT_OUTCOME = "success"
+DIG_STOPS = "End|Dig"
 
 # --- fixed values: sizes -----------------------------------------------------
 ANY_SIZE = "Tiny|Small|Medium|Large"

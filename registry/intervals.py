@@ -11,28 +11,28 @@ from fieldtrace.operators.intervals import Fields, odd_dig_end
 from fieldtrace.plans.event_table import normalize
 
 from .base import has, query, semis, table
-from .script import LOG_SQL, scripted_log
+from .script import IN_TURN, LOG_SQL, SCATTERED, scattered, scripted_log
 from .table import BY_OTHER_SQL, DIG_SQL, FAMILY_SQL, NONE, RAW_SQL, family_sql, one_size
 
 VALUES = ("end_sec", "duration", "modifiers", "comments", "check", "removed")
 VALUES_SQL = 'end_sec, duration, modifiers, comments, check_flag AS "check", removed'
 
 
-def _log(spark, sf_dir):
-    log, long = scripted_log(spark, sf_dir)
+def _log(spark, sf_dir, place=IN_TURN):
+    log, long = scripted_log(spark, sf_dir, place)
     rows = normalize(log).select("session_id", "seq", "st_sec", "behavior", "modifiers",
                                  "comments", "check")
     return rows, long
 
 
-def _families(spark, sf_dir, *names):
-    rows, long = _log(spark, sf_dir)
+def _families(spark, sf_dir, *names, place=IN_TURN):
+    rows, long = _log(spark, sf_dir, place)
     return per_session(
         rows, lambda df, line: state_intervals(df, line, [FAMILIES[n] for n in names]), long=long)
 
 
-def _one_family(spark, sf_dir, name):
-    done = _families(spark, sf_dir, name).where(F.col(name).isNotNull())
+def _one_family(spark, sf_dir, name, place=IN_TURN):
+    done = _families(spark, sf_dir, name, place=place).where(F.col(name).isNotNull())
     return done.select("session_id", "seq", *[F.col(name)[v].alias(v) for v in VALUES])
 
 
@@ -40,6 +40,16 @@ def _family_sql(name):
     return f"WITH {RAW_SQL}, {FAMILY_SQL[name]} SELECT session_id, seq, {VALUES_SQL} FROM {name}"
 
 
+def _register_scattered(name):
+    @query(scattered(_family_sql(name)), name=f"state_{name}_scattered")
+    def over_scattered_rows(spark, sf_dir):
+        return _one_family(spark, sf_dir, name, SCATTERED)
+
+
+for _name in FAMILIES:
+    _register_scattered(_name)
+
+
 CLICKS_SQL = f"""WITH raw AS (
   SELECT user_id AS session_id, event_type AS behavior, CAST(NULL AS VARCHAR) AS modifiers,
          CAST(NULL AS VARCHAR) AS comments, {NONE} AS check_flag,
@@ -102,20 +112,32 @@ def state_end_by_other(spark, sf_dir):
     return done.select("session_id", "seq", *[F.col("by_other")[v].alias(v) for v in VALUES])
 
 
-def _digs(spark, sf_dir):
-    rows, long = _log(spark, sf_dir)
+def _digs(spark, sf_dir, place=IN_TURN):
+    rows, long = _log(spark, sf_dir, place)
     return per_session(rows, dig_intervals, long=long).where(F.col("dig").isNotNull())
 
 
 DIGS_SQL = f"WITH {RAW_SQL}, {BY_OTHER_SQL}, {DIG_SQL}"
 
 
-@query(f"{DIGS_SQL} SELECT session_id, seq, {VALUES_SQL}, named AS label, several FROM dig")
-def state_dig(spark, sf_dir):
-    return _digs(spark, sf_dir).select(
+STATE_DIG_SQL = f"{DIGS_SQL} SELECT session_id, seq, {VALUES_SQL}, named AS label, several FROM dig"
+
+
+def _dig_values(digs):
+    return digs.select(
         "session_id", "seq", *[F.col("dig")[v].alias(v) for v in (*VALUES, "label", "several")])
 
 
+@query(STATE_DIG_SQL)
+def state_dig(spark, sf_dir):
+    return _dig_values(_digs(spark, sf_dir))
+
+
+@query(scattered(STATE_DIG_SQL))
+def state_dig_scattered(spark, sf_dir):
+    return _dig_values(_digs(spark, sf_dir, SCATTERED))
+
+
 @query(f"{DIGS_SQL} SELECT session_id, seq, modifiers FROM dig WHERE modifiers = 'success'")
 def default_outcome(spark, sf_dir):
     digs = _digs(spark, sf_dir).select(
@@ -131,39 +153,54 @@ def drop_unsized_end(spark, sf_dir):
     return done.where(F.col("dig")["removed"].isNull()).select("session_id", "seq", "behavior")
 
 
-@query(f"""WITH {RAW_SQL}, {FAMILY_SQL['ga']}, {FAMILY_SQL['gt']}
-SELECT session_id, seq, ga.duration AS ga, gt.duration AS gt
-FROM ga FULL JOIN gt USING (session_id, seq)""")
+# All families side by side.
+NAMES = tuple(FAMILIES)
+ALL = (*NAMES, "by_other", "dig")
+ALL_SQL = f"WITH {RAW_SQL}, {', '.join(FAMILY_SQL.values())}, {BY_OTHER_SQL}, {DIG_SQL}"
+_JOINS = " ".join(f"LEFT JOIN {n} USING (session_id, seq)" for n in ALL)
+
+
+def _all_families(spark, sf_dir):
+    rows, long = _log(spark, sf_dir)
+
+    def work(df, line):
+        done = state_intervals(df, line, list(FAMILIES.values()))
+        done = ended_by_other(line.settle(done), line)
+        return dig_intervals(line.settle(done), line)
+
+    return per_session(rows, work, long=long)
+
+
+@query(f"""{ALL_SQL} SELECT r.session_id, r.seq, {', '.join(f'{n}.duration AS {n}' for n in ALL)}
+FROM raw r {_JOINS}""")
 def interval_duration(spark, sf_dir):
-    done = _families(spark, sf_dir, "ga", "gt")
-    return done.where(F.col("ga").isNotNull() | F.col("gt").isNotNull()).select(
-        "session_id", "seq", F.col("ga")["duration"].alias("ga"),
-        F.col("gt")["duration"].alias("gt"))
+    """What each family says the row lasts."""
+    return _all_families(spark, sf_dir).select(
+        "session_id", "seq", *[F.col(n)["duration"].alias(n) for n in ALL])
 
 
-@query(f"""WITH {RAW_SQL}, {FAMILY_SQL['ga']}, {FAMILY_SQL['inburr']}, {FAMILY_SQL['oov']}
-SELECT r.session_id, r.seq, r.behavior FROM raw r
-LEFT JOIN ga USING (session_id, seq) LEFT JOIN inburr USING (session_id, seq)
-LEFT JOIN oov USING (session_id, seq)
-WHERE ga.removed IS NULL AND inburr.removed IS NULL AND oov.removed IS NULL""")
+@query(f"""{ALL_SQL} SELECT r.session_id, r.seq, r.behavior FROM raw r {_JOINS}
+WHERE {' AND '.join(f'{n}.removed IS NULL' for n in NAMES)}""")
 def drop_end_markers(spark, sf_dir):
-    names = ("ga", "inburr", "oov")
-    done = _families(spark, sf_dir, *names)
-    for n in names:
+    done = _all_families(spark, sf_dir)
+    for n in NAMES:
         done = done.where(F.col(n)["removed"].isNull())
     return done.select("session_id", "seq", "behavior")
 
 
+# The families that hand notes on, strongest first.
+NOTED = ("dig", "oov", "burr", "gt", "inburr", "ga")
+
+
 def _inherit_sql(field):
-    return f"""WITH {RAW_SQL}, {FAMILY_SQL['burr']}, {FAMILY_SQL['inburr']}
-SELECT r.session_id, r.seq, coalesce(burr.{field}, inburr.{field}, r.{field}) AS {field}
-FROM raw r LEFT JOIN burr USING (session_id, seq) LEFT JOIN inburr USING (session_id, seq)"""
+    return f"""{ALL_SQL}
+SELECT r.session_id, r.seq, coalesce({', '.join(f'{n}.{field}' for n in NOTED)}, r.{field}) AS {field}
+FROM raw r {_JOINS}"""
 
 
 def _inherit(spark, sf_dir, field):
-    done = _families(spark, sf_dir, "burr", "inburr")
-    return done.select("session_id", "seq", F.coalesce(
-        F.col("burr")[field], F.col("inburr")[field], F.col(field)).alias(field))
+    return _all_families(spark, sf_dir).select("session_id", "seq", F.coalesce(
+        *[F.col(n)[field] for n in NOTED], F.col(field)).alias(field))
 
 
 @query(_inherit_sql("modifiers"))
@@ -184,11 +221,11 @@ def size_label(spark, sf_dir):
         fx.size_label("modifiers", "fa.", lone_tiny=False).alias("found"))
 
 
-@query(f"""WITH {LOG_SQL} SELECT session_id, seq, {has('behavior', 'Dig; End')} AND behavior NOT IN
+@query(f"""WITH {LOG_SQL} SELECT session_id, seq, {has('behavior', 'Dig; End')} AND coalesce(behavior, '') NOT IN
   ('Dig; End (+Modifiers)', 'Re-Dig; End (+Modifiers)', 'Other vig.; Dig; End (+Modifiers)',
    'Other vig.; Re-Dig; End (+Modifiers)') AS odd, {semis('modifiers')} > 1 AS several
-FROM log WHERE behavior IS NOT NULL""")
+FROM log""")
 def flag_compound(spark, sf_dir):
-    rows = _log(spark, sf_dir)[0].where(F.col("behavior").isNotNull())
+    rows = _log(spark, sf_dir)[0]
     return rows.select("session_id", "seq", odd_dig_end("behavior").alias("odd"),
                        (fx.count_pattern("modifiers", ";") > 1).alias("several"))

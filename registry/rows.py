@@ -56,18 +56,18 @@ def dictionary_relabel(spark, sf_dir):
 
 @query("""WITH entries AS (
   SELECT key, kind FROM (SELECT lower(p_name) AS key, p_type AS kind,
-    row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS place FROM part
-    WHERE p_size > 25) WHERE place = 1)
+    row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS place FROM part)
+  WHERE place = 1)
 SELECT p_partkey, p_brand, CASE WHEN e.key IS NOT NULL THEN e.kind ELSE p.p_name END AS label
 FROM part p LEFT JOIN entries e ON e.key = lower(p.p_name)""")
 def dictionary_relabel_by_shuffle(spark, sf_dir):
     """The way taken when a dictionary is too large to broadcast."""
     part = table(spark, sf_dir, "part")
-    entries = part.where(F.col("p_size") > 25).select(
+    entries = part.select(
         F.col("p_name").alias("behavior"), F.col("p_type").alias("replacement"),
         F.col("p_partkey").alias("dict_seq"))
     rows = part.select("p_partkey", "p_brand", F.col("p_name").alias("label"))
-    return op.relabel(rows, entries, "label", small=False)
+    return op.relabel(rows, entries, "label", small=False, hot_rows=20)
 
 
 NEAR_SQL = f"""near AS (
@@ -111,14 +111,14 @@ def duplicate_label(spark, sf_dir):
 
 
 @query(f"""WITH {LOG_SQL}, tagged AS (
-  SELECT session_id, seq, behavior, unnest(string_split(concat_ws('; ', agg_sub, play), '; ')) AS ob
+  SELECT session_id, seq, behavior, unnest(string_split(concat_ws('; ', agg_sub, play, olfactory), '; ')) AS ob
   FROM log)
 SELECT session_id, seq, ob AS behavior, ob, 0 AS tag_rank FROM tagged
 WHERE ob <> '' AND behavior NOT IN ('Aggr./Sub.', 'Play', 'Olfactory')
 UNION ALL SELECT session_id, seq, CASE WHEN behavior IN ('Aggr./Sub.', 'Play', 'Olfactory')
   THEN ob ELSE behavior END, ob, 1 FROM tagged""")
 def duplicate_tagged(spark, sf_dir):
-    rows = _log(spark, sf_dir, "behavior", fx.merge_tags(["agg_sub", "play"]).alias("ob"))
+    rows = _log(spark, sf_dir, "behavior", fx.merge_tags(["agg_sub", "play", "olfactory"]).alias("ob"))
     rows = op.explode_tokens(rows, "ob", "; ", "ob", "tag_pos").drop("tag_pos")
     category = F.col("behavior").isin(*CATEGORIES)
     rows = op.duplicate_where(rows, (F.col("ob") != "") & ~category, "tag_rank",
@@ -129,7 +129,8 @@ def duplicate_tagged(spark, sf_dir):
 @query(f"""WITH {LOG_SQL}, shared AS (
   SELECT session_id, seq, behavior, {hits('partner', 'Receive|Recieve')}
       AND {hits('partner', 'Reciprocate|Initiate')}
-      AND NOT {hits('behavior', '^Approach|^Receive approach')} AS mutual,
+      AND NOT {hits('behavior', '^Approach|^Receive approach')}
+      AND concat_ws('; ', agg_sub, play, olfactory) = '' AS mutual,
     regexp_replace(partner, 'Receive;|Recieve;', '') AS rest FROM log)
 SELECT session_id, seq, 1 AS mirror_rank, behavior, CASE WHEN mutual THEN rest END AS partner
 FROM shared
@@ -138,7 +139,8 @@ UNION ALL SELECT session_id, seq, 0,
   trim(regexp_replace(regexp_replace(rest, 'Reciprocate', 'Receive'), 'Initiate', 'Receive'))
 FROM shared WHERE mutual""")
 def mirror_partner(spark, sf_dir):
-    rows = _log(spark, sf_dir, "behavior", "partner", F.lit("").alias("ob"))
+    rows = _log(spark, sf_dir, "behavior", "partner",
+                fx.merge_tags(["agg_sub", "play", "olfactory"]).alias("ob"))
     return op.mirror_partner(rows).drop("ob")
 
 
@@ -151,47 +153,56 @@ def explode_tokens(spark, sf_dir):
 
 
 def _lists_sql(select):
-    return f"""WITH {LOG_SQL}, lists AS (
-  SELECT session_id, seq, behavior, coalesce(string_split(agg_sub, ';'), [NULL]) AS la,
-         coalesce(string_split(play, ';'), [NULL]) AS lp FROM log
-  WHERE agg_sub IS NULL OR play IS NULL OR NOT contains(agg_sub, ';') OR NOT contains(play, ';')),
+    return f"""WITH {LOG_SQL}, split AS (
+  SELECT *, coalesce(string_split(agg_sub, ';'), [NULL]) AS la,
+         coalesce(string_split(play, ';'), [NULL]) AS lp,
+         coalesce(string_split(olfactory, ';'), [NULL]) AS lo FROM log),
+sizes AS (SELECT *, greatest(len(la), len(lp), len(lo)) AS most FROM split),
+lists AS (
+  SELECT *, (len(la) NOT IN (1, most)) OR (len(lp) NOT IN (1, most)) OR (len(lo) NOT IN (1, most)) AS uneven
+  FROM sizes),
 pieces AS (
   SELECT session_id, seq, CAST(place - 1 AS INTEGER) AS piece_pos,
-         la[CASE WHEN len(la) = 1 THEN 1 ELSE place END] AS agg_sub,
-         lp[CASE WHEN len(lp) = 1 THEN 1 ELSE place END] AS play
-  FROM (SELECT *, unnest(range(1, greatest(len(la), len(lp)) + 1)) AS place FROM lists))
+         CASE WHEN uneven THEN true WHEN pup_care IS NOT NULL THEN true END AS "check",
+         CASE WHEN uneven THEN agg_sub ELSE la[CASE WHEN len(la) = 1 THEN 1 ELSE place END] END AS agg_sub,
+         CASE WHEN uneven THEN play ELSE lp[CASE WHEN len(lp) = 1 THEN 1 ELSE place END] END AS play,
+         CASE WHEN uneven THEN olfactory ELSE lo[CASE WHEN len(lo) = 1 THEN 1 ELSE place END] END AS olfactory
+  FROM (SELECT *, unnest(range(1, CASE WHEN uneven THEN 2 ELSE most + 1 END)) AS place FROM lists))
 {select}"""
 
 
-def _pieces(spark, sf_dir):
-    one = F.col("agg_sub").isNull() | F.col("play").isNull() | ~F.col("agg_sub").contains(";") \
-        | ~F.col("play").contains(";")
-    rows = _log(spark, sf_dir, "agg_sub", "play").where(one)   # lists that can be zipped
-    return op.zip_explode(rows, ["agg_sub", "play"], ";")
+TAGS = ("agg_sub", "play", "olfactory")
+
+
+def _pieces(df):
+    """All rows; lists of different length stay whole and are flagged."""
+    return op.zip_explode(df, TAGS, ";", on_mismatch="flag")
+
+
+def _tag_rows(log):
+    return log.select("session_id", "seq", *TAGS,
+                      fx.review_flag("pup_care", F.lit(None).cast("boolean")).alias("check"))
 
 
 @query(_lists_sql("SELECT * FROM pieces"))
 def zip_explode(spark, sf_dir):
-    return _pieces(spark, sf_dir)
+    return _pieces(_tag_rows(scripted_log(spark, sf_dir)[0]))
 
 
-@query(_lists_sql("""SELECT session_id, seq, piece_pos, play,
+@query(_lists_sql("""SELECT session_id, seq, piece_pos, play, olfactory, "check",
   CASE WHEN trim(agg_sub) IN ('Lose', 'Win', 'Unclear winner') AND coalesce(contains(pa, 'Fcomp'), false)
        THEN trim(pa) || ' ' || trim(agg_sub) ELSE trim(agg_sub) END AS agg_sub
 FROM (SELECT *, lag(agg_sub) OVER (PARTITION BY session_id ORDER BY seq, piece_pos) AS pa
-      FROM (SELECT * EXCLUDE (play), trim(play) AS play FROM pieces))"""))
+      FROM (SELECT * EXCLUDE (play, olfactory), trim(play) AS play, trim(olfactory) AS olfactory
+            FROM pieces))"""))
 def attach_outcome(spark, sf_dir):
     """Outcomes take the competition tag before them, also across rows."""
     log, long = scripted_log(spark, sf_dir)
-    one = F.col("agg_sub").isNull() | F.col("play").isNull() | ~F.col("agg_sub").contains(";") \
-        | ~F.col("play").contains(";")
-    rows = log.select("session_id", "seq", "agg_sub", "play").where(one)
 
     def work(df, line):
-        pieces = op.trim_all(op.zip_explode(df, ["agg_sub", "play"], ";"))
-        return op.attach_outcome(pieces, line.ordered_by("seq", "piece_pos"))
+        return op.attach_outcome(op.trim_all(_pieces(df)), line.ordered_by("seq", "piece_pos"))
 
-    return op.per_session(rows, work, long=long)
+    return op.per_session(_tag_rows(log), work, long=long)
 
 
 @query(f"""WITH {LOG_SQL}, named AS (

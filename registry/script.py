@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions import format_clock
 from fieldtrace.operators import long_sessions, row_sequence
+from fieldtrace.operators.timeline import BLOCK_ROWS
 
 from .base import table
 
@@ -104,21 +105,27 @@ DICTIONARY = (
 )
 
 
-def scripted_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame | None]:
-    """The log, and its sessions too long for one task (None if there are none)."""
+# The place in the script, in turn or scattered so that neighbours vary.
+IN_TURN = "(seq + session_id)"
+SCATTERED = "(event_id * 37 + session_id * 11 + seq * seq)"
+
+
+def scripted_log(spark: SparkSession, sf_dir: str, place: str = IN_TURN,
+                 limit: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """The log, and its sessions with more than ``limit`` rows (None if there are none)."""
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session_id"), "ts", "event_id", "event_type")
-    long = long_sessions(events, ["session_id"])
+    long = long_sessions(events.select("session_id"), ["session_id"], limit)
     rows = row_sequence(events, ["session_id"], ["ts", "event_id"], long=long)
-    return lay_script(rows), long
+    return lay_script(rows, place), long
 
 
-def lay_script(rows: DataFrame) -> DataFrame:
+def lay_script(rows: DataFrame, place: str = IN_TURN) -> DataFrame:
     cells = rows.sparkSession.sql(
         f"SELECT * FROM VALUES {_values((i, *r) for i, r in enumerate(SCRIPT))} "
         f"AS script(idx, {', '.join(CELLS)})")
     timed = rows.selectExpr(
-        "*", f"cast((seq + session_id) % {len(SCRIPT)} AS int) AS idx",
+        "*", f"cast({place} % {len(SCRIPT)} AS int) AS idx",
         "21600 + 13 * seq + event_id % 7 AS __sec")
     timed = timed.withColumn("__clock", format_clock("__sec"))
     # One row per place of the script, so the size of this side is fixed.
@@ -126,8 +133,8 @@ def lay_script(rows: DataFrame) -> DataFrame:
         "session_id", "seq", "date_add(DATE'2024-01-01', cast(session_id % 300 AS int)) AS date",
         """CASE WHEN session_id % 2 = 0 THEN cast(__sec / 86400.0D AS string)
            ELSE concat('1899-12-31 ', __clock) END AS time_raw""",
-        "cast(NULL AS string) AS time_2", "concat(' obs ', session_id % 3) AS observer",
-        "event_type AS groups", *CELLS, "cast(NULL AS string) AS sex",
+        "concat('t', seq % 5, ' ') AS time_2", "concat(' obs ', session_id % 3) AS observer",
+        "event_type AS groups", *CELLS, "CASE WHEN session_id % 3 > 0 THEN 'f' END AS sex",
         "concat('h', session_id % 2) AS life_history",
         "concat('r', seq % 4, ' ') AS time_spent_running")
 
@@ -150,6 +157,8 @@ def _values(rows) -> str:
 
 
 # CTE ``log``: the scripted log with ``st_sec`` and a null ``check_flag``.
+_IN_TURN_SQL = "(n.seq + n.session_id)"
+_SCATTERED_SQL = "(n.event_id * 37 + n.session_id * 11 + n.seq * n.seq)"
 LOG_SQL = f"""script(idx, {', '.join(CELLS)}) AS (VALUES
     {_values([(i, *r) for i, r in enumerate(SCRIPT)])}),
 numbered AS (
@@ -159,10 +168,17 @@ numbered AS (
 log AS (
   SELECT n.session_id, n.seq, DATE '2024-01-01' + CAST(n.session_id % 300 AS INTEGER) AS date,
          21600 + 13 * n.seq + n.event_id % 7 AS st_sec,
+         't' || (n.seq % 5) || ' ' AS time_2, CASE WHEN n.session_id % 3 > 0 THEN 'f' END AS sex,
          ' obs ' || (n.session_id % 3) AS observer, n.event_type AS groups,
          {', '.join('s.' + c for c in CELLS)},
          'h' || (n.session_id % 2) AS life_history, 'r' || (n.seq % 4) || ' ' AS time_spent_running
-  FROM numbered n JOIN script s ON s.idx = (n.seq + n.session_id) % {len(SCRIPT)})"""
+  FROM numbered n JOIN script s ON s.idx = {_IN_TURN_SQL} % {len(SCRIPT)})"""
+
+
+def scattered(sql: str) -> str:
+    """The same statement over the scattered log."""
+    return sql.replace(_IN_TURN_SQL, _SCATTERED_SQL)
+
 
 DICTIONARY_SQL = f"""dictionary(behavior, replacement, dict_seq) AS (VALUES
     {_values(DICTIONARY)}),

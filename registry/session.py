@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from fieldtrace import sources
+from fieldtrace.functions import normalize_time
 from fieldtrace.operators import (Ahead, Behind, Timeline, fill_down, long_sessions,
-                                  per_session, row_position, row_sequence, running_counter)
+                                  per_session, relabel, row_sequence, running_counter)
 from fieldtrace.operators.timeline import shared_folder
+from fieldtrace.vocabulary import DATE_SUFFIX
 
-from .base import has, query, table
-from .script import LOG_SQL, scripted_log
+from .base import query, table
+from .script import CELLS, DICTIONARY_SQL, LOG_SQL, dictionary, scripted_log
 
 
 def _events(spark, sf_dir):
@@ -55,7 +57,7 @@ def sink_roundtrip(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("session_id"), "event_id", "ts", "value")
     path = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
-    sources.write_sessions(rows, path, order=("ts", "event_id"), keep_order=True, ranged=True)
+    sources.write_sessions(rows, path, order=("ts", "event_id"), ranged=True)
     schema = "event_id bigint, ts timestamp_ntz, value double, session_id string"
     back = sources.read_sessions(spark, path, schema=schema)
     return back.select("session_id", "event_id", "value", "seq")
@@ -111,12 +113,58 @@ def subset_lead(spark, sf_dir):
         F.col("view_2").alias("view_before"), "previous")
 
 
-@query(f"""WITH {LOG_SQL}, kept AS (SELECT * FROM log WHERE {has('behavior', 'Dig', 'End')})
+@query(f"""WITH {LOG_SQL}
 SELECT session_id, seq, behavior,
-  row_number() OVER (PARTITION BY session_id ORDER BY seq) AS row_no FROM kept""")
+  row_number() OVER (PARTITION BY session_id ORDER BY behavior NULLS FIRST, seq) AS row_no FROM log""")
 def ordered_output(spark, sf_dir):
-    """Order as data: a dense place for each row that is left."""
+    """Order as data: a dense place for every row, by label and position."""
     log, long = scripted_log(spark, sf_dir)
-    kept = log.select("session_id", "seq", "behavior").where(
-        F.col("behavior").contains("Dig") | F.col("behavior").contains("End"))
-    return per_session(kept, row_position, long=long)
+    return row_sequence(log.select("session_id", "seq", "behavior"), ["session_id"],
+                        ["behavior", "seq"], "row_no", long=long)
+
+
+@query("""SELECT CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS session_id, event_id,
+  row_number() OVER (PARTITION BY CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END
+                     ORDER BY ts, event_id) AS seq FROM events""")
+def row_sequence_long(spark, sf_dir):
+    """One session with a third of all rows, numbered by the way for long sessions."""
+    rows = table(spark, sf_dir, "events").select(
+        F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")).cast("bigint")
+        .alias("session_id"), "ts", "event_id")
+    long = long_sessions(rows, ["session_id"], rows.count() // 10)
+    return row_sequence(rows, ["session_id"], ["ts", "event_id"], long=long).drop("ts")
+
+
+RAW_NAMES = {v: k for k, v in sources.sessions.RAW_HEADINGS.items()} | {
+    "focal_individual": "The focal individual", "partner": "Sender partner(s)", "time_2": "Time...9"}
+
+
+@query(f"""WITH {LOG_SQL} SELECT CAST(session_id AS VARCHAR) AS session_id, seq, date, st_sec, time_2,
+  observer, groups, {', '.join(CELLS)}, sex, life_history, time_spent_running FROM log""")
+def raw_source(spark, sf_dir):
+    """The log written as raw tables (headings, date and time as texts, no position,
+    one directory per session) and read again."""
+    log, long = scripted_log(spark, sf_dir)
+    raw = log.withColumn("date", F.concat(F.col("date").cast("string"), F.lit(DATE_SUFFIX)))
+    raw = raw.withColumnsRenamed(RAW_NAMES)
+    path = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
+    (raw.repartition("session_id").sortWithinPartitions("session_id", "seq").drop("seq")
+     .write.partitionBy("session_id").parquet(path))
+    back = sources.read_sessions(spark, path, raw=True)
+    return back.select(
+        F.col("session_id").cast("string").alias("session_id"), "seq", "date",
+        normalize_time("time_raw").alias("st_sec"), "time_2", "observer", "groups", *CELLS, "sex",
+        "life_history", "time_spent_running")
+
+
+@query(f"""WITH {LOG_SQL}, {DICTIONARY_SQL}
+SELECT l.session_id, l.seq,
+  CASE WHEN e.key IS NOT NULL THEN e.replacement ELSE l.behavior END AS behavior
+FROM log l LEFT JOIN entries e ON e.key = lower(l.behavior)""")
+def dictionary_source(spark, sf_dir):
+    """The dictionary written as a file with a header in another column order."""
+    path = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
+    (dictionary(spark).select("dict_seq", "replacement", "behavior").coalesce(1)
+     .write.option("header", "true").csv(path))
+    words = sources.read_dictionary(spark, path, fmt="csv", options={"header": "true"})
+    return relabel(scripted_log(spark, sf_dir)[0].select("session_id", "seq", "behavior"), words)

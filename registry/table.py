@@ -4,14 +4,20 @@ base, one family after another."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldtrace.operators import per_session, row_position
-from fieldtrace.plans import ROW_ORDER
+from fieldtrace.operators.timeline import shared_folder
+from fieldtrace.plans import ROW_ORDER, report
 from fieldtrace.plans import event_table as build
+from fieldtrace.sources import write_sessions, write_table
 
 from .base import has, hits, query, semis
-from .script import DICTIONARY_SQL, LOG_SQL, dictionary, scripted_log
+from .script import (DICTIONARY_SQL, IN_TURN, LOG_SQL, SCATTERED, dictionary, scattered,
+                     scripted_log)
 
 PATCH = ("end_sec", "duration", "modifiers", "comments", "check_flag")
 SIZED = ("Tiny", "Small", "Medium", "Large")
@@ -254,7 +260,7 @@ trimmed AS (
     {', '.join(f"trim({c}, ' ' || chr(9)) AS {c}" for c in (
         'agg_sub', 'play', 'olfactory', 'behavior', 'modifiers', 'comments', 'partner',
         'focal_individual', 'pup_care', 'kmp_id', 'location', 'observer', 'groups',
-        'life_history', 'time_spent_running'))},
+        'life_history', 'time_spent_running', 'time_2', 'sex'))},
     trim(month(date) || '.' || focal_no || '.' || coalesce(kmp_id, 'NA'), ' ' || chr(9)) AS focal_id,
     size_rank, marker_rank, size_pos, piece_pos
   FROM pieces),
@@ -314,28 +320,54 @@ clocked AS (
 OUTPUT_SQL = """SELECT session_id, seq, focal_id, location, strftime(date, '%m/%d/%Y') AS date_text,
   st_time, end_time, duration_time AS duration, CAST(duration AS BIGINT) AS s_duration,
   observer, groups, kmp_id, focal_individual, behavior, partner, agg_sub, olfactory, play,
-  pup_care, modifiers, life_history, time_spent_running, comments, check_flag AS "check"
+  pup_care, modifiers, life_history, time_spent_running, time_2, sex, comments, check_flag AS "check"
 FROM clocked"""
 
 ORDER = ", ".join(ROW_ORDER)
 
 
-def flagship(spark, sf_dir):
-    log, long = scripted_log(spark, sf_dir)
-    return build(log, dictionary(spark), long=long), long
+def flagship(spark, sf_dir, place=IN_TURN, **options):
+    log, long = scripted_log(spark, sf_dir, place)
+    return build(log, dictionary(spark), long=long, **options), long
+
+
+def _all_headings(events):
+    """All 24 headings and the position of the raw row."""
+    return events.withColumn("seq", F.col("row_order")["seq"]).drop("row_order")
+
 
+WHOLE_SQL = STAGES_SQL + "\n" + OUTPUT_SQL
 
-@query(STAGES_SQL + "\n" + OUTPUT_SQL)
+
+@query(WHOLE_SQL)
 def event_table(spark, sf_dir):
     """The whole table: every rule, in the order in which the protocol applies them."""
-    events, _ = flagship(spark, sf_dir)
-    return (events.withColumn("seq", F.col("row_order")["seq"])
-            .drop("row_order", "time_2", "sex"))
+    return _all_headings(flagship(spark, sf_dir)[0])
+
+
+@query(scattered(WHOLE_SQL))
+def event_table_scattered(spark, sf_dir):
+    """The same over rows whose neighbours vary."""
+    return _all_headings(flagship(spark, sf_dir, SCATTERED)[0])
+
 
+# Sessions that are cut, and the blocks they are cut into.
+LONG_ROWS, BLOCK = 66, 7
 
-@query(STAGES_SQL + f"""
+
+@query(scattered(WHOLE_SQL))
+def event_table_blocked(spark, sf_dir):
+    """The same with long sessions worked block by block."""
+    log, long = scripted_log(spark, sf_dir, SCATTERED, LONG_ROWS)
+    return _all_headings(build(log, dictionary(spark), long=long, block_rows=BLOCK))
+
+
+ORDERED_SQL = STAGES_SQL + f"""
 SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY {ORDER}) AS row_no,
-  seq, behavior, partner, modifiers, s FROM (SELECT *, CAST(duration AS BIGINT) AS s FROM clocked)""")
+  seq, behavior, partner, modifiers, s FROM (SELECT *, CAST(duration AS BIGINT) AS s FROM clocked)"""
+
+
+@query(ORDERED_SQL)
 def stable_order(spark, sf_dir):
     """Copies before originals, pieces in place: the order as a dense number."""
     events, long = flagship(spark, sf_dir)
@@ -344,3 +376,67 @@ def stable_order(spark, sf_dir):
     done = per_session(ranked, lambda df, line: row_position(df, line, "row_no"),
                        order=ROW_ORDER, long=long)
     return done.select("session_id", "row_no", "seq", "behavior", "partner", "modifiers", "s")
+
+
+def _numbered_back(back):
+    """What a reader of the sink does to restore the order."""
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("row_order")).cast("bigint")
+    return back.select(
+        "session_id", place.alias("row_no"), F.col("row_order.seq").alias("seq"),
+        F.col("Behavior").alias("behavior"), F.col("`Partner(s)`").alias("partner"),
+        F.col("Modifiers").alias("modifiers"), F.col("`S.Duration`").alias("s"))
+
+
+@query(ORDERED_SQL)
+def sink_order(spark, sf_dir):
+    """Long sessions cut, written as the job writes them in shared directories, read
+    and put in order."""
+    log, long = scripted_log(spark, sf_dir, limit=LONG_ROWS)
+    events = report(build(log, dictionary(spark), long=long, block_rows=BLOCK), keep_order=True)
+    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    write_sessions(events, path, ranged=long is not None, buckets=8)
+    return _numbered_back(spark.read.schema(events.schema).parquet(path))
+
+
+@query(ORDERED_SQL)
+def sink_single_table(spark, sf_dir):
+    """The report as one sorted table, read and put in order."""
+    events = report(flagship(spark, sf_dir)[0], keep_order=True)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    write_table(events, path)
+    return _numbered_back(spark.read.schema(events.schema).parquet(path))
+
+
+# -- repairs: the statement with one branch switched --------------------------------
+
+def _switched(sql: str, *changes: tuple[str, str]) -> str:
+    for old, new in changes:
+        if old not in sql:
+            raise ValueError(f"not in the statement: {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+REPAIRED_SQL = {
+    # Rows under review stay.
+    "keep_flagged": [("FROM tiny WHERE NOT only_tiny AND several IS NULL)",
+                      "FROM tiny WHERE several IS NULL OR check_flag IS NOT NULL)")],
+    # Originals are not repeated for each of several tags.
+    "dedup_original": [("ELSE behavior END AS behavior\n  FROM tagged),",
+                        "ELSE behavior END AS behavior\n  FROM tagged\n  WHERE NOT (coalesce(behavior "
+                        "NOT IN ('Aggr./Sub.', 'Play', 'Olfactory'), false) AND (piece_pos > 0 OR tag_pos > 0))),")],
+    # Partners of rows that are not split stay.
+    "keep_partner": [("CASE WHEN mutual THEN regexp_replace(partner, 'Receive;|Recieve;', '') END AS partner",
+                      "CASE WHEN mutual THEN regexp_replace(partner, 'Receive;|Recieve;', '') "
+                      "ELSE partner END AS partner")],
+}
+
+
+def _register_repair(name: str) -> None:
+    @query(_switched(WHOLE_SQL, *REPAIRED_SQL[name]), name=f"repair_{name}")
+    def repaired(spark, sf_dir):
+        return _all_headings(flagship(spark, sf_dir, repair={name})[0])
+
+
+for _name in REPAIRED_SQL:
+    _register_repair(_name)

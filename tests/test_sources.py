@@ -1,6 +1,7 @@
 """Reading, writing and column operators."""
 
 import re
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ SESSIONS = {"s1": [(10, "GA", {"comments": "x"}), (20, "GA; End"), (30, "Dig")],
 def test_log_round_trip(spark, tmp_path, fmt):
     log = log_of(spark, SESSIONS)
     path = str(tmp_path / fmt)
-    write_sessions(log, path, fmt=fmt, order=["seq"], keep_order=True, ranged=True,
+    write_sessions(log, path, fmt=fmt, order=["seq"], ranged=True,
                    options={"header": "true"})
     schema = "seq bigint," + ",".join(
         f"{f.name} {f.dataType.simpleString()}" for f in LOG_SCHEMA if f.name not in
@@ -44,7 +45,7 @@ def test_log_round_trip(spark, tmp_path, fmt):
 def test_rows_are_numbered_by_place_in_file(spark, tmp_path):
     log = log_of(spark, SESSIONS).drop("seq")
     log.coalesce(1).write.partitionBy("session_id").parquet(str(tmp_path / "p"))
-    back = read_sessions(spark, str(tmp_path / "p"), numbered=False)
+    back = read_sessions(spark, str(tmp_path / "p"))
     assert as_rows(back, "session_id", "seq", "behavior") == as_rows(
         log_of(spark, SESSIONS), "session_id", "seq", "behavior")
     log.coalesce(1).write.partitionBy("session_id").csv(str(tmp_path / "c"))
@@ -62,7 +63,6 @@ def test_report_to_both_sinks(spark, tmp_path):
     write_table(events, str(tmp_path / "one"))
     for name in ("by_session", "one"):
         back = spark.read.parquet(str(tmp_path / name))
-        assert "row_order" not in back.columns
         assert as_rows(back.where("session_id = 's1'"), "Behavior", "`S.Duration`") == [
             ("Dig", None), ("state.ga", 10)]
 
@@ -129,3 +129,118 @@ def test_batch_job(spark, tmp_path, flags):
           "--sessions", "s1", *flags])
     back = spark.read.parquet(str(tmp_path / "out"))
     assert as_rows(back, "session_id", "Behavior") == [("s1", "Dig"), ("s1", "x")]
+
+
+# -- sinks keep the order, at any size ------------------------------------------
+
+def restored(back, session="s1"):
+    rows = back.where(F.col("session_id") == session).orderBy("row_order")
+    return [r["Comments"] for r in rows.collect()]
+
+
+@pytest.mark.parametrize("flags", [[], ["--buckets", "3"], ["--single"]])
+def test_job_keeps_the_order_of_a_cut_session(spark, tmp_path, monkeypatch, flags):
+    lines = [(k, "Play", {"comments": f"c{k:03}"}) for k in range(40)]
+    log = log_of(spark, {"s1": lines, "s2": lines[:5]})
+    log.repartition(4).write.parquet(str(tmp_path / "log"))
+    words = spark.createDataFrame([], "behavior string, replacement string, dict_seq bigint")
+    words.write.parquet(str(tmp_path / "words"))
+    real = op.long_sessions
+    monkeypatch.setattr("fieldtrace.__main__.long_sessions",
+                        lambda df, keys: real(df, keys, block_rows=7))
+    monkeypatch.setattr("fieldtrace.__main__.event_table", partial(event_table, block_rows=7))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        main([str(tmp_path / "log"), str(tmp_path / "words"), str(tmp_path / "out"), *flags])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert restored(back) == [f"c{k:03}" for k in range(40)]
+
+
+def test_text_sink_writes_a_sortable_order(spark, tmp_path):
+    lines = [(k, "Play", {"comments": f"c{k:03}"}) for k in range(12)]
+    words = spark.createDataFrame([], "behavior string, replacement string, dict_seq bigint")
+    events = report(event_table(log_of(spark, {"s1": lines}), words), keep_order=True)
+    write_sessions(events, str(tmp_path / "csv"), fmt="csv", options={"header": "true"})
+    back = spark.read.option("header", "true").csv(str(tmp_path / "csv"))
+    assert restored(back) == [f"c{k:03}" for k in range(12)]
+
+
+def test_buckets_are_pruned(spark, tmp_path):
+    log = log_of(spark, {f"s{k}": [(1, "GA"), (2, "Dig")] for k in range(20)})
+    path = str(tmp_path / "b")
+    write_sessions(log, path, order=["seq"], buckets=4)
+    some = read_sessions(spark, path, sessions=["s3"])
+    assert as_rows(some, "session_id", "seq") == [("s3", 1), ("s3", 2)]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = some.select("*")._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert re.search(r"PartitionFilters: \[[^\]]*session_bucket#\d+ (IN|=)", plan)
+    assert "seq" in read_sessions(spark, path).columns and read_sessions(spark, path).count() == 40
+
+
+# -- the reader neither mis-numbers nor mis-binds ----------------------------------
+
+def stops(df, match):
+    with pytest.raises(Exception, match=match):
+        df.collect()
+
+
+def test_null_positions_and_sessions_stop_the_job(spark, tmp_path):
+    log = log_of(spark, SESSIONS)
+    for col in ("seq", "session_id"):
+        bad = log.withColumn(col, F.when(F.col("behavior") != "Dig", F.col(col)))
+        bad.write.parquet(str(tmp_path / col))
+        stops(read_sessions(spark, str(tmp_path / col)), f"null {col}")
+    from fieldtrace.sources import check_positions
+    check_positions(log)
+    with pytest.raises(ValueError, match="repeats seq"):
+        check_positions(log.union(log))
+    with pytest.raises(ValueError, match="null session key"):
+        op.long_sessions(spark.createDataFrame([(None,)], "session_id string"), ["session_id"])
+
+
+def test_text_log_is_bound_by_header(spark, tmp_path):
+    log = log_of(spark, SESSIONS)
+    swapped = log.select("seq", "session_id", *[c for c in log.columns[2:][::-1]])
+    swapped.coalesce(1).write.option("header", "true").csv(str(tmp_path / "log"))
+    back = read_sessions(spark, str(tmp_path / "log"), fmt="csv", options={"header": "true"})
+    assert as_rows(back, *log.columns) == as_rows(log)
+    bad = log.withColumn("date", F.lit("03/05/2024"))
+    bad.coalesce(1).write.option("header", "true").csv(str(tmp_path / "bad"))
+    stops(read_sessions(spark, str(tmp_path / "bad"), fmt="csv", options={"header": "true"}), "(?i)malformed")
+
+
+def test_files_are_numbered_as_numbers(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    log = log_of(spark, {"s1": [(1, "first"), (2, "second")]}).drop("seq")
+    for name, label in (("part-99999", "first"), ("part-100000", "second")):
+        log.where(F.col("behavior") == label).coalesce(1).write.parquet(str(tmp_path / name))
+        made = next((tmp_path / name).glob("part-*.parquet"))
+        (folder / f"{name}-x.parquet").write_bytes(made.read_bytes())
+    back = read_sessions(spark, str(folder))
+    assert as_rows(back, "seq", "behavior") == [(1, "first"), (2, "second")]
+
+
+def test_raw_log_with_a_bad_date(spark, tmp_path):
+    names = {**{k: k for k in RAW_HEADINGS}, "a": "The focal individual", "b": "Sender partner(s)",
+             "c": "Time...9"}
+    row = tuple("2024-03-05 12:00:00 AM" if n == "Date" else n for n in names.values())
+    df = spark.createDataFrame([("s1", *row)], ["session_id", *names.values()])
+    df.write.parquet(str(tmp_path / "ok"))
+    back = read_sessions(spark, str(tmp_path / "ok"), raw=True)
+    assert [str(r.date) for r in back.collect()] == ["2024-03-05"]
+    df.withColumn("Date", F.lit("5 March")).write.parquet(str(tmp_path / "bad"))
+    stops(read_sessions(spark, str(tmp_path / "bad"), raw=True), "5 March")
+
+
+def test_extra_columns_survive_whatever_their_names(spark):
+    names = ("found", "ob", "several", "copied", "end_sec", "gone", "packed", "previous", "stays")
+    log = log_of(spark, SESSIONS).withColumns({n: F.lit(f"own {n}") for n in names})
+    words = spark.createDataFrame([], "behavior string, replacement string, dict_seq bigint")
+    rows = event_table(log, words).collect()
+    assert rows and all(r[n] == f"own {n}" for r in rows for n in names)
+    with pytest.raises(ValueError, match="columns of the result"):
+        event_table(log.withColumn("check", F.lit(True)), words)

@@ -12,6 +12,7 @@ from fieldtrace.operators import (Ahead, Behind, Latest, Running, Timeline, atta
 from fieldtrace.operators.intervals import FAMILIES
 from fieldtrace.plans import event_table
 from fieldtrace.plans.event_table import normalize
+from fieldtrace.operators.timeline import settle, shared_folder
 from registry.script import dictionary, scripted_log
 
 from .conftest import SMALL, as_rows
@@ -104,14 +105,45 @@ def test_row_sequence_of_long_sessions(spark):
 def test_too_many_long_sessions_to_broadcast(log, long, monkeypatch):
     monkeypatch.setattr("fieldtrace.operators.timeline.MAX_BROADCAST_KEYS", 1)
     work = lambda df, line: fill_down(df, line, ["modifiers"])
-    rows = log.select("session_id", "seq", "modifiers")
-    assert as_rows(per_session(rows, work)) == as_rows(
-        per_session(rows, work, long=long, block_rows=9))
+    rows = settle(log.select("session_id", "seq", "modifiers"))
+    cut = per_session(rows, work, long=long, block_rows=9)
+    assert as_rows(per_session(rows, work)) == as_rows(cut)
+    again = row_sequence(rows.drop("seq"), ["session_id"], ["modifiers"], long=long)
+    for df in (cut, again):
+        assert "strategy=broadcast" not in df._jdf.queryExecution().toString()
+
+
+def test_sparse_positions_are_cut_by_place(log, long):
+    rows = log.select("session_id", (F.col("seq") * 1000).alias("seq"), "modifiers")
+    work = lambda df, line: fill_down(df, line, ["modifiers"])
+    blocks = []
+
+    def counted(df, line):
+        if line.block_rows is not None:
+            blocks.append(df.select("session_id", "__block").distinct().count())
+        return work(df, line)
+
+    cut = per_session(rows, counted, long=long, block_rows=9)
+    assert as_rows(per_session(rows, work)) == as_rows(cut)
+    sizes = log.join(long, "session_id", "left_semi").groupBy("session_id").count().collect()
+    assert blocks == [sum(-(-r["count"] // 9) for r in sizes)]
+
+
+def test_intermediate_tables_lie_in_one_folder(spark, log, long):
+    folder = shared_folder(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    assert folder == shared_folder(spark) and base.split(":")[-1].rstrip("/") in folder
+    assert spark.sparkContext.applicationId in folder
 
 
 def test_large_dictionary(spark, log):
     rows, words = log.select("session_id", "seq", "behavior"), dictionary(spark)
-    assert as_rows(relabel(rows, words, small=True)) == as_rows(relabel(rows, words, small=False))
+    plain = relabel(rows, words, small=False)
+    assert as_rows(relabel(rows, words, small=True)) == as_rows(plain)
+    assert "sequence(" not in plain._jdf.queryExecution().toString()
+    spread = relabel(rows, words, small=False, hot_rows=20)
+    assert as_rows(spread) == as_rows(plain)
+    assert "sequence" in spread._jdf.queryExecution().toString().lower()
 
 
 def test_input_partitioning_does_not_matter(spark, log):
