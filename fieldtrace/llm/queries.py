@@ -144,7 +144,26 @@ def op2_bitpacked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"))
 
 
-@query()
+_REPEATS_SQL = r"""WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+win AS (
+  SELECT r, doc_id, k, array_to_string(w[k:k + 49], ' ') AS g
+  FROM d, unnest(range(1, len(w) - 48)) AS s(k) WHERE len(w) >= 50 AND doc_id IS NOT NULL),
+firsts AS (SELECT g, min(doc_id) AS least FROM win GROUP BY g),
+gone AS (
+  SELECT DISTINCT r, unnest(range(k, k + 50)) AS p
+  FROM win JOIN firsts USING (g) WHERE doc_id > least),
+words AS (SELECT r, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS s(p)),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t
+  FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+
+@query(_REPEATS_SQL)
 def op4_block_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = block_anchors.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed",
