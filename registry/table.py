@@ -417,10 +417,51 @@ def _switched(sql: str, *changes: tuple[str, str]) -> str:
     return sql
 
 
+_TRIMMED = "trim(behavior, ' ' || chr(9))"
+_RESIDUE = """coalesce(regexp_matches(regexp_replace(modifiers, 'Small|Medium|Large|Tiny', '', 'g'),
+  '[a-zA-Z]'), false)"""
+
 REPAIRED_SQL = {
+    # The first row of a run is paired, too.
+    "gt_first": [(FAMILY_SQL["gt"], family_sql(
+        "gt", "GT", f"behavior IS NOT NULL AND NOT {has('behavior', 'GT other')} AND ("
+        + has("behavior", "GT") + " OR " + has("previous", "GT") + ")",
+        "CASE WHEN followed OR NOT is_end THEN nt END", "followed", "check_flag", "ck IS NULL",
+        f"{has('behavior', 'GT')} AND NOT {has('behavior', 'GT other')}"))],
+    # Out of view keeps an earlier review flag.
+    "oov_check": [(f"THEN true ELSE {NONE} END AS ck", "THEN true ELSE check_flag END AS ck")],
+    # Only dig rows and loose markers end the look-ahead of a dig.
+    "dig_lookahead": [(f"AND NOT {has('nb', 'End', 'Dig')})",
+                       f"AND NOT ({has('nb', 'Dig')} OR coalesce(starts_with(nb, 'End (+Modifiers)'), false)))")],
+    # A loose marker keeps the size it names.
+    "marker_own_size": [(f"CASE WHEN followed AND {has('nm', *SIZED)} THEN nm",
+                         f"CASE WHEN loose AND {has('modifiers', *SIZED)} THEN modifiers "
+                         f"WHEN followed AND {has('nm', *SIZED)} THEN nm")],
+    # Loose markers look back at the labels as written.
+    "near_original": [("coalesce(named, behavior) AS behavior\n", "coalesce(named, behavior) AS behavior, "
+                       "behavior AS written\n"),
+                      ("SELECT *, lag(behavior, 1) OVER w AS b1, lag(behavior, 2) OVER w AS b2,\n"
+                       "         lag(behavior, 3) OVER w AS b3\n  FROM merged",
+                       "SELECT * EXCLUDE (written), lag(written, 1) OVER w AS b1, lag(written, 2) OVER w AS b2,\n"
+                       "         lag(written, 3) OVER w AS b3\n  FROM merged")],
+    # Letters beside the sizes of a list put it under review.
+    "residual_text": [("CASE WHEN only_tiny THEN true ELSE check_flag END AS check_flag",
+                       f"CASE WHEN only_tiny OR (coalesce(several, false) AND {_RESIDUE}) "
+                       "THEN true ELSE check_flag END AS check_flag")],
     # Rows under review stay.
     "keep_flagged": [("FROM tiny WHERE NOT only_tiny AND several IS NULL)",
                       "FROM tiny WHERE several IS NULL OR check_flag IS NOT NULL)")],
+    # Sizes of a loose marker away from digs are found, not dug.
+    "fa_multi": [("CASE piece WHEN 'Small' THEN 'd.small' WHEN 'Medium' THEN 'd.medium' "
+                  "WHEN 'Large' THEN 'd.large'\n               WHEN 'TinyFew' THEN 'd.tiny.few' "
+                  "WHEN 'TinyMany' THEN 'd.tiny.many'\n               ELSE behavior END AS behavior",
+                  "CASE WHEN piece = '' THEN behavior ELSE CASE WHEN sized AND NOT near THEN 'fa.' ELSE 'd.' END\n"
+                  "    || CASE piece WHEN 'TinyFew' THEN 'tiny.few' WHEN 'TinyMany' THEN 'tiny.many' "
+                  "ELSE lower(piece) END END AS behavior")],
+    # A tag text is spread by its own direction.
+    "own_guard": [(direction_sql("agg_sub", "play"), direction_sql("agg_sub", bare_direction("agg_sub"))),
+                  (direction_sql("olfactory", "play"),
+                   direction_sql("olfactory", bare_direction("olfactory")))],
     # Originals are not repeated for each of several tags.
     "dedup_original": [("ELSE behavior END AS behavior\n  FROM tagged),",
                         "ELSE behavior END AS behavior\n  FROM tagged\n  WHERE NOT (coalesce(behavior "
@@ -429,14 +470,29 @@ REPAIRED_SQL = {
     "keep_partner": [("CASE WHEN mutual THEN regexp_replace(partner, 'Receive;|Recieve;', '') END AS partner",
                       "CASE WHEN mutual THEN regexp_replace(partner, 'Receive;|Recieve;', '') "
                       "ELSE partner END AS partner")],
+    # Only the prefix itself flips, other labels stay.
+    "mirror_literal": [(f"CASE WHEN regexp_matches({_TRIMMED}, '^i.')\n         THEN 'r.' || substr({_TRIMMED}, 3) END",
+                        f"CASE WHEN starts_with({_TRIMMED}, 'i.')\n         THEN 'r.' || substr({_TRIMMED}, 3) "
+                        f"ELSE {_TRIMMED} END")],
+    # The place is filled down like the id.
+    "fill_location": [("CASE WHEN " + has("focal_individual", "Burrow") + " AND ",
+                       "last_value(CASE WHEN " + has("focal_individual", "Burrow") + " AND "),
+                      ("THEN 'Forage' END AS location",
+                       "THEN 'Forage' END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq) AS location")],
+    # A state that ends after midnight.
+    "rollover": [("  FROM mirrored)", "  FROM (SELECT * REPLACE (CASE WHEN duration < 0 THEN duration + 86400 "
+                  "ELSE duration END AS duration) FROM mirrored))")],
 }
 
 
-def _register_repair(name: str) -> None:
-    @query(_switched(WHOLE_SQL, *REPAIRED_SQL[name]), name=f"repair_{name}")
+def _register_repair(name: str, *repairs: str) -> None:
+    changes = [c for r in repairs for c in REPAIRED_SQL[r]]
+
+    @query(_switched(WHOLE_SQL, *changes), name=name)
     def repaired(spark, sf_dir):
-        return _all_headings(flagship(spark, sf_dir, repair={name})[0])
+        return _all_headings(flagship(spark, sf_dir, repair=set(repairs))[0])
 
 
 for _name in REPAIRED_SQL:
-    _register_repair(_name)
+    _register_repair(f"repair_{_name}", _name)
+_register_repair("event_table_repaired", *REPAIRED_SQL)
