@@ -267,13 +267,23 @@ def long_sessions(df: DataFrame, keys: Sequence[str],
     """Keys of sessions with more than ``block_rows`` rows, or None.
 
     Runs one narrow, map-side combined count and refuses null keys.  At most
-    rows / block_rows keys come back.
+    rows / block_rows keys come back; up to ``MAX_BROADCAST_KEYS`` of them pass
+    through the driver, more are written out.
     """
-    found = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-                   .where((F.col("__n") > block_rows) | _null_key(keys)).select(*keys))
-    if not found.where(_null_key(keys)).isEmpty():
+    found = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+             .where((F.col("__n") > block_rows) | _null_key(keys))
+             .select(_null_key(keys).alias("__null"), *keys))
+    some = found.limit(MAX_BROADCAST_KEYS + 1).collect()
+    if any(r["__null"] for r in some):
         raise ValueError(f"null session key in {list(keys)}")
-    return None if found.isEmpty() else found
+    if len(some) > MAX_BROADCAST_KEYS:
+        found = settle(found)
+        if not found.where("__null").isEmpty():
+            raise ValueError(f"null session key in {list(keys)}")
+        return found.drop("__null")
+    if not some:
+        return None
+    return df.sparkSession.createDataFrame([tuple(r)[1:] for r in some], found.drop("__null").schema)
 
 
 def _apart(df: DataFrame, keys: Sequence[str],
