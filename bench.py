@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import statistics
 import time
 
@@ -37,10 +38,8 @@ def timed(spark, sf_dir: str, name: str) -> float:
 def shape(spark, sf_dir: str, name: str) -> tuple[int, int]:
     """Rows of the result and shuffles of its plan."""
     df = QUERIES[name](spark, sf_dir)
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    planned = df._jdf.queryExecution().executedPlan().toString()
-    return df.count(), max(plan.count("Exchange "), planned.count("Exchange hash")
-                           + planned.count("Exchange range") + planned.count("Exchange Round"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return df.count(), len(re.findall(r"\bExchange (?:hash|range|Single|RoundRobin)", plan))
 
 
 def main() -> None:
