@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..vocabulary import DIRECTION_MAP, TINY_FEW, TINY_MANY
+from ..vocabulary import (DIRECTED, DIRECTION_MAP, FEW_ENDING, INITIATED, LEADING_RECEIVE,
+                          LIST_MARK, MANY_ENDING, NAMED_SIZES, SPREAD_MARK, TINY,
+                          TINY_ENDING, TINY_FEW, TINY_MANY)
 from .logic import as_column, matches, when_chain
 
 
@@ -67,12 +69,12 @@ def normalize_direction(col: Column | str, guard: Column | str | None = None) ->
     ``guard`` is the text tested for ``Initiate``; by default the column itself.
     """
     raw = as_column(col)
-    directed = matches(col, "Initiate; |Receive; ")
+    directed = matches(col, DIRECTED)
     joined = F.when(directed, replace_map(raw, DIRECTION_MAP)).otherwise(raw)
     single = directed & F.coalesce(count_pattern(raw, ";") == 1, F.lit(False))
-    guarded = matches(col if guard is None else guard, "Initiate")
-    spread = matches(col, "^Receive; ") & ~single & ~guarded
-    return F.when(spread, F.replace(joined, F.lit(";"), F.lit("; Receive"))).otherwise(joined)
+    guarded = matches(col if guard is None else guard, INITIATED)
+    spread = matches(col, LEADING_RECEIVE) & ~single & ~guarded
+    return F.when(spread, F.replace(joined, F.lit(LIST_MARK), F.lit(SPREAD_MARK))).otherwise(joined)
 
 
 def size_label(modifiers: Column | str, prefix: str, *, lone_tiny: bool) -> Column:
@@ -81,10 +83,10 @@ def size_label(modifiers: Column | str, prefix: str, *, lone_tiny: bool) -> Colu
     ``lone_tiny`` also labels a bare ``Tiny``.
     """
     m = as_column(modifiers)
-    cases = [(matches(modifiers, w), F.lit(prefix + w.lower()))
-             for w in ("Small", "Medium", "Large")]
-    cases.append((matches(modifiers, TINY_FEW), F.lit(prefix + "tiny.few")))
-    cases.append((m == TINY_MANY, F.lit(prefix + "tiny.many")))
+    cases = [(matches(modifiers, name), F.lit(prefix + ending))
+             for name, ending in NAMED_SIZES.items()]
+    cases.append((matches(modifiers, TINY_FEW), F.lit(prefix + FEW_ENDING)))
+    cases.append((m == TINY_MANY, F.lit(prefix + MANY_ENDING)))
     if lone_tiny:
-        cases.append((m == "Tiny", F.lit(prefix + "tiny")))
+        cases.append((m == TINY, F.lit(prefix + TINY_ENDING)))
     return F.when(count_pattern(m, ";") <= 1, when_chain(cases))

@@ -18,9 +18,10 @@ from ..functions.logic import matches, when_chain
 from ..functions.text import (attach_text, count_pattern, remove_all,
                               replace_first, trim_blanks)
 from ..vocabulary import (ANY_SIZE, APPROACH, COMPETITION, DIG_END, DIG_PREFIX,
-                          FOUND_PREFIX, LARGER_SIZES, LOOSE_MARKER, MUTUAL,
-                          OUTCOMES, RECEIVED, RECEIVED_ITEM, SCAN_MARKER,
-                          TINY_FEW, TINY_MANY)
+                          FEW_ENDING, FEW_NAME, FOUND_PREFIX, LARGER_SIZES,
+                          LOOSE_MARKER, MANY_ENDING, MANY_NAME, MIRRORED, MUTUAL,
+                          NAMED_SIZES, OTHER_PREFIX, OUTCOMES, OWN_PREFIX, RECEIVED,
+                          RECEIVED_ITEM, SCAN_MARKER, TINY, TINY_FEW, TINY_MANY)
 from .timeline import Behind, Timeline
 
 
@@ -130,7 +131,7 @@ def zip_explode(df: DataFrame, cols: Sequence[str], sep: str, pos: str = "piece_
 
 def two_small(modifiers: str = "modifiers") -> Column:
     """A list that names only tiny items, more than one."""
-    return (matches(modifiers, "Tiny") & ~matches(modifiers, LARGER_SIZES)
+    return (matches(modifiers, TINY) & ~matches(modifiers, LARGER_SIZES)
             & F.coalesce(count_pattern(modifiers, ";") > 1, F.lit(False)))
 
 
@@ -147,11 +148,8 @@ def explode_sizes(df: DataFrame, several: Column, *, label: str = "behavior",
     Adds ``size_rank`` (0 on exploded rows) and ``size_pos``.
     """
     m = F.col(modifiers)
-    tests = [("Small", "Small"), ("Medium", "Medium"), ("Large", "Large"),
-             (TINY_FEW, "TinyFew"), (TINY_MANY, "TinyMany")]
-    # --- fixed values: label ending per size name
-    endings = {"Small": "small", "Medium": "medium", "Large": "large",
-               "TinyFew": "tiny.few", "TinyMany": "tiny.many"}
+    tests = [*[(n, n) for n in NAMED_SIZES], (TINY_FEW, FEW_NAME), (TINY_MANY, MANY_NAME)]
+    endings = {**NAMED_SIZES, FEW_NAME: FEW_ENDING, MANY_NAME: MANY_ENDING}
     hit = F.coalesce(several, F.lit(False))
     # No size at all gives one empty token.
     sizes = F.split(F.concat_ws(";", *[F.when(matches(modifiers, t), F.lit(n))
@@ -214,12 +212,14 @@ def mirror_partner(df: DataFrame, *, keep_partner: bool = False, literal: bool =
                        .otherwise(other))
     mirrored = F.col(partner)
     for word in MUTUAL:
-        mirrored = replace_first(mirrored, word, "Receive")
+        mirrored = replace_first(mirrored, word, MIRRORED)
     own = trim_blanks(label)
     if literal:
-        flipped = F.when(own.startswith("i."), F.regexp_replace(own, r"^i\.", "r.")).otherwise(own)
+        flipped = F.when(own.startswith(OWN_PREFIX), F.concat(
+            F.lit(OTHER_PREFIX), F.substr(own, F.lit(len(OWN_PREFIX) + 1)))).otherwise(own)
     else:
-        flipped = F.when(own.rlike("^i."), F.regexp_replace(own, "^i.", "r."))
+        prefix = "^" + OWN_PREFIX
+        flipped = F.when(own.rlike(prefix), F.regexp_replace(own, prefix, OTHER_PREFIX))
     return duplicate_where(df, F.col("__both"), "mirror_rank",
                            {partner: trim_blanks(mirrored), label: flipped}).drop("__both")
 

@@ -34,6 +34,11 @@ ANY_SIZE = "Tiny|Small|Medium|Large"
 LARGER_SIZES = "Small|Medium|Large"
 TINY_FEW = "1; Tiny|2; Tiny|Tiny; <5"
 TINY_MANY = "Tiny; >5"
+# A size's name in a cell, the label ending it gives, and its name when a list is split.
+NAMED_SIZES = {"Small": "small", "Medium": "medium", "Large": "large"}
+TINY, TINY_ENDING = "Tiny", "tiny"
+FEW_NAME, FEW_ENDING = "TinyFew", "tiny.few"
+MANY_NAME, MANY_ENDING = "TinyMany", "tiny.many"
 DIG_PREFIX = "d."
 FOUND_PREFIX = "fa."
 
@@ -42,6 +47,10 @@ CATEGORIES = ("Aggr./Sub.", "Play", "Olfactory")
 COMPETITION = "Fcomp"
 OUTCOMES = ("Lose", "Win", "Unclear winner")
 DIRECTION_MAP = {"Initiate;": "Initiate", "Receive;": "Receive"}
+DIRECTED = "Initiate; |Receive; "
+INITIATED = "Initiate"
+LEADING_RECEIVE = "^Receive; "
+LIST_MARK, SPREAD_MARK = ";", "; Receive"
 WRESTLE_MAP = {
     "Wrestle; Bottom": "Wrestle Bottom",
     "Wrestle; Top": "Wrestle Top",
@@ -52,6 +61,9 @@ APPROACH = "^Approach|^Receive approach"
 RECEIVED = "Receive|Recieve"
 RECEIVED_ITEM = "Receive;|Recieve;"
 MUTUAL = ("Reciprocate", "Initiate")
+MIRRORED = "Receive"
+# As written, the second character of the prefix may be any.
+OWN_PREFIX, OTHER_PREFIX = "i.", "r."
 
 # --- fixed values: output headings, in report order --------------------------
 REPORT_HEADINGS = {
