@@ -25,6 +25,7 @@ manifest.  Other columns are not read.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -36,13 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .frames import row_slices, settle, utf8, work_folder
+from .frames import row_slices, settle, text_batches, utf8, work_folder
 from .wordbytes import SLICE_BYTES, span_hashes
 
 BLOCK_IDS = 1 << 16
 END_ID = 0
-# Pieces of text whose ids a worker remembers.
-REMEMBERED = 2_000_000
+# Pieces of text whose ids a worker remembers, and those encoded at a time.
+REMEMBERED = 250_000
+LEARNT = 8_192
 _HEAD = 40
 _MAGIC = b"BITS"
 
@@ -186,7 +188,7 @@ def _plain(text: str) -> bool:
 
 
 class Encoder:
-    """Encodes texts with a byte-level BPE file, remembering what pieces give.
+    """Encodes texts with a byte-level BPE file, remembering what frequent pieces give.
 
     Such a tokenizer first splits a text, always before a space that a word
     follows, around a single newline, and where letters, digits and marks meet
@@ -196,18 +198,30 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # One thread: the tasks are what runs in parallel.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self._forget()
-
-    def _forget(self):
         self.key = np.empty(0, np.uint64)        # sorted
         self.check = np.empty(0, np.uint64)
         self.first = np.empty(0, np.int64)
         self.count = np.empty(0, np.int64)
+        self.used = np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
 
+    def _forget(self):
+        """Keep the half that was met in most slices; later use counts anew."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[:REMEMBERED // 2])
+        # Very long pieces are not worth their room.
+        keep = keep[self.count[keep] <= 64]
+        count = self.count[keep]
+        last = np.cumsum(count)
+        self.ids = self.ids[np.repeat(self.first[keep] - (last - count), count)
+                            + np.arange(last[-1] if len(last) else 0)]
+        self.key, self.check, self.count = self.key[keep], self.check[keep], count
+        self.first, self.used = last - count, np.zeros(len(keep), np.int32)
+
     def _cuts(self, data: np.ndarray, begins: np.ndarray, plain: np.ndarray) -> np.ndarray:
         kind = _CLASS[data]
         cut = (kind == 1) | (kind == 2)
@@ -222,13 +236,17 @@ class Encoder:
     def _learn(self, data: bytes, start, end, key, check):
         """Encode new pieces and put them among the known ones."""
         pieces = [data[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        lists = []
+        for at in range(0, len(pieces), LEARNT):
+            got = self.tokenizer.encode_batch_fast(pieces[at:at + LEARNT], add_special_tokens=False)
+            lists += [e.ids for e in got]
         count = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(count.sum()))
         at = np.searchsorted(self.key, key)
         self.first = np.insert(self.first, at, len(self.ids) + np.cumsum(count) - count)
         self.key, self.check = np.insert(self.key, at, key), np.insert(self.check, at, check)
         self.count = np.insert(self.count, at, count)
+        self.used = np.insert(self.used, at, 0)
         self.ids = np.concatenate((self.ids, flat))
 
     def _find(self, key, check):
@@ -268,6 +286,7 @@ class Encoder:
                 place, known = self._find(key, check)
                 if not known.all():
                     raise ValueError("two pieces share a hash")
+            self.used[place] += 1
             place = place[which]
             count = self.count[place]
             last = np.cumsum(count)
@@ -300,6 +319,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     Ids of documents must be whole numbers.  Runs jobs.
     """
     folder = folder or work_folder(docs.sparkSession)
+    text_batches()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)

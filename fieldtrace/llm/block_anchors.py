@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import utf8
+from .frames import text_batches, utf8
 from .wordbytes import NOT_BLANK, joined, mix, span_hashes, words_in
 
 WINDOW = 50
@@ -327,6 +327,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if window < 2:
         raise ValueError("a window has at least two words")
+    text_batches()
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(LEAST_GROUPS, -(-size // group_bytes))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from .frames import components, settle, utf8, work_folder
+from .frames import components, settle, text_batches, utf8, work_folder
 from .wordbytes import NOT_BLANK, joined, words_in
 
 SHINGLE = 4
@@ -99,6 +99,8 @@ def _fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | Column, shingle: int = SHINGLE) -> Column:
     """The SimHash of a text as a bigint that holds its 64 bits."""
+    text_batches()
+
     @arrow_udf("bigint")
     def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:

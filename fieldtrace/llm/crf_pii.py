@@ -30,7 +30,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .frames import row_slices, utf8
+from .frames import row_slices, text_batches, utf8
 from .wordbytes import LOWER, SLICE_BYTES, span_hashes
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -431,6 +431,7 @@ _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop
 def personal_data(text: Column, field: Field | None = None) -> Column:
     """The spans of a text as an array, by kind and start, in code points."""
     field = train() if field is None else field
+    text_batches()
 
     @arrow_udf(SPANS)
     def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

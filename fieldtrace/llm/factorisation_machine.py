@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .frames import utf8
+from .frames import text_batches, utf8
 from .wordbytes import LOWER, NOT_BLANK, span_hashes, words_in
 
 BUCKETS = 2048
@@ -168,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The sample is small by its bound, so it is broadcast to the documents, and
     only its vectors come back.
     """
+    text_batches()
     sample = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
               .groupBy(F.col(id_col).alias("key")).agg(F.min(label_col).cast("double").alias("label"))
               .orderBy(F.xxhash64("key"), "key").limit(max_rows))
@@ -190,6 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(text: Column, model: Model) -> Column:
     """The probability of label 1 for a text."""
+    text_batches()
+
     @arrow_udf("double")
     def machine(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:

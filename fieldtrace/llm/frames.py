@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Texts in an Arrow batch.
+TEXT_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,6 +46,17 @@ def settle(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches() -> None:
+    """Send texts to Python in batches of ``TEXT_ROWS``.
+
+    Texts are long, and a batch lies in the executor's memory several times.  A
+    session that sets a size of its own keeps it.
+    """
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def row_slices(offsets: np.ndarray, most: int):
     """Row ranges of at most ``most`` bytes each, or a single row beyond that."""
     at, n = 0, len(offsets) - 1
@@ -56,7 +71,9 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[memoryview, np.ndarray]:
     """The bytes of a string column (null: empty) and its row offsets."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
     if len(column) == 0:
         return memoryview(b""), np.zeros(1, np.int64)
     _, where, data = column.buffers()

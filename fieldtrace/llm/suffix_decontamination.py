@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .frames import settle, utf8, work_folder
+from .frames import settle, text_batches, utf8, work_folder
 from .wordbytes import ALNUM, span_hashes, words_in
 
 WINDOW = 10
@@ -243,6 +243,8 @@ def _hits(column: pa.Array, items: Items) -> pa.Array:
 
 
 def _hits_of(text: Column, block) -> Column:
+    text_batches()
+
     @arrow_udf(HITS)
     def suffix_hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
@@ -314,6 +316,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """For each suffix of a test item that matches a full window somewhere:
     ``(item, item_start, length, id, start)``, its longest verbatim match and of
     that the smallest document id and place (ids must be numbers)."""
+    text_batches()
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     out = None
     for block in item_blocks(benchmark, item_col, item_text_col, window, block_bytes):

@@ -13,7 +13,7 @@ import numpy as np
 
 from .frames import row_slices
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 _ALL = np.arange(256)
 LOWER = np.where((_ALL >= 0x41) & (_ALL <= 0x5A), _ALL + 32, _ALL).astype(np.uint8)
