@@ -72,6 +72,11 @@ def _orders(vectors: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray:
     return near
 
 
+def _smallest(n: int) -> str:
+    """The narrowest type for numbers below ``n``."""
+    return "<u1" if n <= 1 << 8 else "<u2" if n <= 1 << 16 else "<u4"
+
+
 def _shard(table: pa.Table, pivots: np.ndarray, listed: int) -> pa.Table:
     """The index of one shard as a row: vectors, ids and the inverted files."""
     table = table.sort_by("least")
@@ -85,8 +90,9 @@ def _shard(table: pa.Table, pivots: np.ndarray, listed: int) -> pa.Table:
     ids = table["ids"].combine_chunks()
     row = [[table["shard"][0].as_py()], [ids.flatten().to_numpy().astype("<i8").tobytes()],
            [ids.value_lengths().to_numpy().astype("<i4").tobytes()],
-           [vectors.astype("<f8").tobytes()], [member[order].astype("<i4").tobytes()],
-           [place[order].astype("<i2").tobytes()], [files.astype("<i8").tobytes()]]
+           [vectors.astype("<f8").tobytes()],
+           [member[order].astype(_smallest(len(vectors))).tobytes()],
+           [place[order].astype(_smallest(listed)).tobytes()], [files.astype("<i8").tobytes()]]
     return pa.table([pa.array(c, t) for c, t in zip(row, _INDEX_TYPES)],
                     [c.split()[0] for c in _INDEX.split(", ")])
 
@@ -99,8 +105,8 @@ def _search(queries: pa.Table, index: pa.Table, pivots: np.ndarray, listed: int,
         one = {c: index[c][0].as_py() for c in index.column_names}
         ids, counts = np.frombuffer(one["ids"], "<i8"), np.frombuffer(one["id_counts"], "<i4")
         vectors = np.frombuffer(one["vectors"], "<f8").reshape(len(counts), -1)
-        members = np.frombuffer(one["members"], "<i4")
-        places = np.frombuffer(one["places"], "<i2").astype(np.int32)
+        members = np.frombuffer(one["members"], _smallest(len(counts)))
+        places = np.frombuffer(one["places"], _smallest(listed)).astype(np.int32)
         files = np.frombuffer(one["files"], "<i8")
         first = np.cumsum(counts) - counts
         asked = _matrix(queries["vector"])
