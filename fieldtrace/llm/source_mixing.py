@@ -6,8 +6,12 @@ tokens of each source, then each language, then each topic get their target
 shares; the last margin raked is met exactly, the others as closely as the
 rounds allow (:func:`deviation` tells).  A document is kept with the probability
 of its cell: its weight over the largest weight, so that the kept tokens have
-the target shares in expectation.  The draw is a hash of the document's id, so
-a run can be repeated and another machine draws alike.
+the target shares in expectation.  Under the default targets that may not keep
+less than ``LEAST_KEPT`` of the tokens: where a scarce cell would lower the rest
+below it, cells beyond a smaller scale are kept whole (and fall short of their
+target), and the others are raised in proportion until that share is reached.
+The draw is a hash of the document's id, so a run can be repeated and another
+machine draws alike.
 
 Everything is DataFrame expressions.  Only the cells are raked; there are at
 most as many as combinations that occur, and the rows are counted before they
@@ -30,6 +34,8 @@ from .frames import settle, work_folder
 
 ROUNDS = 5
 SEED = "mix-1"
+# Share of the tokens in wanted cells that the default targets keep at least.
+LEAST_KEPT = 0.4
 # Cells up to this many are broadcast to the documents.
 BROADCAST_CELLS = 100_000
 
@@ -129,21 +135,51 @@ def draw(id_col: str = "doc_id", text_col: str = "text", seed: str = SEED) -> Co
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def probabilities(raked: DataFrame) -> DataFrame:
-    """``(source, lang, topic, probability)``: weights over the largest of a cell
-    with tokens.  Cells without tokens are capped at 1."""
-    most = raked.where("tokens > 0").agg(F.max("weight")).first()[0]
-    p = F.coalesce(F.least(F.col("weight") / F.lit(most), F.lit(1.0)), F.lit(1.0))
+def scale(raked: DataFrame, least_kept: float = 0.0) -> float | None:
+    """The weight from which on a cell is kept whole; null without tokens.
+
+    It is the largest weight, or the largest scale that keeps ``least_kept`` of
+    the tokens in cells with a weight.  The kept tokens are concave in 1 / scale,
+    so the steps approach that scale from above and stop when no further cell is
+    capped.
+    """
+    cells = raked.where("tokens > 0")
+    size, most = cells.agg(F.sum(F.when(F.col("weight") > 0, F.col("tokens"))),
+                           F.max("weight")).first()
+    capped, now = None, most
+    while now:
+        whole = F.col("weight") >= F.lit(now)
+        n, full, part = cells.agg(
+            F.count_if(whole), F.sum(F.when(whole, F.col("tokens")).otherwise(0.0)),
+            F.sum(F.when(whole, 0.0).otherwise(F.col("tokens") * F.col("weight")))).first()
+        if n == capped or not part or full + part / now >= least_kept * size:
+            break
+        capped, now = n, part / (least_kept * size - full)
+    return now
+
+
+def probabilities(raked: DataFrame, least_kept: float = 0.0) -> DataFrame:
+    """``(source, lang, topic, probability)``: weights over :func:`scale`, capped
+    at 1.  Cells without tokens get 1 where there is no scale."""
+    whole = scale(raked, least_kept)
+    p = F.coalesce(F.least(F.col("weight") / F.lit(whole), F.lit(1.0)), F.lit(1.0))
     return raked.select(*MARGINS, p.alias("probability"))
 
 
 def weigh(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None,
-          text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """The documents with ``__cell`` and ``__p``, the probability of each."""
+          text_col: str = "text", rounds: int = ROUNDS,
+          least_kept: float | None = None) -> DataFrame:
+    """The documents with ``__cell`` and ``__p``, the probability of each.
+
+    ``least_kept`` is ``LEAST_KEPT`` for the default targets; given targets are
+    met whatever they keep, unless it is stated.
+    """
+    if least_kept is None:
+        least_kept = 0.0 if targets else LEAST_KEPT
     folder = work_folder(docs.sparkSession)
     cells = settle(count_cells(docs, text_col), folder)
     raked = rake(cells, targets or tempered_targets(cells), rounds, folder)
-    chance = settle(probabilities(raked), folder).select(
+    chance = settle(probabilities(raked, least_kept), folder).select(
         F.struct(*MARGINS).alias("__key"), F.col("probability").alias("__p"))
     if cells.count() <= BROADCAST_CELLS:
         chance = F.broadcast(chance)
@@ -154,8 +190,8 @@ def weigh(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None,
 
 def sample(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None,
            id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS,
-           seed: str = SEED) -> DataFrame:
+           seed: str = SEED, least_kept: float | None = None) -> DataFrame:
     """The rows of ``docs`` that are drawn, all columns unchanged."""
-    rows = weigh(docs, targets, text_col, rounds)
+    rows = weigh(docs, targets, text_col, rounds, least_kept)
     return (rows.where(draw(id_col, text_col, seed) < F.col("__p"))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

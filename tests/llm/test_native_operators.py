@@ -144,6 +144,28 @@ def test_sample(spark):
     assert sorted(map(repr, source_mixing.sample(docs).collect())) == sorted(map(repr, kept.collect()))
 
 
+def test_stray_document_leaves_the_rest(spark):
+    """One short document with a source and language of its own does not set the scale."""
+    docs = corpus(spark).where("doc_id < 600").withColumn("text", F.repeat("text", F.lit(300)))
+    docs = docs.unionByName(docs.limit(1).withColumns(
+        {"doc_id": F.lit(900), "text": F.lit("a stray note"), "source": F.lit("rare"), "lang": F.lit("xx")}))
+    rows = source_mixing.weigh(docs).select("__cell.*", "__p").collect()
+    size = sum(r.tokens for r in rows)
+    assert source_mixing.LEAST_KEPT - 1e-9 <= sum(r.tokens * r["__p"] for r in rows) / size
+    raked = source_mixing.settle(source_mixing.rake(
+        cells := source_mixing.settle(source_mixing.count_cells(docs)), source_mixing.tempered_targets(cells)))
+    exact = {tuple(r)[:3]: r.probability for r in source_mixing.probabilities(raked).collect()}
+    assert sum(r.tokens * exact[r.source, r.lang, r.topic] for r in rows) / size < 0.3
+    # The cells that are not capped keep their proportions.
+    ratios = {round(r["__p"] / exact[r.source, r.lang, r.topic], 6) for r in rows if r["__p"] < 1}
+    assert len(ratios) == 1
+    # Given targets are met unless a share is stated; more than there is keeps all.
+    even = shares(spark, source={v: 1.0 for v in ("s0", "s1", "s2", "s3", "rare")})
+    few, all_ = (source_mixing.weigh(docs, even, least_kept=x).select("__cell.tokens", "__p").collect()
+                 for x in (None, 1.0))
+    assert sum(r.tokens * r["__p"] for r in few) < 0.1 * size and {r["__p"] for r in all_} == {1.0}
+
+
 def test_zero_targets_and_empty(spark):
     docs = corpus(spark)
     only = shares(spark, lang={"en": 1.0})
