@@ -12,7 +12,7 @@ Votes are counted per text before anything is shuffled; the pairs themselves
 never move.  The template table is fixed and small, so it is broadcast.
 
 Edge cases: null texts have no words.  Rows that share id and text are one
-document; ids may be null.  Empty tables give empty results.  Other columns are
+document, unless ``each_row`` is set; ids may be null.  Empty tables give empty results.  Other columns are
 not read.
 """
 
@@ -79,14 +79,17 @@ def template_pairs(spark: SparkSession) -> DataFrame:
                         F.posexplode(pair_hashes("words")).alias("tpos", "pair"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_words, places)`` for each document.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+         each_row: bool = False) -> DataFrame:
+    """``(id, n_words, places)`` for each document, or with ``each_row`` for each row.
 
     ``places`` has the spans found: label, whether a base phrase, first word,
     word after the last, and the share of the template that voted.
     """
     text = F.col(text_col)
-    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"),
+    # Repeated rows stay groups of their own, so many of them spread over the tasks.
+    own = F.monotonically_increasing_id() if each_row else F.xxhash64(text)
+    words = docs.select(F.col(id_col).alias("id"), own.alias("print"),
                         words_of(text).alias("words"))
     pairs = words.select("id", "print", F.size("words").alias("n_words"),
                          F.posexplode_outer(pair_hashes("words")).alias("pos", "pair"))

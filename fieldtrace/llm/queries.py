@@ -123,7 +123,7 @@ FROM d LEFT JOIN g USING (r)"""
 @query(_license_sql())
 def op5_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base places, labels and the best share of a template in every document."""
-    found = license_diagonals.scan(table(spark, sf_dir, "documents"))
+    found = license_diagonals.scan(table(spark, sf_dir, "documents"), each_row=True)
     base = F.filter("places", lambda p: p["base"])
 
     def labels(places):

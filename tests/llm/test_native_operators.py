@@ -2,10 +2,12 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from fieldtrace.llm import chat_perspectives, license_diagonals, source_mixing
+from fieldtrace.llm.queries import ORACLES, QUERIES
 
 from .conftest import EDGES, letter_words, text_frame, with_clashes
 
@@ -49,6 +51,19 @@ def test_license_base_places(spark, sample_texts):
     assert got == sorted(((d, *base_places(t)) for d, t in set(rows)), key=repr)
 
 
+def test_license_query_on_repeated_rows(spark, tmp_path):
+    """One row per row, as the query's SQL has it."""
+    rows = [(1, "cc by x")] * 3 + [(None, "All rights reserved")] * 4 + [(None, None)] * 2 + [(2, "no"), (1, "y")]
+    text_frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["op5_license_diagonals"](spark, str(tmp_path))
+    want = con.sql(ORACLES["op5_license_diagonals"])
+    assert len(want.fetchall()) == len(rows) and sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(repr, (tuple(r) for r in got.select(*want.columns).collect()))) == sorted(
+        map(repr, con.sql(ORACLES["op5_license_diagonals"]).fetchall()))
+
+
 def test_license_templates(spark):
     rows = license_diagonals.scan(text_frame(spark, NOTICES)).collect()
     labels = {}
