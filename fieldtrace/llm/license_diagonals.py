@@ -5,7 +5,9 @@ the same pairs in a fixed set of templates.  A hit votes for the diagonal "place
 in the text minus place in the template".  Diagonals of a template that lie next
 to each other are merged, so that a few words more or less do not break a match,
 and a merged span counts if enough of the template's pairs voted and it is not
-much longer than the template.  The short base phrases must match exactly: one
+much longer than the template.  A band with enough votes that is too long, since
+partial repeats nearby were merged into it, gives its best runs of diagonals that
+meet both.  The short base phrases must match exactly: one
 diagonal with all votes.
 
 Votes are counted per text before anything is shuffled; the pairs themselves
@@ -79,6 +81,39 @@ def template_pairs(spark: SparkSession) -> DataFrame:
                         F.posexplode(pair_hashes("words")).alias("tpos", "pair"))
 
 
+def best_runs(lines: Column, pairs: Column) -> Column:
+    """``(missed, length, start, stop)`` of runs of diagonals that fit, the best
+    first and none that overlaps a better one.
+
+    ``lines`` are a band's ``(diagonal, tpos)`` in order.  A run that fits cannot
+    reach further than its span and the template, which bounds the work.
+    """
+    reach = (F.ceil(F.lit(STRETCH) * (pairs + 1)) + pairs + 1).cast("int")
+    none = F.lit(None).cast("struct<missed:int,length:int,start:int,stop:int>")
+
+    def longer(run, line):
+        seen = F.array_union(run["seen"], line["tpos"])
+        start = F.least(run["start"], line["diagonal"] + F.array_min(line["tpos"]))
+        stop = F.greatest(run["stop"], line["diagonal"] + F.array_max(line["tpos"]) + 2)
+        missed, length = pairs - F.size(seen), stop - start
+        better = ((missed <= (1 - LEAST_SHARE) * pairs) & (length <= STRETCH * (pairs + 1))
+                  & F.coalesce(missed < run["best"]["missed"], F.lit(True)))
+        return F.struct(seen.alias("seen"), start.alias("start"), stop.alias("stop"), F.when(
+            better, F.struct(missed.alias("missed"), length.alias("length"), start.alias("start"),
+                             stop.alias("stop"))).otherwise(run["best"]).alias("best"))
+
+    zero = F.struct(F.array().cast("array<int>").alias("seen"), F.lit(None).cast("int").alias("start"),
+                    F.lit(None).cast("int").alias("stop"), none.alias("best"))
+    found = F.array_sort(F.array_distinct(F.filter(F.transform(
+        F.sequence(F.lit(1), F.size(lines)),
+        lambda k: F.aggregate(F.slice(lines, k, reach), zero, longer)["best"]), lambda b: b.isNotNull())))
+    return F.aggregate(
+        found, F.filter(F.array(none), lambda b: b.isNotNull()),
+        lambda kept, b: F.when(
+            F.exists(kept, lambda c: (b["start"] < c["stop"]) & (c["start"] < b["stop"])), kept)
+        .otherwise(F.concat(kept, F.array(b))))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          each_row: bool = False) -> DataFrame:
     """``(id, n_words, places)`` for each document, or with ``each_row`` for each row.
@@ -104,16 +139,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     merged = diagonals.withColumn("band", F.sum(F.when(apart, 1).otherwise(0)).over(
         line.rowsBetween(Window.unboundedPreceding, 0)))
     spans = (merged.groupBy("id", "print", "n_words", "template", "label", "exact", "pairs", "band")
-             .agg(F.size(F.array_distinct(F.flatten(F.collect_list("tpos")))).alias("votes"),
+             .agg(F.array_sort(F.collect_list(F.struct("diagonal", "tpos"))).alias("lines"),
+                  F.size(F.array_distinct(F.flatten(F.collect_list("tpos")))).alias("votes"),
                   F.min(F.col("diagonal") + F.array_min("tpos")).alias("start"),
                   (F.max(F.col("diagonal") + F.array_max("tpos")) + 2).alias("stop")))
-    fits = F.when(F.col("exact"), F.col("votes") == F.col("pairs")).otherwise(
-        (F.col("votes") >= LEAST_SHARE * F.col("pairs"))
-        & (F.col("stop") - F.col("start") <= STRETCH * (F.col("pairs") + 1)))
-    place = F.when(F.coalesce(fits, F.lit(False)), F.struct(
-        "label", F.col("exact").alias("base"), F.col("start").cast("bigint").alias("start"),
-        F.col("stop").cast("bigint").alias("stop"),
-        (F.col("votes") / F.col("pairs")).alias("share")))
+    enough = F.when(F.col("exact"), F.col("votes") == F.col("pairs")).otherwise(
+        F.col("votes") >= LEAST_SHARE * F.col("pairs"))
+    short = F.col("exact") | (F.col("stop") - F.col("start") <= STRETCH * (F.col("pairs") + 1))
+
+    def place(start, stop, votes):
+        return F.struct("label", F.col("exact").alias("base"), start.cast("bigint").alias("start"),
+                        stop.cast("bigint").alias("stop"), (votes / F.col("pairs")).alias("share"))
+
+    places = (F.when(enough & short, F.array(place(F.col("start"), F.col("stop"), F.col("votes"))))
+              .when(enough, F.transform(best_runs(F.col("lines"), F.col("pairs")), lambda b: place(
+                  b["start"], b["stop"], F.col("pairs") - b["missed"]))))
     return (spans.groupBy("id", "print", F.col("n_words"))
-            .agg(F.array_sort(F.collect_list(place)).alias("places"))
+            .agg(F.array_sort(F.flatten(F.collect_list(places))).alias("places"))
             .select("id", F.col("n_words").cast("bigint").alias("n_words"), "places"))

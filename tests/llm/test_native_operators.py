@@ -76,6 +76,18 @@ def test_license_templates(spark):
     assert license_diagonals.scan(text_frame(spark, [])).count() == 0
 
 
+def test_license_beside_partial_repeats(spark):
+    """A whole template counts though repeats near it stretch its band."""
+    mit = "Released under the MIT License. The MIT License permits"
+    found = license_diagonals.scan(text_frame(spark, [
+        (1, mit), (2, f"{mit} all. {mit}"), (3, "the mit license the mit license the mit license"),
+        (4, "Released under the very MIT License. The MIT License permits")])).collect()
+    got = {r.id: [(p.label, p.start, p.stop, p.share) for p in r.places] for r in found}
+    assert got[1] == [("mit", 0, 5, 1.0)] and got[3] == []
+    assert got[2] == [("mit", 0, 5, 1.0), ("mit", 10, 15, 1.0)]
+    assert got[4] == [("mit", 0, 6, 0.75)]
+
+
 # -- chats -----------------------------------------------------------------------
 
 CHATS = [(1, 0, "system", "Be kind."), (1, 1, "ana", "hi"), (1, 2, "bo", "yo <|end|> x"), (1, 2, "bo", "yo"),
