@@ -14,12 +14,13 @@ A block holds ``BLOCK_IDS`` ids (the last one filled with zeros), 32 ids in
 any id range is read by seeking to its blocks.
 
 Files hold documents in ascending id order (nulls first), file after file.  The
-rows are sorted by range, so a file is a bounded share of the corpus.  Files are
+rows are dealt to tasks by ranges of (id, hash of the text), so rows that share an
+id spread as well, and a file is closed after a fixed number of ids.  Files are
 written under the name of the task attempt; the manifest, itself written out,
 lists those that count, so lost executors and repeated attempts do no harm.
 
 Edge cases: a null text counts as empty and has the end id alone; rows that
-share an id follow each other, ordered by text.  Empty tables give an empty
+share an id follow each other, ordered by a hash of the text, then by text.  Empty tables give an empty
 manifest.  Other columns are not read.
 """
 
@@ -41,14 +42,17 @@ from .frames import row_slices, settle, text_batches, utf8, work_folder
 from .wordbytes import SLICE_BYTES, span_hashes
 
 BLOCK_IDS = 1 << 16
+FILE_IDS = 1 << 24
 END_ID = 0
-# Pieces of text whose ids a worker remembers, and those encoded at a time.
-REMEMBERED = 250_000
-LEARNT = 8_192
+# Pieces of text whose ids a worker remembers, those of them held apart until they are
+# sorted in, and those encoded at a time.
+REMEMBERED = 800_000
+RECENT = 60_000
+TOGETHER = 100
 _HEAD = 40
 _MAGIC = b"BITS"
 
-MANIFEST = "part int, path string, docs bigint, ids bigint"
+MANIFEST = "part int, file int, path string, docs bigint, ids bigint"
 
 
 # -- packing -------------------------------------------------------------------
@@ -187,6 +191,47 @@ def _plain(text: str) -> bool:
                 or (not text.isascii() and any(b in text for b in _WIDE)))
 
 
+class _Known:
+    """Ids of pieces already encoded: sorted 64-bit keys, a check, and a range of ``ids``."""
+
+    def __init__(self):
+        self.key = np.empty(0, np.uint64)
+        self.check = np.empty(0, np.uint64)
+        self.first = np.empty(0, np.int64)
+        self.count = np.empty(0, np.int32)
+        self.used = np.empty(0, np.int32)
+        self.ids = np.empty(0, np.uint32)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key stands, and whether it does."""
+        at = np.searchsorted(self.key, key)
+        at[at == len(self.key)] = 0
+        if not len(self.key):
+            return at, np.zeros(len(key), bool)
+        return at, (self.key[at] == key) & (self.check[at] == check)
+
+    def add(self, key, check, count, used, ids):
+        """Put new pieces (``ids`` one after another) among the known ones."""
+        at = np.searchsorted(self.key, key)
+        first = len(self.ids) + np.cumsum(count, dtype=np.int64) - count
+        for name, new in (("key", key), ("check", check), ("first", first), ("count", count),
+                          ("used", used)):
+            setattr(self, name, np.insert(getattr(self, name), at, new))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def part(self, keep: np.ndarray):
+        """Keys, checks, counts, uses and ids of some pieces."""
+        return (self.key[keep], self.check[keep], self.count[keep], self.used[keep],
+                _spread(self.ids, self.first[keep], self.count[keep]))
+
+
+def _spread(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``values[first:first + count]`` of every pair, one after another."""
+    last = np.cumsum(count, dtype=np.int64)
+    return values[np.repeat(first - (last - count), count)
+                  + np.arange(last[-1] if len(last) else 0)]
+
+
 class Encoder:
     """Encodes texts with a byte-level BPE file, remembering what frequent pieces give.
 
@@ -195,6 +240,10 @@ class Encoder:
     (but not after an apostrophe).  A text whose blanks are all of these kinds is
     cut there and each distinct piece is encoded once; any other text is one
     piece.  Pieces are told apart by 128 bits of hash.
+
+    New pieces go to the tokenizer many at a time in one text, in which it splits
+    between them by the same rule; the bytes that each id stands for say which
+    ids are whose.
     """
 
     def __init__(self, path: str):
@@ -203,24 +252,26 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.key = np.empty(0, np.uint64)        # sorted
-        self.check = np.empty(0, np.uint64)
-        self.first = np.empty(0, np.int64)
-        self.count = np.empty(0, np.int64)
-        self.used = np.empty(0, np.int32)
-        self.ids = np.empty(0, np.uint32)
+        # A byte-level vocabulary writes each byte as one character.
+        self.width = np.zeros(self.vocabulary, np.int64)
+        for token, k in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.width[k] = len(token)
+        # Older pieces, and those of the last slices, which are cheaper to add to.
+        self.known, self.recent = _Known(), _Known()
 
     def _forget(self):
-        """Keep the half that was met in most slices; later use counts anew."""
-        keep = np.sort(np.argsort(-self.used, kind="stable")[:REMEMBERED // 2])
-        # Very long pieces are not worth their room.
-        keep = keep[self.count[keep] <= 64]
-        count = self.count[keep]
-        last = np.cumsum(count)
-        self.ids = self.ids[np.repeat(self.first[keep] - (last - count), count)
-                            + np.arange(last[-1] if len(last) else 0)]
-        self.key, self.check, self.count = self.key[keep], self.check[keep], count
-        self.first, self.used = last - count, np.zeros(len(keep), np.int32)
+        """Move recent pieces to the older ones; if these are too many, keep the half
+        that was met in most slices."""
+        if len(self.recent.key) > RECENT:
+            self.known.add(*self.recent.part(np.arange(len(self.recent.key))))
+            self.recent = _Known()
+        if len(self.known.key) > REMEMBERED or len(self.known.ids) > 8 * REMEMBERED:
+            keep = np.sort(np.argsort(-self.known.used, kind="stable")[:REMEMBERED // 2])
+            # Very long pieces are not worth their room.
+            keep = keep[self.known.count[keep] <= 64]
+            part, self.known = self.known.part(keep), _Known()
+            self.known.add(*part)
+            self.known.used[:] = 0
 
     def _cuts(self, data: np.ndarray, begins: np.ndarray, plain: np.ndarray) -> np.ndarray:
         kind = _CLASS[data]
@@ -233,39 +284,67 @@ class Encoder:
         cut[begins[:-1]] = True
         return np.flatnonzero(cut)
 
-    def _learn(self, data: bytes, start, end, key, check):
-        """Encode new pieces and put them among the known ones."""
-        pieces = [data[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
-        lists = []
-        for at in range(0, len(pieces), LEARNT):
-            got = self.tokenizer.encode_batch_fast(pieces[at:at + LEARNT], add_special_tokens=False)
-            lists += [e.ids for e in got]
-        count = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.uint32, int(count.sum()))
-        at = np.searchsorted(self.key, key)
-        self.first = np.insert(self.first, at, len(self.ids) + np.cumsum(count) - count)
-        self.key, self.check = np.insert(self.key, at, key), np.insert(self.check, at, check)
-        self.count = np.insert(self.count, at, count)
-        self.used = np.insert(self.used, at, 0)
-        self.ids = np.concatenate((self.ids, flat))
-
-    def _find(self, key, check):
-        at = np.searchsorted(self.key, key)
-        at[at == len(self.key)] = 0
-        if not len(self.key):
-            return at, np.zeros(len(key), bool)
-        return at, (self.key[at] == key) & (self.check[at] == check)
+    def _together(self, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """Ids and their number for pieces that may stand side by side in one text:
+        those without a space in front get a newline there, which is a piece itself."""
+        lead = (data[start] != 0x20).astype(np.int64)
+        size = end - start + lead
+        last = np.cumsum(size)
+        first = last - size
+        joined = data[np.clip(np.repeat(start - lead - first, size) + np.arange(last[-1]),
+                              0, None)]
+        joined[first[lead == 1]] = 0x0A
+        raw, found, counts = joined.tobytes(), [], []
+        for at in range(0, len(start), TOGETHER):
+            to = min(at + TOGETHER, len(start))
+            text = raw[first[at]:last[to - 1]].decode()
+            ids = np.array(self.tokenizer.encode_batch_fast(
+                [text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(self.width[ids]) + first[at]
+            edge = np.searchsorted(ends, last[at:to]) + 1
+            own = np.diff(edge, prepend=0) - lead[at:to]
+            if (ends[edge - 1] != last[at:to]).any() or (own < 1).any():
+                raise ValueError("the tokenizer does not split between pieces")
+            keep = np.ones(len(ids), bool)
+            keep[np.concatenate(([0], edge[:-1]))[lead[at:to] == 1]] = False
+            found.append(ids[keep])
+            counts.append(own)
+        return np.concatenate(found), np.concatenate(counts)
+
+    def _learn(self, data: np.ndarray, start, end, plain, key, check):
+        """Encode new pieces and remember them."""
+        first = data[start]
+        # A lone blank, or a text with rare blanks, is encoded by itself.
+        side = plain & (first != 0x0A) & ((first != 0x20) | (end - start > 1))
+        order = np.argsort(~side, kind="stable")
+        n = int(side.sum())
+        ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        if n:
+            some, count = self._together(data, start[order[:n]], end[order[:n]])
+            ids.append(some)
+            counts.append(count)
+        rest = order[n:]
+        if len(rest):
+            got = self.tokenizer.encode_batch_fast(
+                [data[a:b].tobytes().decode() for a, b in zip(start[rest], end[rest])],
+                add_special_tokens=False)
+            ids += [np.array(e.ids, np.uint32) for e in got]
+            counts.append(np.array([len(e.ids) for e in got], np.int64))
+        ids, count = np.concatenate(ids), np.concatenate(counts)
+        begin = np.cumsum(count) - count
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.recent.add(key, check, count[back].astype(np.int32), np.zeros(len(key), np.int32),
+                        _spread(ids, begin[back], count[back]))
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All ids of a slice of the texts in one array, and the number of each."""
         view, offsets = utf8(column)
         for lo, hi in row_slices(offsets, SLICE_BYTES):
-            if len(self.key) > REMEMBERED or len(self.ids) > 8 * REMEMBERED:
-                self._forget()
+            self._forget()
             at = offsets[lo:hi + 1].tolist()
             texts = [bytes(view[a:b]) for a, b in zip(at, at[1:])]
-            raw = b"\n".join(texts) + b"\n"
-            data = np.frombuffer(raw, np.uint8)
+            data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
             begins = offsets[lo:hi + 1] - offsets[lo] + np.arange(hi - lo + 1)
             plain = np.fromiter((_plain(t.decode()) for t in texts), bool, hi - lo)
             cuts = self._cuts(data, begins, plain)
@@ -275,23 +354,27 @@ class Encoder:
             start, end, text_of = cuts[some], end[some], text_of[some]
             keys = span_hashes(data, start, end)
             checks = span_hashes(data, start, end, 1)
-            key, first, which = np.unique(keys, return_index=True, return_inverse=True)
-            check = checks[first]
+            key, one, which = np.unique(keys, return_index=True, return_inverse=True)
+            check = checks[one]
             if (check[which] != checks).any():
                 raise ValueError("two pieces share a hash")
-            place, known = self._find(key, check)
-            if not known.all():
-                new = ~known
-                self._learn(raw, start[first[new]], end[first[new]], key[new], check[new])
-                place, known = self._find(key, check)
-                if not known.all():
+            old, is_old = self.known.find(key, check)
+            place, known = self.recent.find(key, check)
+            new = ~(known | is_old)
+            if new.any():
+                self._learn(data, start[one[new]], end[one[new]], plain[text_of[one[new]]],
+                            key[new], check[new])
+                place, known = self.recent.find(key, check)
+                if not (known | is_old).all():
                     raise ValueError("two pieces share a hash")
-            self.used[place] += 1
-            place = place[which]
-            count = self.count[place]
-            last = np.cumsum(count)
-            ids = self.ids[np.repeat(self.first[place] - (last - count), count)
-                           + np.arange(last[-1] if len(last) else 0)]
+            self.known.used[old[is_old]] += 1
+            self.recent.used[place[known]] += 1
+            first, count = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+            first[is_old], count[is_old] = self.known.first[old[is_old]], self.known.count[old[is_old]]
+            first[known] = self.recent.first[place[known]] + len(self.known.ids)
+            count[known] = self.recent.count[place[known]]
+            count = count[which]
+            ids = _spread(np.concatenate((self.known.ids, self.recent.ids)), first[which], count)
             yield ids, np.bincount(text_of, count, hi - lo).astype(np.int64)
 
 
@@ -302,7 +385,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int):
+def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int):
     """The ids with ``end_id`` after each document."""
     out = np.full(len(ids) + len(counts), end_id, np.uint32)
     out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
@@ -313,10 +396,11 @@ def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int):
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
                  id_col: str = "doc_id", text_col: str = "text",
-                 end_id: int = END_ID) -> DataFrame:
+                 end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Write the ids of all documents; returns the manifest, one row per file.
 
-    Ids of documents must be whole numbers.  Runs jobs.
+    Ids of documents must be whole numbers.  A file is closed once it has
+    ``file_ids`` ids, so a task holds no more than that and one slice.  Runs jobs.
     """
     folder = folder or work_folder(docs.sparkSession)
     text_batches()
@@ -324,26 +408,40 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         bits = bits_for(max(enc.vocabulary, end_id + 1))
+        task = TaskContext.get()
+        files, held = 0, 0
         names, counts, chunks = [], [], []
+
+        def close() -> pa.RecordBatch:
+            n = np.concatenate(counts)
+            path = (f"{folder}/part-{task.partitionId():06d}-{files:04d}"
+                    f"-{task.taskAttemptId()}-{uuid.uuid4().hex}.bits")
+            write_file(path, names, n, chunks, bits)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([task.partitionId()], pa.int32()), pa.array([files], pa.int32()),
+                 pa.array([path]), pa.array([len(names)], pa.int64()),
+                 pa.array([int(n.sum())], pa.int64())],
+                ["part", "file", "path", "docs", "ids"])
+
         for batch in batches:
-            names += batch.column("id").to_pylist()
+            own, at = batch.column("id").to_pylist(), 0
             for ids, n in enc.encode(batch.column("text")):
-                ids, n = _with_end(ids, n, end_id)
+                ids, n = with_end(ids, n, end_id)
+                names += own[at:at + len(n)]
+                at += len(n)
                 chunks.append(ids.astype(np.uint16) if bits <= 16 else ids)
                 counts.append(n)
-        if not names:
-            return
-        counts = np.concatenate(counts)
-        task = TaskContext.get()
-        path = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.bits"
-        write_file(path, names, counts, chunks, bits)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([task.partitionId()], pa.int32()), pa.array([path]),
-             pa.array([len(names)], pa.int64()), pa.array([int(counts.sum())], pa.int64())],
-            ["part", "path", "docs", "ids"])
+                held += len(ids)
+                if held >= file_ids:
+                    yield close()
+                    files, held = files + 1, 0
+                    names, counts, chunks = [], [], []
+        if names:
+            yield close()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    placed = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    order = ["id", F.xxhash64("text"), "text"]
+    placed = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     return settle(placed.mapInArrow(write, MANIFEST), folder)
 
 
@@ -354,7 +452,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     little-endian unsigned 32-bit numbers.
     """
     # One row per file, so this window is small.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("before", F.coalesce(F.sum("ids").over(before),
                                                      F.lit(0).cast("bigint")))
     n = max(1, manifest.count())
