@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bitpacked_tokens, block_anchors, chat_perspectives, covering_simhash, crf_pii,
-               factorisation_machine, license_diagonals, permutation_index, source_mixing,
-               suffix_decontamination)
+               factorisation_machine, license_diagonals, permutation_index, source_divergence,
+               source_mixing, suffix_decontamination)
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,3 +296,43 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_DIVERGENCE_SQL = rf"""WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term
+      HAVING count(DISTINCT r) >= {source_divergence.LEAST_DOCS}),
+c AS (SELECT g.lang, g.source, k.term, count(t.term) AS n, any_value(k.n) AS lang_n
+      FROM g JOIN k ON k.lang = g.lang
+      LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term
+      GROUP BY g.lang, g.source, k.term),
+s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total,
+             count(*) OVER (PARTITION BY lang, source) AS v,
+             sum(lang_n) OVER (PARTITION BY lang, source) AS lang_total FROM c),
+p AS (SELECT lang, source, term, n,
+             1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS p,
+             1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v) AS q FROM s),
+a AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+      FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL),
+e AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(a.value, 0) AS value
+      FROM g JOIN g o ON o.lang = g.lang AND o.source <> g.source
+      LEFT JOIN a ON a.lang = g.lang AND a.source = g.source AND a.item = o.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM e)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank
+FROM o WHERE part = 'pair' OR rank <= {source_divergence.TOP}"""
+
+
+@query(_DIVERGENCE_SQL)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms each one overuses."""
+    counts = source_divergence.count_terms(table(spark, sf_dir, "documents"))
+    near = source_divergence.pairs(counts).withColumn("part", F.lit("pair"))
+    over = source_divergence.terms(counts).withColumnRenamed("term", "item")
+    columns = ["lang", "source", "part", "item", "value", "rank"]
+    return near.select(*columns).unionByName(
+        over.withColumn("part", F.lit("term")).select(*columns))
