@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bitpacked_tokens, block_anchors, chat_perspectives, covering_simhash, crf_pii,
-               factorisation_machine, license_diagonals, permutation_index, source_divergence,
-               source_mixing, suffix_decontamination)
+               factorisation_machine, island_packing, license_diagonals, permutation_index,
+               source_divergence, source_mixing, suffix_decontamination)
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -336,3 +336,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return near.select(*columns).unionByName(
         over.withColumn("part", F.lit("term")).select(*columns))
+
+
+@query()
+def op12_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document."""
+    pieces = island_packing.cut(table(spark, sf_dir, "documents"), tokenizer_file())
+    places = island_packing.place(pieces.select("row", "length"))
+    digest = pieces.select("row", F.col("id").alias("doc_id"), "piece", "start",
+                           F.col("length").cast("bigint").alias("length"),
+                           F.crc32("ids").alias("ids_crc32"))
+    return digest.join(places, "row").drop("row")
