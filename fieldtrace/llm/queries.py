@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import (bitpacked_tokens, block_anchors, chat_perspectives, covering_simhash, crf_pii,
                factorisation_machine, island_packing, license_diagonals, permutation_index,
-               source_divergence, source_mixing, suffix_decontamination)
+               prefix_trie, source_divergence, source_mixing, suffix_decontamination)
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -347,3 +347,44 @@ def op12_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                            F.col("length").cast("bigint").alias("length"),
                            F.crc32("ids").alias("ids_crc32"))
     return digest.join(places, "row").drop("row")
+
+
+_TRIE_SQL = r"""WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+           coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT c, c - c % 20 AS base, count(*) AS n, xor(list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+          lambda k, i: xor(k >> 1, (k & 1) * 3988292384))), 4294967295::BIGINT) % 4 AS h FROM t GROUP BY c),
+f AS (SELECT v.*, least(v.h, coalesce(b.n, 0)) AS taken FROM v LEFT JOIN v b ON b.c = v.base),
+r AS (SELECT f.c, t.s AS d, role, txt FROM f JOIN t ON t.c = f.base AND t.s <= f.h
+      UNION ALL SELECT t.c, t.s - f.h + f.taken, role, txt FROM t JOIN f USING (c) WHERE t.s > f.h),
+p AS (SELECT c, d, len(regexp_extract_all(txt, '[^\x20\x09-\x0D]+')) AS words,
+        list({'r': role, 'x': txt}) OVER (PARTITION BY c ORDER BY d) AS path FROM r
+      UNION ALL SELECT c, 0, 0, [] FROM f),
+n AS (SELECT d, path, min(c) AS conv, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY d, path),
+u AS (SELECT n.*, q.conv AS parent FROM n
+      LEFT JOIN p ON p.c = n.conv AND p.d = n.d - 1 LEFT JOIN n q ON q.d = p.d AND q.path = p.path),
+k AS (SELECT d - 1 AS d, parent AS conv, count(*) AS n_children FROM u WHERE d > 0 GROUP BY ALL),
+w AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k USING (d, conv)),
+a AS (SELECT q.d, q.conv, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+        sum((w.n_convs - 1) * w.words) AS saved
+      FROM w JOIN p ON p.c = w.conv AND p.d <= w.d JOIN n q ON q.d = p.d AND q.path = p.path GROUP BY ALL),
+l AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+e AS (SELECT p.d, p.path, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM l JOIN p USING (c, d) GROUP BY ALL)
+SELECT CAST(w.conv AS BIGINT) AS conv_id, CAST(w.d AS BIGINT) AS depth, CAST(parent AS BIGINT) AS parent_conv_id,
+       CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM w JOIN a USING (d, conv) LEFT JOIN e ON e.d = w.d AND e.path = w.path"""
+
+
+@query(_TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    found = prefix_trie.trie(table(spark, sf_dir, "conversations"))
+    return found.select(
+        F.col("conv").alias("conv_id"), F.col("depth").cast("bigint").alias("depth"),
+        F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), F.col("digest").alias("ends_sha256"))
