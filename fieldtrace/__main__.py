@@ -23,7 +23,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("dictionary")
     parser.add_argument("out")
     parser.add_argument("--format", default="parquet", choices=("parquet", "csv", "orc", "json"))
-    parser.add_argument("--sessions", nargs="*", help="only these sessions")
+    parser.add_argument("--sessions", nargs="*", help="only these sessions; those under OUT stay (not with --single)")
     parser.add_argument("--raw", action="store_true",
                         help="the log has its raw headings and dates as text")
     parser.add_argument("--single", action="store_true", help="one table instead of directories")
@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None) -> None:
     else:
         # A long session is written by several tasks, in order only if ranged.
         write_sessions(events, args.out, fmt=args.format, options=options,
-                       ranged=long is not None, buckets=args.buckets)
+                       ranged=long is not None, buckets=args.buckets, sessions=args.sessions)
 
 
 if __name__ == "__main__":

@@ -183,9 +183,54 @@ def _with_order(df: DataFrame, fmt: str, order: Sequence[str]) -> DataFrame:
     return df
 
 
+def _layout(spark: SparkSession, path: str) -> tuple[bool, int | None]:
+    """Whether a dataset is there, and the number of its buckets if it has them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return False, None
+    marker = spark._jvm.org.apache.hadoop.fs.Path(at, "_buckets")
+    return True, buckets_of(spark, path) if fs.exists(marker) else None
+
+
+def _files(spark: SparkSession, path: str, by: str, values: Sequence[object]) -> dict[str, set[str]]:
+    """The names of the files in each of these partition directories that is there."""
+    jvm, out = spark._jvm, {}
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for value in values:
+        at = jvm.org.apache.hadoop.fs.Path(path, f"{by}={escape(str(value))}")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            out[at.toString()] = {f.getPath().getName() for f in fs.listStatus(at)}
+    return out
+
+
+def _delete(spark: SparkSession, directory: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _buckets_held(spark: SparkSession, sessions: Sequence[str], buckets: int) -> list[int]:
+    named = spark.createDataFrame([(s,) for s in sessions], "s string")
+    return [r["b"] for r in named.select(bucket_of("s", buckets).alias("b")).distinct().collect()]
+
+
+def _with_the_others(df: DataFrame, path: str, fmt: str, sessions: Sequence[str],
+                     options: Mapping[str, str], touched: Sequence[int]) -> DataFrame:
+    """The rows, and those that other sessions have in the buckets ``touched``."""
+    reader = df.sparkSession.read.options(**options)
+    if fmt in ("parquet", "orc"):
+        differ = set(reader.format(fmt).load(path).columns) ^ set(df.columns)
+        if differ:
+            raise ValueError(f"the dataset and the rows differ in {sorted(differ)}")
+    there = reader.schema(df.schema).format(fmt).load(path)
+    kept = there.where(F.col(BUCKET).isin(list(touched)) & ~F.col("session_id").isin(list(sessions)))
+    return df.unionByName(kept)
+
+
 def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet",
                    order: Sequence[str] = ("row_order",), ranged: bool = False,
-                   buckets: int | None = None,
+                   buckets: int | None = None, sessions: Sequence[str] | None = None,
                    options: Mapping[str, str] | None = None) -> None:
     """One directory per session, rows in order inside each file; overwrites.
 
@@ -198,17 +243,45 @@ def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet",
 
     With very many sessions give ``buckets``: sessions share that many
     directories, sorted by session, so neither listing nor commit grows with them.
+
+    ``sessions`` states that the rows are all of these sessions and of no others: they
+    are replaced, also by nothing, and every other session stays as it is.  Only
+    their directories are written; in shared ones the rows of other sessions are
+    carried over, and the dataset keeps its number of buckets.  A row of another
+    session stops the job before anything is replaced.
     """
-    placed = df.repartitionByRange("session_id", *order) if ranged else df
-    by = "session_id"
+    spark, given, part = df.sparkSession, dict(options or {}), sessions is not None
+    if part:
+        there, own = _layout(spark, path)
+        if there and buckets is not None and own != buckets:
+            raise ValueError(f"the dataset has {own or 'no'} buckets, not {buckets}")
+        buckets, part = own if there else buckets, there
+        other = F.raise_error(F.concat(F.lit("not one of the sessions to write: "), F.col("session_id")))
+        df = df.withColumn("session_id", F.when(F.col("session_id").isin(list(sessions)), F.col("session_id"))
+                           .otherwise(other.cast(df.schema["session_id"].dataType)))
+    by, held = "session_id", sessions
     if buckets is not None:
-        placed, by = placed.withColumn(BUCKET, bucket_of("session_id", buckets)), BUCKET
-    ordered = _with_order(placed.sortWithinPartitions(
-        *([BUCKET] if buckets is not None else []), "session_id", *order), fmt, order)
-    (ordered.write.mode("overwrite").options(**dict(options or {}))
+        df, by = df.withColumn(BUCKET, bucket_of("session_id", buckets)), BUCKET
+    df = _with_order(df, fmt, order)
+    if part and buckets is not None:
+        held = _buckets_held(spark, sessions, buckets)
+        # Rows carried over are not grouped with the new ones.
+        df, ranged = _with_the_others(df, path, fmt, sessions, given, held), True
+    before = _files(spark, path, by, held) if part else {}
+    placed = df.repartitionByRange("session_id", *order) if ranged else df
+    ordered = placed.sortWithinPartitions(
+        *([BUCKET] if buckets is not None else []), "session_id", *order)
+    # Dynamic: only the directories that get rows are replaced, once all are written.
+    (ordered.write.mode("overwrite").options(**given)
+     .option("partitionOverwriteMode", "dynamic" if part else "static")
      .partitionBy(by).format(fmt).save(path))
-    if buckets is not None:
-        (df.sparkSession.range(1).select(F.lit(str(buckets)).alias("value")).coalesce(1)
+    if part:
+        after = _files(spark, path, by, held)
+        for directory, names in before.items():
+            if after.get(directory) == names:    # nothing was written there
+                _delete(spark, directory)
+    elif buckets is not None:
+        (spark.range(1).select(F.lit(str(buckets)).alias("value")).coalesce(1)
          .write.mode("overwrite").text(f"{path.rstrip('/')}/_buckets"))
 
 

@@ -34,6 +34,24 @@ def overlay(spark, sf_dir):
     return op.overlay(base, patch, ["doc_id"], ["lang", "n_chars"], drop_flag="removed")
 
 
+@query("""WITH last AS (
+  SELECT user_id, event_type, value, row_number() OVER (
+    PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events)
+SELECT c_custkey, coalesce(l.event_type, c_mktsegment) AS c_mktsegment,
+  coalesce(l.value, c_acctbal) AS c_acctbal
+FROM customer LEFT JOIN last l ON l.user_id = c_custkey AND nth = 1
+WHERE coalesce(l.event_type <> 'error', true)""")
+def overlay_repeated_keys(spark, sf_dir):
+    """The last event of each user laid over customers; the patch repeats its keys."""
+    base = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    patch = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("c_custkey"), F.col("event_type").alias("c_mktsegment"),
+        F.col("value").alias("c_acctbal"), "ts", "event_id",
+        F.when(F.col("event_type") == "error", F.lit(True)).alias("gone"))
+    return op.overlay(base, patch, ["c_custkey"], ["c_mktsegment", "c_acctbal"], "gone",
+                      prefer=["ts", "event_id"])
+
+
 @query(f"""WITH {LOG_SQL} SELECT session_id, seq,
   coalesce(play, agg_sub, olfactory, behavior) AS first, coalesce(pup_care, comments) AS note
 FROM log""")

@@ -63,6 +63,32 @@ def sink_roundtrip(spark, sf_dir):
     return back.select("session_id", "event_id", "value", "seq")
 
 
+PARTIAL_SQL = """WITH e AS (
+  SELECT CAST(user_id AS VARCHAR) AS session_id, event_id,
+    CASE WHEN user_id % 3 = 1 THEN -1.0 ELSE value END AS value
+  FROM events WHERE NOT (user_id % 3 = 2))
+SELECT layout, e.* FROM e, (VALUES ('apart'), ('shared')) AS l(layout)"""
+
+
+@query(PARTIAL_SQL)
+def sink_partial(spark, sf_dir):
+    """Write all sessions, then some of them again, some of these without rows; in
+    directories of their own and in shared ones.  The others stay."""
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("session_id"), "event_id", "ts", "value")
+    kind = F.col("session_id").cast("bigint") % 3
+    again = [r[0] for r in rows.where(kind != 0).select("session_id").distinct().collect()]
+    new = rows.where(kind == 1).withColumn("value", F.lit(-1.0))
+    schema, parts = "session_id string, event_id bigint, ts timestamp_ntz, value double", []
+    for layout, buckets in (("apart", None), ("shared", 5)):
+        path = f"{shared_folder(spark)}/partial-{uuid.uuid4().hex}"
+        sources.write_sessions(rows, path, order=("ts", "event_id"), ranged=True, buckets=buckets)
+        sources.write_sessions(new, path, order=("ts", "event_id"), ranged=True, sessions=again)
+        parts.append(spark.read.schema(schema).parquet(path).select(
+            F.lit(layout).alias("layout"), "session_id", "event_id", "value"))
+    return parts[0].unionByName(parts[1])
+
+
 @query(f"""WITH {LOG_SQL} SELECT session_id, seq,
   last_value(modifiers IGNORE NULLS) OVER w AS modifiers,
   last_value(focal_individual IGNORE NULLS) OVER w AS focal_individual

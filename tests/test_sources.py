@@ -120,6 +120,72 @@ def test_overlay_matches_null_keys_and_is_idempotent(spark):
     assert as_rows(op.overlay(once, patch, ["k", "d"], ["v"], "gone")) == as_rows(once)
 
 
+def test_overlay_with_repeated_keys(spark):
+    base = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (4, "d")], "k int, v string")
+    patch = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (1, None, 0), (None, "n", 5),
+                                   (None, "m", 5), (9, "x", 1), (9, "y", 1)], "k int, v string, at int")
+    with pytest.raises(Exception, match="repeated patch key"):
+        op.overlay(base, patch, ["k"], ["v"]).collect()
+    got = op.overlay(base, patch, ["k"], ["v"], prefer=["at"])
+    assert as_rows(got) == sorted([(1, "new"), (1, "new"), (None, "n"), (4, "d")], key=repr)
+    # One exchange a side, shared by reducing the patch and joining it.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = got.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_relabel_with_more_hot_labels_than_the_summary_names(spark):
+    """Every label is hot at ``hot_rows=0``; the summary names a few, the rows are the same."""
+    rows = spark.range(4_000).selectExpr(
+        "id", "IF(id % 3 = 0, 'Hot', IF(id % 97 = 0, NULL, concat('label', id))) AS behavior")
+    words = spark.range(4_000).selectExpr(
+        "concat('LABEL', id) AS behavior", "concat('r', id) AS replacement", "id AS dict_seq").union(
+        spark.createDataFrame([("hot", "warm", 0), (None, "nothing", 1)], "b string, r string, d long"))
+    want = as_rows(op.relabel(rows, words, small=True))
+    for most in (1, 50):
+        assert as_rows(op.relabel(rows, words, small=False, hot_rows=0, most_hot=most)) == want
+
+
+# -- some sessions written again ------------------------------------------------
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_partial_runs_keep_the_other_sessions(spark, tmp_path, buckets, fmt):
+    names = ["a", "b/c", "d e", "f", "g"]
+    log = log_of(spark, {s: [(k, "Dig") for k in range(4)] for s in names}).select(
+        "session_id", "seq", "behavior", "comments")
+    path, options = str(tmp_path / "out"), {"header": "true"} if fmt == "csv" else {}
+    how = {"fmt": fmt, "options": options, "order": ["seq"]}
+    write_sessions(log, path, buckets=buckets, sessions=names, **how)
+    new = log.where("session_id IN ('b/c', 'f') AND seq < 3").withColumn("behavior", F.lit("GA"))
+    write_sessions(new, path, sessions=["b/c", "d e", "f"], **how)
+    back = read_sessions(spark, path, fmt=fmt, options=options, schema=log.schema)
+    want = [(s, k, "Dig") for s in ("a", "g") for k in range(1, 5)]
+    want += [(s, k, "GA") for s in ("b/c", "f") for k in (1, 2)]
+    assert as_rows(back, "session_id", "seq", "behavior") == sorted(want, key=repr)
+    with pytest.raises(Exception, match="not one of the sessions"):
+        write_sessions(log, path, sessions=["a"], **how)
+    with pytest.raises(ValueError, match="buckets"):
+        write_sessions(new, path, sessions=["b/c"], buckets=7, **how)
+    assert as_rows(back, "session_id", "seq", "behavior") == sorted(want, key=repr)
+    write_sessions(new.limit(0), path, sessions=names, **how)
+    left = [f for f in (tmp_path / "out").rglob("part-*") if "_buckets" not in str(f)]
+    assert not left
+
+
+def test_partial_run_with_other_columns(spark, tmp_path):
+    log = log_of(spark, SESSIONS).select("session_id", "seq", "behavior")
+    write_sessions(log, str(tmp_path / "x"), order=["seq"], buckets=2)
+    with pytest.raises(ValueError, match="differ in"):
+        write_sessions(log.withColumn("more", F.lit(1)), str(tmp_path / "x"), order=["seq"],
+                       sessions=["s1", "s2"])
+
+
 @pytest.mark.parametrize("flags", [[], ["--single", "--repair", "keep_partner"]])
 def test_batch_job(spark, tmp_path, flags):
     log_of(spark, SESSIONS).write.parquet(str(tmp_path / "log"))
