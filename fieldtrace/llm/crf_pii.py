@@ -16,7 +16,8 @@ neighbouring pair scores could bring back is outside on every best path.  Such
 tokens cut the texts, and what lies between them is decoded exactly.
 
 Edge cases: a null text counts as empty and has no spans.  Rows are judged one by
-one; ids, repeated rows and other columns do not matter.
+one; ids, repeated rows and other columns do not matter.  Very long texts are read
+whole, in time and memory proportional to their length.
 """
 
 from __future__ import annotations
@@ -58,22 +59,46 @@ def luhn(digits: str) -> bool:
 
 
 def _ip(text: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255
-               for p in text.split("."))
+    parts = [p.lstrip("0") for p in text.split(".")]
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
 
 
 def _card(text: str) -> bool:
+    if len(text) > 40:      # more than 19 digits, whatever stands between them
+        return False
     digits = _digits(text)
     return 13 <= len(digits) <= 19 and luhn(digits)
 
 
+# The same matches in linear time.  A run of digits or of letters that cannot match
+# from its first character cannot match from a later one, so only run starts are
+# tried, and an address is sought from its "@" outwards.
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_FOUR = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    back, n, free = text[::-1], len(text), 0
+    at = text.find("@")
+    while at >= 0:
+        # The characters before the "@", as far as the last match.
+        start = n - _LOCAL.match(back, n - at, n - free).end()
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            free = domain.end()
+            yield start, free
+        at = text.find("@", max(at + 1, free))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Matches of the base patterns, by kind and start."""
     found = []
     if "@" in text:
-        found += [("email", *m.span()) for m in EMAIL.finditer(text)]
-    found += [("ip", *m.span()) for m in IP.finditer(text) if _ip(m[0])]
-    found += [("card", *m.span()) for m in CARD.finditer(text) if _card(m[0])]
+        found += [("email", a, b) for a, b in _emails(text)]
+    found += [("ip", *m.span()) for m in _FOUR.finditer(text) if _ip(m[0])]
+    found += [("card", *m.span()) for m in _CHAIN.finditer(text) if _card(m[0])]
     if "+" in text:
         found += [("phone", *m.span()) for m in PHONE.finditer(text)
                   if 9 <= len(_digits(m[0])) <= 15]
@@ -103,6 +128,10 @@ EDGE = SHAPES
 # marks lean to outside beforehand: by these scores as the token itself, the one
 # before and the one after.
 PRIOR = (4.0, 2.5, 2.5)
+# Label rows decoded together have at most so many cells; longer stretches are decoded
+# in blocks of their own.
+CELLS = 400_000
+LONG = 2_000
 _COMMON = ",;:!?|#$%&*<>{}[]\"'~^`"
 _CUE_KEYS = None
 
@@ -202,13 +231,73 @@ class Field:
         scores = self.scores(shape[open_], before[open_], after[open_])
         # A text's end counts as a cut, too: outside goes before and after it.
         order = np.argsort(size, kind="stable")
-        for some in np.array_split(order, max(1, len(order) // 4096)):
+        many = int(np.searchsorted(size[order], LONG, "right"))
+        for lo, hi in _groups(size[order[:many]], CELLS):
+            some = order[lo:hi]
             labels_of = _viterbi(scores, first[some], size[some], self.pairs)
-            for k, own in zip(some.tolist(), labels_of):
-                labels[open_[first[k]:first[k] + size[k]]] = own[:size[k]]
+            inside = np.arange(labels_of.shape[1]) < size[some][:, None]
+            labels[open_[(first[some][:, None] + np.arange(labels_of.shape[1]))[inside]]] = labels_of[inside]
+        for k in order[many:].tolist():
+            own = slice(first[k], first[k] + size[k])
+            labels[open_[own]] = _viterbi_long(scores[own], self.pairs)
         return labels
 
 
+def _groups(size: np.ndarray, cells: int) -> Iterator[tuple[int, int]]:
+    """Ranges of ascending sizes whose number times the largest is at most ``cells``."""
+    at = 0
+    while at < len(size):
+        most = (np.arange(1, len(size) - at + 1)) * size[at:]
+        to = at + max(1, int(np.searchsorted(most, cells, "right")))
+        yield at, to
+        at = to
+
+
+def _viterbi_long(scores: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The best labels of one long stretch.
+
+    It is cut into blocks of about the square root of its length.  All blocks are
+    decoded at once for every label that may stand before them, then the best of
+    these is chosen from block to block.
+    """
+    length, n = scores.shape
+    size = int(np.ceil(np.sqrt(length)))
+    blocks = -(-length // size)
+    # The last block is filled with tokens that are outside for sure and cost nothing.
+    spare = np.full((blocks * size - length, n), -np.inf)
+    spare[:, 0] = 0
+    scores = np.concatenate((scores, spare)).reshape(blocks, size, n)
+    # After the last token comes outside, as after any stretch; then nothing more counts.
+    real = length - (blocks - 1) * size
+    end, rest = np.full((n, n), -np.inf), np.full((n, n), -np.inf)
+    end[:, 0], rest[0, 0] = pairs[:, 0], 0
+    best = pairs[None] + scores[:, 0][:, None, :]           # block, label before, label
+    back = np.zeros((size, blocks, n, n), np.int8)
+    for t in range(1, size):
+        ways = best[:, :, :, None] + pairs
+        if t >= real:
+            ways[-1] = best[-1][:, :, None] + (end if t == real else rest)
+        back[t] = ways.argmax(2)
+        best = ways.max(2) + scores[:, t][:, None, :]
+    now, came = np.full(n, -np.inf), np.zeros((blocks, n), np.int8)
+    now[0] = 0
+    for k in range(blocks):
+        ways = now[:, None] + best[k]
+        came[k], now = ways.argmax(0), ways.max(0)
+    last = np.zeros(blocks, np.int8)
+    before = np.zeros(blocks, np.int8)
+    label = int((now if len(spare) else now + pairs[:, 0]).argmax())
+    for k in range(blocks - 1, -1, -1):
+        last[k], before[k] = label, came[k, label]
+        label = int(before[k])
+    out, at = np.zeros((blocks, size), np.int8), np.arange(blocks)
+    label = last
+    for t in range(size - 1, -1, -1):
+        out[:, t] = label
+        label = back[t, at, before, label]
+    return out.reshape(-1)[:length]
+
+
 def _viterbi(scores, first, size, pairs):
     """Best label rows of stretches that lie between outside tokens."""
     longest = int(size.max())
@@ -231,7 +320,7 @@ def _viterbi(scores, first, size, pairs):
 
 # -- the labelled table --------------------------------------------------------
 
-# Each slot of a line is filled with values of its kind; all other text is outside.
+# Each slot of a line is filled with made-up values of its kind; all other text is outside.
 _LINES = (
     "Write to {email} or call {phone} today.", "Mail: {email}", "Email {email}, thanks.",
     "You can reach me at {email} after nine.", "phone {phone}", "Tel. {phone}, ask for Ana.",
@@ -239,44 +328,71 @@ _LINES = (
     "The host {ip} is down.", "ip {ip} was seen at the gate", "ping {ip}, then {ip}",
     "card {card} exp 04/27", "Paid with {card} on Monday.", "Card: {card}.",
     'token = "{secret}"', "key: {secret}", "secret={secret}", 'password = "{secret}" here',
-    'le token = "{secret}" enonch', "und {phone} sch {ip} die", "da {card} nen {email} ol.",
-    "that*** {phone}%%% and$$$ {email}&&& of###", 'of&&& token = "{secret}"### {card}$$$ de,&&&',
+    'va token = "{secret}" mirro', "und {phone} rul {ip} die", "da {card} ost {email} il.",
+    "some*** {phone}%%% or$$$ {email}&&& to###", 'to&&& token = "{secret}"### {card}$$$ la,&&&',
 )
-_VALUES = {
-    "email": ("ana@example.com", "j.doe9@mail.example.org", "bo@x.net", "info54@mail3.example.com",
-              "ana at example dot com", "max dot lee at mail dot org", "k_lo@host.example.net"),
-    "ip": ("10.0.0.1", "152.143.123.131", "8.8.4.4", "192.168.17.200"),
-    "card": ("4111 1111 1111 1111", "5500000000000004", "4785380592391139", "4012-8888-8888-1881"),
-    "phone": ("+1 (499) 555-6503", "(706) 555-3138", "555-013-4477", "030 555 1234", "+44 20 7946 0958",
-              "0171 5550199", "+1 706 555 0100", "499-555-6503"),
-    "secret": ("24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "f33e61083db5dbdf4bd2369d2f80176e57f7fda2",
-               "AKx81hdPq29fLmZ07bTy", "sk9f8e7d6c5b4a3f2e1d0c9b8a7f6e5d",
-               "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e"),
-}
+
+
+def _made_up(kind: str, rng: np.random.Generator) -> str:
+    """A value of a kind, drawn at random."""
+    def some(letters: str, n: int) -> str:
+        return "".join(letters[i] for i in rng.integers(0, len(letters), n))
+
+    def word(n: int) -> str:
+        return some("abcdefghijklmnopqrstuvwxyz", n)
+
+    digits, form = "0123456789", int(rng.integers(0, 6))
+    if kind == "email":
+        name, host = word(4) + ("", ".", "_", "")[form % 4] + word(3), word(6)
+        if form == 4:
+            return f"{name} at {host} dot com"
+        if form == 5:
+            return f"{word(3)} dot {word(4)} at {host} dot org"
+        return f"{name}{some(digits, form % 3)}@{host}.{('com', 'net', 'example.org')[form % 3]}"
+    if kind == "ip":
+        return ".".join(str(v) for v in rng.integers(0, 256, 4))
+    if kind == "card":
+        body = some("3456", 1) + some(digits, 14)
+        body += next(d for d in digits if luhn(body + d))
+        return body if form < 3 else (" " if form < 5 else "-").join(body[k:k + 4] for k in range(0, 16, 4))
+    if kind == "phone":
+        a, b, c = (some("23456789", 1) + some(digits, n) for n in (2, 2, 3))
+        return (f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"0{a[:2]} {b} {c}",
+                f"+{a[:2]} {b[:2]} {c} {some(digits, 4)}", f"0{a} {some(digits, 7)}")[form]
+    size = (40, 40, 32, 24, 20, 40)[form]
+    if form in (3, 4):
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        return some("AKx", 2) + some(digits, 1) + some(letters, size - 3)
+    return some(digits, 1) + some("0123456789abcdef", size - 2) + some("abcdef", 1)
+
+
 _OUTSIDE = (
-    "And the rain was over at the end of the day.", "Erinst resh. Thon of it, and the.",
-    "THERHAOU!! OUSHED!! ANDENANOU!! HASHWH!!", "eratou | inesea | ononedth | edshhe",
-    "Thnd*** iner*** ther*** ththsh$$$ ountin$$$ a,%%% shble###", "In 2024 there were 17 of 350 left.",
+    "And the rain was over at the end of the day.", "Morvik alun. Tarb of it, and so.",
+    "GORMUNDA!! PLIVEK!! TARSOLIM!! VOKRA!!", "golmit | parvos | dunnelik | vorka",
+    "Galm*** orvik*** plun*** tarvost$$$ minder$$$ a,%%% kolva###", "In 2024 there were 17 of 350 left.",
     "Chapter 3, page 112: version 4.0 and 2.1.", "It cost 1,250 or 99.95 that day (see 4).",
-    "Le ouè eauenaux. Elle un la, où été ça.", "Licensed under the Apache License, Version 2.0.",
+    "Le mirè poulavaux. Elle un soir, où été ça.", "Licensed under the Apache License, Version 2.0.",
     "Released under CC BY-NC 4.0 in 1999-2003.", "On 2024-03-05 at 12:30:45 the call came.",
     "a key to the door, a token of thanks, the secret of it", "My card and my phone at home.",
     "item 10023 of 20480; 5 x 12 = 60", "Call me at noon. Mail the card to the net.",
-    "1. one 2. two 3. three", "<div class=\"a1\"> & {x: 10}", "Unter der ß üöä ge keit.",
-    "x = y + 1; z -= 2 * (w / 3)", "Éçeau aianre leèvi aich aux aèreau.",
+    "1. one 2. two 3. three", "<div class=\"a1\"> & {x: 10}", "Unter der Straße müde Bälge.",
+    "x = y + 1; z -= 2 * (w / 3)", "Écluse garçon bruyère aux forêts.",
 )
 
 
-def labelled_table() -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """The training rows: texts with their spans (code points, end exclusive)."""
+def labelled_table(seed: int = 7, turns: int = 10) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """The training rows: texts with their spans (code points, end exclusive).
+
+    Another seed gives other values in the same lines.
+    """
+    rng = np.random.default_rng(seed)
     rows = [(text, []) for text in _OUTSIDE]
-    for turn in range(8):
-        for nth, line in enumerate(_LINES):
+    for _ in range(turns):
+        for line in _LINES:
             text, spans = "", []
             for k, part in enumerate(re.split(r"\{(\w+)\}", line)):
                 if k % 2:
-                    values = _VALUES[part]
-                    value = values[(turn + nth + k) % len(values)]
+                    value = _made_up(part, rng)
                     spans.append((part, len(text), len(text) + len(value)))
                     part = value
                 text += part
@@ -404,26 +520,42 @@ def find_spans(column: pa.Array, field: Field) -> list[list[dict]]:
         if marked.size:
             cut = np.flatnonzero((np.diff(marked) > 1) | (labels[marked[1:]] != labels[marked[:-1]])
                                  | (text[marked[1:]] != text[marked[:-1]])) + 1
-            for run in np.split(marked, cut):
-                k = int(text[run[0]])
-                runs.setdefault(k, []).append(
-                    (LABELS[labels[run[0]]], int(start[run[0]] - begins[k]), int(end[run[-1]] - begins[k])))
+            one = marked[np.concatenate(([0], cut))]
+            last = marked[np.append(cut, len(marked)) - 1]
+            of = text[one]
+            for k, kind, a, b in zip(of.tolist(), labels[one].tolist(), (start[one] - begins[of]).tolist(),
+                                     (end[last] - begins[of]).tolist()):
+                runs.setdefault(k, []).append((LABELS[kind], a, b))
         digit = np.concatenate(([0], np.cumsum(_DIGIT[data])))
         cue = (digit[begins[1:]] > digit[begins[:-1]])
         for k, t in enumerate(raw):
-            found = []
-            if cue[k] or b"@" in t:
-                found = base_spans(t.decode())
+            found, added = [], runs.get(k, ())
+            if cue[k] or b"@" in t or added:
+                whole = t.decode()
+                found = base_spans(whole)
             spans = [{"kind": n, "start": a, "stop": b, "source": "base"} for n, a, b in found]
-            for name, a, b in runs.get(k, ()):
-                a, b = len(t[:a].decode()), len(t[:b].decode())
-                if all(b <= c or d <= a for _, c, d in found) and _plausible(name, t.decode()[a:b]):
-                    spans.append({"kind": name, "start": a, "stop": b, "source": "field"})
+            if added:
+                spans += _free(added, found, t, whole)
             spans.sort(key=lambda s: (KINDS.index(s["kind"]), s["start"]))
             out.append(spans)
     return out
 
 
+def _free(runs: list[tuple[str, int, int]], found: list[tuple[str, int, int]], raw: bytes,
+          text: str) -> list[dict]:
+    """Spans of the field (in bytes) that overlap no base span and are plausible."""
+    edges = np.array([(a, b) for _, a, b in runs], np.int64)
+    if len(raw) != len(text):
+        points = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+        edges = points[edges]
+    base = np.array(sorted((a, b) for _, a, b in found), np.int64).reshape(-1, 2)
+    # The furthest end among the base spans that start before a span's end.
+    reach = np.concatenate(([0], np.maximum.accumulate(base[:, 1])))
+    clear = reach[np.searchsorted(base[:, 0], edges[:, 1])] <= edges[:, 0]
+    return [{"kind": runs[k][0], "start": a, "stop": b, "source": "field"}
+            for k, (a, b) in enumerate(edges.tolist()) if clear[k] and _plausible(runs[k][0], text[a:b])]
+
+
 _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()),
                             ("source", pa.string())]))
 
