@@ -1,12 +1,16 @@
 """Approximate nearest neighbours with a permutation index.
 
-Every vector is represented by the order of its nearest pivots.  In each shard
-of the index a pivot has an inverted file: the vectors that list it, with the
-place they list it at.  A query reads the files of its own nearest pivots and adds
-up the footrule distance, sum over these pivots of ``|place in the query - place in the
-vector|`` (a pivot a vector does not list counts as listed last).  The nearest
-``depth`` share of a shard by footrule is reranked by the exact inner product in
-double precision.
+Every vector is represented by the order of its nearest pivots, half of all pivots.
+In each shard of the index a pivot has an inverted file: the vectors that list it,
+with the place they list it at.  A query reads the files of its own nearest pivots
+and adds up the footrule distance, sum over these pivots of ``|place in the query -
+place in the vector|`` (a pivot a vector does not list counts as listed last).  The
+nearest ``depth`` share of a shard by footrule, at least ``SPARE`` times ``k``, is
+reranked by the exact inner product in double precision.
+
+The largest inner product is not the smallest distance where lengths differ.  So
+vectors and pivots get one more component that makes all of them as long as the
+longest, and queries a zero there: then the two agree.
 
 Equal vectors are indexed once, with the smallest ``k + 1`` ids of each; ties go
 to smaller ids, so no other id of them can be among the ``k`` nearest.  Queries
@@ -16,8 +20,8 @@ The pivots are the distinct vectors with the smallest hash of their smallest id:
 a sample of ``pivots`` rows, whatever the size of the table.  All rows are indexed.
 
 Edge cases: vectors that are null or zero, hold a null or non-finite component
-or have another length than the one with the smallest hash of its id take no
-part, nor do rows whose id is null.  Rows that repeat an id with equal vectors count once; with other
+or have another number of components than most rows have (the larger number, if two
+are as frequent) take no part, nor do rows whose id is null.  Rows that repeat an id with equal vectors count once; with other
 vectors each counts.  An empty table gives an empty result; with fewer than
 ``k`` candidates all are returned.  Other columns are not read.
 """
@@ -33,12 +37,12 @@ from .frames import settle, work_folder
 
 PIVOTS = 256
 # Pivots in a vector's order, and those of a query whose files are read.
-LISTED = 256
+LISTED = 128
 READ = 64
 K = 20
-# Share of a shard's vectors that is reranked, and at least so many of them.
-DEPTH = 0.1
-LEAST_DEPTH = 1024
+# Share of a shard's vectors that is reranked, and how many for each one asked for.
+DEPTH = 0.15
+SPARE = 8
 SHARD_ROWS = 8_192
 QUERY_ROWS = 8_192
 # Ids that one task lists for equal vectors.
@@ -63,8 +67,14 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
+def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """The vectors with one more component that makes them ``longest`` long."""
+    more = longest ** 2 - np.square(vectors).sum(axis=1)
+    return np.hstack((vectors, np.sqrt(np.maximum(more, 0))[:, None]))
+
+
 def _orders(vectors: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray:
-    """Of each vector its nearest pivots, nearest first."""
+    """Of each vector its nearest pivots, nearest first.  Both are lifted."""
     near = np.empty((len(vectors), listed), np.int64)
     for at in range(0, len(vectors), 2048):
         products = vectors[at:at + 2048] @ pivots.T
@@ -77,11 +87,11 @@ def _smallest(n: int) -> str:
     return "<u1" if n <= 1 << 8 else "<u2" if n <= 1 << 16 else "<u4"
 
 
-def _shard(table: pa.Table, pivots: np.ndarray, listed: int) -> pa.Table:
+def _shard(table: pa.Table, pivots: np.ndarray, longest: float, listed: int) -> pa.Table:
     """The index of one shard as a row: vectors, ids and the inverted files."""
     table = table.sort_by("least")
     vectors = _matrix(table["vector"])
-    near = _orders(vectors, pivots, listed)
+    near = _orders(lifted(vectors, longest), pivots, listed)
     member = np.repeat(np.arange(len(vectors)), listed)
     place = np.tile(np.arange(listed), len(vectors))
     pivot = near.reshape(-1)
@@ -98,7 +108,7 @@ def _shard(table: pa.Table, pivots: np.ndarray, listed: int) -> pa.Table:
 
 
 def _search(queries: pa.Table, index: pa.Table, pivots: np.ndarray, listed: int, read: int,
-            k: int, depth: float, least_depth: int) -> pa.Table:
+            k: int, depth: float) -> pa.Table:
     """The nearest ``k`` ids of one shard for each query of a block."""
     out = ([np.empty(0, np.int64)], [np.empty(0)], [np.empty(0, np.int64)])
     if len(queries) and len(index):
@@ -110,18 +120,18 @@ def _search(queries: pa.Table, index: pa.Table, pivots: np.ndarray, listed: int,
         files = np.frombuffer(one["files"], "<i8")
         first = np.cumsum(counts) - counts
         asked = _matrix(queries["vector"])
-        near = _orders(asked, pivots, listed)
-        take = min(len(counts), max(least_depth, int(np.ceil(depth * len(counts)))))
+        near = _orders(np.hstack((asked, np.zeros((len(asked), 1)))), pivots, read)
+        take = min(len(counts), max(SPARE * k, int(np.ceil(depth * len(counts)))))
+        # The place at which each vector lists each pivot that a query reads.
+        used, row = np.unique(near, return_inverse=True)
+        row = row.reshape(near.shape)
+        listing = np.full((len(used), len(counts)), listed, np.int16)
+        for nth, pivot in enumerate(used.tolist()):
+            lo, hi = files[pivot], files[pivot + 1]
+            listing[nth, members[lo:hi]] = places[lo:hi]
+        at = np.arange(read, dtype=np.int16)[:, None]
         for q, name in enumerate(queries["query"].to_pylist()):
-            # At first as if no vector listed any of the pivots.
-            footrule = np.full(len(counts), sum(listed - j for j in range(read)), np.int32)
-            for j, pivot in enumerate(near[q, :read].tolist()):
-                lo, hi = files[pivot], files[pivot + 1]
-                change = np.abs(places[lo:hi] - j) - (listed - j)
-                if hi - lo == len(counts):
-                    footrule += change
-                else:
-                    footrule[members[lo:hi]] += change
+            footrule = np.abs(listing[row[q]] - at).sum(axis=0, dtype=np.int32)
             if take < len(counts):
                 bound = np.partition(footrule, take - 1)[take - 1]
                 some = np.flatnonzero(footrule <= bound)
@@ -156,7 +166,6 @@ def distinct_vectors(rows: DataFrame, keep: int, salts: int) -> DataFrame:
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id",
            vector_col: str = "embedding", k: int = K, pivots: int = PIVOTS,
            listed: int = LISTED, read: int = READ, depth: float = DEPTH,
-           least_depth: int = LEAST_DEPTH,
            shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` nearest rows found for each row
     with ``is_query``, without the row itself.  Ids are whole numbers.  Runs jobs.
@@ -165,19 +174,23 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id",
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector"),
         F.coalesce(is_query, F.lit(False)).alias("asks"))
-    width = rows.agg(F.min_by(F.size("vector"), F.struct(F.xxhash64("id"), "id"))).first()[0] or 0
+    widths = rows.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n"))
+    width = widths.agg(F.max(F.struct("n", "width"))["width"]).first()[0] or 0
     rows = rows.where(F.size("vector") == width)
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    longest = float(np.sqrt(rows.agg(F.max(square)).first()[0] or 0.0))
 
     n = rows.count()
     classes = settle(distinct_vectors(rows, k + 1, 1 + n // SALT_ROWS)
                      .withColumn("least", F.col("ids")[0]), folder)
     sample = classes.orderBy(F.xxhash64("least"), "least", "vector").select("vector").limit(pivots)
     sample = np.array([r["vector"] for r in sample.collect()], np.float64).reshape(-1, max(width, 1))
+    sample = lifted(sample, longest)
     listed = min(listed, len(sample))
     read = min(read, listed)
     shards = max(1, -(-classes.count() // shard_rows))
     index = (classes.withColumn("shard", F.pmod(F.xxhash64("least"), F.lit(shards)))
-             .groupBy("shard").applyInArrow(lambda t: _shard(t, sample, listed), _INDEX))
+             .groupBy("shard").applyInArrow(lambda t: _shard(t, sample, longest, listed), _INDEX))
     index = settle(index, folder)
 
     asked = settle(rows.where("asks").select("id", "vector").join(
@@ -193,7 +206,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id",
     right = index.select(
         "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(
-        lambda q, i: _search(q, i, sample, listed, read, k + 1, depth, least_depth), _FOUND)
+        lambda q, i: _search(q, i, sample, listed, read, k + 1, depth), _FOUND)
     # At most k + 1 rows of each shard come together for a query.
     best = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(
         F.struct((-F.col("score")).alias("s"), "id"))), 1, k + 1).alias("best"))
