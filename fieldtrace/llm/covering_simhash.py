@@ -162,17 +162,23 @@ def linked(prints: DataFrame, radius: int = RADIUS, folder: str | None = None) -
     return components(stars.union(more), folder)
 
 
+def _labelled(marked: DataFrame, radius: int, folder: str) -> DataFrame:
+    """``(fp, least, label)`` of the fingerprints in ``(id, fp)``: the smallest id with each,
+    and the component."""
+    # Partly aggregated before the shuffle.
+    prints = settle(marked.groupBy("fp").agg(F.min("id").alias("least")), folder)
+    groups = linked(prints.select("fp"), radius, folder)
+    return prints.join(groups, prints.fp == groups.node, "left").select(
+        prints.fp, "least", F.coalesce("label", prints.fp).alias("label"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``(id, fp, component_id)`` for each row of ``docs``."""
     folder = work_folder(docs.sparkSession)
     marked = settle(docs.select(F.col(id_col).alias("id"),
                                 fingerprint(F.col(text_col), shingle).alias("fp")), folder)
-    # The smallest id of each fingerprint; partly aggregated before the shuffle.
-    prints = settle(marked.groupBy("fp").agg(F.min("id").alias("least")), folder)
-    groups = linked(prints.select("fp"), radius, folder)
-    named = prints.join(groups, prints.fp == groups.node, "left").select(
-        prints.fp, "least", F.coalesce("label", prints.fp).alias("label"))
+    named = _labelled(marked, radius, folder)
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = settle(named.select("fp", "label").join(smallest, "label")
                    .select("fp", "component_id"), folder)
@@ -181,20 +187,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row
-    with the smallest id, all columns unchanged.
+    """The rows of ``docs`` without near-duplicates: of each component one row, all
+    columns unchanged.
 
-    Of rows with the same id and fingerprint one stays.  A component whose ids
-    are all null keeps one row per fingerprint.
+    It is the row with the smallest id (null ids last), among those with this id the
+    one with the smallest fingerprint, and any one of those that agree in both.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(
-        F.col("id").alias("__id"), F.col("fp").alias("__fp")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
-                       F.col(id_col).alias("__key"),
-                       fingerprint(F.col(text_col), shingle).alias("__print"))
-    rows = rows.join(stay, F.col("__key").eqNullSafe(F.col("__id"))
-                     & (F.col("__print") == F.col("__fp")), "left_semi")
-    once = Window.partitionBy("__key", "__print").orderBy("__key")
-    return (rows.withColumn("__nth", F.row_number().over(once)).where("__nth = 1")
-            .select("__row.*"))
+    folder = work_folder(docs.sparkSession)
+    rows = settle(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                              F.col(id_col).alias("id"),
+                              fingerprint(F.col(text_col), shingle).alias("fp")), folder)
+    first = F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("first")
+    stay = (_labelled(rows.select("id", "fp"), radius, folder).groupBy("label").agg(first)
+            .select(F.col("first.least").alias("first_id"), F.col("first.fp").alias("first_fp")))
+    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("first_id"))
+                     & (F.col("fp") == F.col("first_fp")), "left_semi")
+    once = Window.partitionBy("id", "fp").orderBy("fp")
+    return kept.withColumn("nth", F.row_number().over(once)).where("nth = 1").select("row.*")

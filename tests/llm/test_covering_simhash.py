@@ -65,6 +65,23 @@ def test_components(spark, sample_texts):
         {c for _, _, c in want}, key=repr)
 
 
+def test_one_row_of_each_component_stays(spark):
+    """One id with two near texts, and components without ids."""
+    words = [f"w{k}" for k in range(400)]
+    near = [" ".join(words[:k] + ["other"] + words[k + 1:]) for k in (5, 100, 200, 300)]
+    far = [" ".join(f"v{k}{c}" for k in range(300)) for c in "ab"]
+    rows = [(7, near[0]), (7, near[1]), (7, near[1]), (9, near[2]), (None, near[3])]
+    rows += [(None, far[0])] * 3 + [(None, far[1]), (12, far[1]), (12, "alone here and now at last")]
+    prints = {t: fingerprint(t) for _, t in rows}
+    label = classes(sorted(prints.values()), 4)
+    groups = {label.get(p, p) for p in prints.values()}
+    assert len(groups) == 4 and len(set(prints.values())) >= 6
+    kept = [(r.doc_id, r.text) for r in op.keep_first(text_frame(spark, rows)).collect()]
+    assert len(kept) == 4
+    assert sorted((d for d, _ in kept), key=repr) == [12, 12, 7, None]
+    assert {label.get(prints[t], prints[t]) for _, t in kept} == groups
+
+
 def test_dense_groups_lose_no_link(spark):
     rng = random.Random(1)
     prints = set()
