@@ -252,10 +252,20 @@ def _mixing_sql() -> str:
   FROM c{n} c JOIN (SELECT {margin}, sum(tokens * weight) AS have FROM c{n} GROUP BY {margin}) h
     ON h.{margin} = c.{margin} LEFT JOIN t_{margin} t ON t.{margin} = c.{margin})""")
             n += 1
-    return f"""WITH {', '.join(steps)}, p AS (
-  SELECT source, lang, topic,
-         coalesce(least(weight / (SELECT max(weight) FROM c{n} WHERE tokens > 0), 1), 1) AS p
-  FROM c{n})
+    # The weight from which on a cell is kept whole.  The kept tokens are the least of all
+    # sums in which the heaviest cells count whole and the others by weight over scale, so
+    # each such sum must reach the least share.
+    return f"""WITH {', '.join(steps)}, z AS (
+  SELECT {source_mixing.LEAST_KEPT} * sum(tokens) FILTER (WHERE weight > 0) AS least, max(weight) AS most
+  FROM c{n} WHERE tokens > 0),
+j AS (
+  SELECT coalesce(sum(tokens) OVER (h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_,
+         sum(tokens * weight) OVER (h ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS part
+  FROM c{n} WHERE tokens > 0 AND weight > 0 WINDOW h AS (ORDER BY weight DESC, source, lang, topic)),
+k AS (
+  SELECT least(most, (SELECT min(part / (least - full_)) FROM j, z WHERE least > full_)) AS scale FROM z),
+p AS (
+  SELECT source, lang, topic, coalesce(least(weight / (SELECT scale FROM k), 1), 1) AS p FROM c{n})
 SELECT doc_id, source, lang, topic, tokens, round(p, 9) AS probability, u < p AS kept
 FROM d JOIN p USING (source, lang, topic)"""
 

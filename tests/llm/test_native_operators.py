@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fieldtrace.llm import chat_perspectives, license_diagonals, source_mixing
 from fieldtrace.llm.queries import ORACLES, QUERIES
 
+from ..conftest import SMALL
 from .conftest import EDGES, letter_words, text_frame, with_clashes
 
 
@@ -171,6 +172,22 @@ def test_sample(spark):
     assert sorted(map(repr, source_mixing.sample(docs).collect())) == sorted(map(repr, kept.collect()))
 
 
+@pytest.mark.parametrize("stray", [0, 1, 3])
+def test_mixing_sql_with_stray_documents(spark, tmp_path, stray):
+    """The statement has the rule for scarce cells, too."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "source", "lang")
+    more = [(10 ** 9, "a stray note", "rare", "xx"), (10 ** 9 + 1, "two words", None, "en"),
+            (10 ** 9 + 2, "7 8 9", "odd", "")][:stray]
+    docs = docs.unionByName(docs.limit(20)).unionByName(
+        spark.createDataFrame(more, docs.schema) if more else docs.limit(0))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(map(repr, con.sql(ORACLES["op9_source_mixing"]).fetchall()))
+    got = sorted(repr(tuple(r)) for r in QUERIES["op9_source_mixing"](spark, str(tmp_path)).collect())
+    assert got == want
+
+
 def test_stray_document_leaves_the_rest(spark):
     """One short document with a source and language of its own does not set the scale."""
     docs = corpus(spark).where("doc_id < 600").withColumn("text", F.repeat("text", F.lit(300)))
