@@ -75,7 +75,8 @@ def event_table(log: DataFrame, dictionary: DataFrame, *,
     ``long`` lists sessions that need block-wise work (see ``per_session``).
     The struct ``row_order`` sorts rows inside a session; :func:`report` gives
     the final headings.  Further columns of ``log`` are kept, whatever their names,
-    unless they are columns of the result.  Runs a job that measures the dictionary,
+    unless they are columns of the result.  A session that repeats a position stops the
+    job that meets it.  Runs a job that measures the dictionary,
     and one that looks for long sessions unless ``long`` is given.
     """
     unknown = set(repair) - REPAIRS
@@ -160,7 +161,8 @@ def raw_pass(df: DataFrame, timeline: Timeline, fixes: frozenset[str]) -> DataFr
     early = [specs[n] for n in ("oov", "inburr", "ga")]
     looks = {"filled_id": Latest(F.col("kmp_id")),
              "focal_no": Running(matches("behavior", SESSION_START).cast("int")),
-             "previous": Behind(F.col("behavior")), **other_looks(fields)}
+             "previous": Behind(F.col("behavior")), "__before": Behind(F.col("seq")),
+             **other_looks(fields)}
     if "fill_location" in fixes:
         looks["filled_place"] = Latest(F.col("location"))
     flags: dict[str, Column] = {}
@@ -174,7 +176,7 @@ def raw_pass(df: DataFrame, timeline: Timeline, fixes: frozenset[str]) -> DataFr
     out = {"kmp_id": F.col("filled_id"),
            "focal_id": compose_id([F.month("date"), "focal_no", "filled_id"]),
            "__flagged": F.coalesce(*[p["check"] for p in patches.values()]),
-           "__gone": any_removed(patches)}
+           "__gone": stop_at_repeats(any_removed(patches))}
     if "fill_location" in fixes:
         out["location"] = F.col("filled_place")
     for field in MERGED:
@@ -185,6 +187,17 @@ def raw_pass(df: DataFrame, timeline: Timeline, fixes: frozenset[str]) -> DataFr
     return df.select(*kept, *timeline.extra(df, kept), *[v.alias(c) for c, v in out.items()])
 
 
+def stop_at_repeats(value: Column) -> Column:
+    """The value, or the end of the job where the row before has the same position.
+
+    Read off the look-ups' own window.  It rests on a column that decides which rows
+    stay, not on ``seq``, so that the order of the rows is still known.
+    """
+    stop = F.raise_error(F.concat(F.lit("session '"), F.col("session_id").cast("string"),
+                                  F.lit("' repeats seq "), F.col("seq").cast("string")))
+    return F.when(F.col("__before") == F.col("seq"), stop.cast("boolean")).otherwise(value)
+
+
 def any_removed(patches: dict[str, dict[str, Column]]) -> Column:
     return reduce(or_, [p["removed"].isNotNull() for p in patches.values()])
 

@@ -128,7 +128,10 @@ def read_sessions(spark: SparkSession, path: str, *, fmt: str = "parquet",
 
 
 def check_positions(log: DataFrame) -> None:
-    """Raise if a session repeats a position.  Runs one job over two columns."""
+    """Raise if a session repeats a position.  Runs one job over two columns.
+
+    For logs that are used by themselves; the event table checks in its own pass.
+    """
     twice = log.groupBy("session_id", "seq").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
     if twice:
         raise ValueError(f"session {twice[0]['session_id']!r} repeats seq {twice[0]['seq']}")

@@ -267,6 +267,20 @@ def test_null_positions_and_sessions_stop_the_job(spark, tmp_path):
         op.long_sessions(spark.createDataFrame([(None,)], "session_id string"), ["session_id"])
 
 
+@pytest.mark.parametrize("block_rows", [None, 2])
+def test_repeated_positions_stop_the_event_table(spark, block_rows):
+    """Found in the pass itself: in one window, and across the borders of blocks."""
+    lines = [(k, "Dig") for k in range(9)]
+    log = log_of(spark, {"s1": lines, "s2": lines[:3]})
+    words = spark.createDataFrame([], "behavior string, replacement string, dict_seq bigint")
+    how = {"long": None} if block_rows is None else {"block_rows": block_rows}
+    assert event_table(log, words, **how).count() == 12
+    twice = log.withColumn("seq", F.when((F.col("session_id") == "s1") & (F.col("seq") == 7), 6)
+                           .otherwise(F.col("seq")))
+    with pytest.raises(Exception, match="'s1' repeats seq 6"):
+        event_table(twice, words, **how).collect()
+
+
 def test_text_log_is_bound_by_header(spark, tmp_path):
     log = log_of(spark, SESSIONS)
     swapped = log.select("seq", "session_id", *[c for c in log.columns[2:][::-1]])
