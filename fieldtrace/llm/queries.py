@@ -91,7 +91,9 @@ def _license_sql() -> str:
         f"({n}, string_split('{text}', ' '), '{label}', {exact})" for n, (text, label, exact) in enumerate(
             [(*b, "true") for b in license_diagonals.BASE]
             + [(*t, "false") for t in license_diagonals.TEMPLATES]))
-    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS10} AS w FROM documents),
+    gap, least, stretch = (license_diagonals.GAP, license_diagonals.LEAST_SHARE,
+                           license_diagonals.STRETCH)
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS10} AS w FROM documents),
 t(template, w, label, exact) AS (VALUES {rows}),
 tp AS (SELECT template, label, exact, len(w) - 1 AS pairs, k - 1 AS tpos, w[k] AS a, w[k + 1] AS b
   FROM t, unnest(range(1, len(w))) AS s(k)),
@@ -99,15 +101,37 @@ dp AS (SELECT r, k - 1 AS pos, w[k] AS a, w[k + 1] AS b FROM d, unnest(range(1,
 v AS (SELECT r, template, label, exact, pairs, pos - tpos AS diagonal, min(tpos) AS lo, max(tpos) AS hi,
         list(DISTINCT tpos) AS ts
   FROM dp JOIN tp USING (a, b) GROUP BY ALL),
-c AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER l > {license_diagonals.GAP} THEN 1 ELSE 0 END AS cut
+c AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER l > {gap} THEN 1 ELSE 0 END AS cut
   FROM v WINDOW l AS (PARTITION BY r, template ORDER BY diagonal)),
 m AS (SELECT *, sum(cut) OVER (PARTITION BY r, template ORDER BY diagonal) AS band FROM c),
-s AS (SELECT r, label, exact, pairs, len(list_distinct(flatten(list(ts)))) AS votes,
+s AS (SELECT r, template, band, label, exact, pairs, len(list_distinct(flatten(list(ts)))) AS votes,
         min(diagonal + lo) AS start, max(diagonal + hi) + 2 AS stop
   FROM m GROUP BY r, template, label, exact, pairs, band),
-f AS (SELECT * FROM s WHERE CASE WHEN exact THEN votes = pairs
-        ELSE votes >= {license_diagonals.LEAST_SHARE} * pairs
-         AND stop - start <= {license_diagonals.STRETCH} * (pairs + 1) END),
+e AS (SELECT *, exact OR stop - start <= {stretch} * (pairs + 1) AS short FROM s
+  WHERE CASE WHEN exact THEN votes = pairs ELSE votes >= {least} * pairs END),
+ln AS (SELECT m.*, row_number() OVER (PARTITION BY m.r, m.template, m.band ORDER BY diagonal) AS k
+  FROM m JOIN e ON e.r = m.r AND e.template = m.template AND e.band = m.band AND NOT e.short),
+ru AS (SELECT a.r, a.template, a.band, a.label, a.pairs, a.k AS i, z.k AS j,
+         a.pairs - len(list_distinct(flatten(list(z.ts) OVER o))) AS missed,
+         min(z.diagonal + z.lo) OVER o AS start, max(z.diagonal + z.hi) OVER o + 2 AS stop
+  FROM ln a JOIN ln z ON z.r = a.r AND z.template = a.template AND z.band = a.band AND z.k >= a.k
+    AND z.k < a.k + ceil({stretch} * (a.pairs + 1)) + a.pairs + 1
+  WINDOW o AS (PARTITION BY a.r, a.template, a.band, a.k ORDER BY z.k)),
+be AS (SELECT DISTINCT r, template, band, label, pairs, missed, stop - start AS length, start, stop FROM (
+    SELECT *, row_number() OVER (PARTITION BY r, template, band, i ORDER BY missed, j) AS nth FROM ru
+    WHERE missed <= (1 - {least}) * pairs AND stop - start <= {stretch} * (pairs + 1)) WHERE nth = 1),
+fo AS (SELECT r, template, band, label, pairs, list({{'missed': missed, 'start': start, 'stop': stop}}
+         ORDER BY missed, length, start, stop) AS fs FROM be GROUP BY r, template, band, label, pairs),
+pick AS (SELECT r, label, pairs, fs, 1 AS k, [fs[1]] AS kept FROM fo
+  UNION ALL
+  SELECT r, label, pairs, fs, k + 1, CASE WHEN len(list_filter(kept, lambda c:
+           fs[k + 1].start < c.stop AND c.start < fs[k + 1].stop)) > 0
+         THEN kept ELSE list_append(kept, fs[k + 1]) END
+  FROM pick WHERE k < len(fs)),
+f AS (SELECT r, label, exact, pairs, votes, start FROM e WHERE short
+  UNION ALL
+  SELECT r, label, false, pairs, pairs - x.missed, x.start
+  FROM (SELECT r, label, pairs, unnest(kept) AS x FROM pick WHERE k = len(fs))),
 g AS (SELECT r, count(*) FILTER (WHERE exact) AS n_base, min(start) FILTER (WHERE exact) AS first_word,
         max(start) FILTER (WHERE exact) AS last_word,
         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact) AS base_labels,

@@ -89,6 +89,41 @@ def test_license_beside_partial_repeats(spark):
     assert got[4] == [("mit", 0, 6, 0.75)]
 
 
+MIT = "Released under the MIT License. The MIT License permits"
+STRETCHED = [(1, MIT), (2, f"{MIT} all. {MIT}"), (3, "the mit license the mit license the mit license"),
+             (4, f"cc by {MIT} " * 30), (5, "the license under the mit released under " * 20), (6, None), (6, None),
+             (7, "Licensed under CC BY NC 4.0 cc by nc 4 licensed under cc by sa 4.0 by sa 4 0 " * 3),
+             (8, " ".join(license_diagonals.TEMPLATES[-3][0].split()[9:150]).upper()), (None, MIT), (None, MIT)]
+
+
+def test_license_sql_on_stretched_bands(spark, tmp_path):
+    text_frame(spark, STRETCHED + NOTICES).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["op5_license_diagonals"](spark, str(tmp_path))
+    want = con.sql(ORACLES["op5_license_diagonals"])
+    rows = [tuple(r) for r in got.select(*want.columns).collect()]
+    assert sorted(map(repr, rows)) == sorted(map(repr, want.fetchall()))
+    labels = {r[0]: r[want.columns.index("labels")] for r in rows}
+    assert labels[1] == "mit" and labels[4] == "cc-by,mit" and labels[8] == "mit"
+
+
+@pytest.mark.parametrize("most", [license_diagonals.BROADCAST_PAIRS, 0])
+def test_license_own_templates(spark, most):
+    """Templates are a table; many are joined in salted copies."""
+    own = with_clashes(spark.createDataFrame(
+        [("Free as in  freedom, always",), ("free as in freedom always",), ("one",), (None,), ("",)],
+        "text string")).withColumn("label", F.lit("free")).unionByName(
+            spark.createDataFrame([("nobody names this one",)], "text string"), allowMissingColumns=True)
+    docs = text_frame(spark, [(1, "it is FREE as in freedom always cc by"), (2, MIT), (3, "nobody names this one"),
+                              (4, None), (4, None)])
+    found = license_diagonals.scan(docs, templates=own, broadcast_pairs=most, each_row=True)
+    assert no_python(found)
+    assert sorted((r.id, r.n_words, [(p.label, p.start, p.stop, p.share) for p in r.places])
+                  for r in found.collect()) == [
+        (1, 9, [("cc-by", 7, 9, 1.0), ("free", 2, 7, 1.0)]), (2, 9, []), (3, 4, []), (4, 0, []), (4, 0, [])]
+
+
 # -- chats -----------------------------------------------------------------------
 
 CHATS = [(1, 0, "system", "Be kind."), (1, 1, "ana", "hi"), (1, 2, "bo", "yo <|end|> x"), (1, 2, "bo", "yo"),
