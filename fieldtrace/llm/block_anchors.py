@@ -15,7 +15,9 @@ in more than one document.  It then sends each distinct candidate window once,
 with its smallest document, and gets back those that occur in a smaller document
 of another group.  So a passage that a third of all documents share costs one
 entry per group, and nothing is compared pair by pair.  Index parts and groups
-grow in number, not in size, with the corpus.
+grow in number, not in size, with the corpus, and so do the partitions that hold
+them.  Rows are dealt by their place in a written table, so rows that repeat an
+id and a text spread over the groups like any others.
 
 Anchor hashes only propose.  Windows are told apart by 80 bits of hash (of two
 rolling hashes over the words' hashes) beside the bits that choose the part.
@@ -36,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import text_batches, utf8
+from .frames import settle, text_batches, utf8
 from .wordbytes import NOT_BLANK, joined, mix, span_hashes, words_in
 
 WINDOW = 50
@@ -44,6 +46,8 @@ WINDOW = 50
 GROUP_BYTES = 8_000_000
 PART_BYTES = 32_000_000
 LEAST_GROUPS = 32
+# Partitions beyond which several groups, one after the other, share one.
+MOST_PARTITIONS = 20_000
 
 _BASES = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 _KEY = np.uint64((1 << 31) - 1)
@@ -322,8 +326,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``spans`` are the removed word ranges, ``kept`` the other words joined by one
     space.  Words go where a window that covers them also starts in a document
-    with a smaller id.  Ids are whole numbers.  Runs a job that adds up the
-    sizes of the texts.
+    with a smaller id.  Ids are whole numbers.  Runs jobs that add up the sizes of
+    the texts and write them, compressed.
     """
     if window < 2:
         raise ValueError("a window has at least two words")
@@ -338,23 +342,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             texts = [deflate((x or "").encode()) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("group"), batch.column("id"), pa.array(texts, pa.binary())],
-                ["group", "id", "packed"])
+                [batch.column("row"), batch.column("id"), pa.array(texts, pa.binary())],
+                ["row", "id", "packed"])
 
-    dealt = (rows.where("id IS NOT NULL")
-             .withColumn("group", F.pmod(F.xxhash64("id", "text"), F.lit(groups)))
-             .mapInArrow(pack, "group bigint, id bigint, packed binary"))
+    # Written, so that a row keeps its place, and with it its group, in every pass.
+    packed = settle(rows.where("id IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
+                    .mapInArrow(pack, "row bigint, id bigint, packed binary"))
+
+    def by_group(df):
+        return df.repartition(min(groups, MOST_PARTITIONS), "group").groupBy("group")
+
+    def by_part(df):
+        return df.repartition(min(parts, MOST_PARTITIONS), "part").groupBy("part")
+
+    dealt = by_group(packed.select(F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group"),
+                                   "id", "packed"))
 
     def key(table):
         return table["group"][0].as_py()
 
-    probes = dealt.groupBy("group").applyInArrow(
-        lambda t: _probes(key(t), Group(t, window), parts), _ROUTED)
-    hits = probes.groupBy("part").applyInArrow(_answer_probes, _ROUTED)
-    windows = (dealt.groupBy("group").cogroup(hits.groupBy("group")).applyInArrow(
-        lambda t, h: _windows(key(t), Group(t, window), h, parts), _WINDOWS))
-    late = windows.groupBy("part").applyInArrow(_answer_windows, _ROUTED)
-    kept = (dealt.groupBy("group").cogroup(late.groupBy("group"))
-            .applyInArrow(lambda t, h: _kept(Group(t, window), h), KEPT))
+    probes = dealt.applyInArrow(lambda t: _probes(key(t), Group(t, window), parts), _ROUTED)
+    hits = by_part(probes).applyInArrow(_answer_probes, _ROUTED)
+    windows = dealt.cogroup(by_group(hits)).applyInArrow(
+        lambda t, h: _windows(key(t), Group(t, window), h, parts), _WINDOWS)
+    late = by_part(windows).applyInArrow(_answer_windows, _ROUTED)
+    kept = dealt.cogroup(by_group(late)).applyInArrow(
+        lambda t, h: _kept(Group(t, window), h), KEPT)
     nameless = rows.where("id IS NULL").mapInArrow(_whole, KEPT)
     return kept.unionByName(nameless)

@@ -56,6 +56,15 @@ def test_other_windows_and_many_groups(spark, window):
     assert found(got) == brute(rows, window)
 
 
+def test_repeated_rows_spread(spark):
+    """Rows that repeat an id and a text are one document, in whichever groups they lie."""
+    hot, rng = word_salad(11, 60), random.Random(5)
+    rows = [(7, hot)] * 40 + [(k, hot if k % 3 == 0 else word_salad(k, 55)) for k in range(20)] + [(None, hot)] * 5
+    rng.shuffle(rows)
+    got = op.remove_repeats(text_frame(spark, rows).repartition(4), group_bytes=500, part_bytes=900)
+    assert found(got) == brute(rows, op.WINDOW)
+
+
 def test_every_alignment_meets_an_anchor(spark):
     text = word_salad(9, 50)
     rows = [(shift, word_salad(100 + shift, shift) + " " + text + " " + word_salad(200 + shift, 60))
