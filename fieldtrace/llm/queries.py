@@ -305,10 +305,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS10} AS w FROM documents),
-i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS10} AS w FROM benchmark),
-iw AS (
-  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS g
+i AS (SELECT row_number() OVER () AS ir, coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS10} AS w
+  FROM benchmark),
+ip AS (
+  SELECT ir, item_id, k AS j, least(len(w), 10) AS n, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS g
   FROM i, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s(k) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, g FROM ip),
 sizes AS (SELECT DISTINCT n FROM iw),
 dw AS (
   SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS g
@@ -317,11 +319,19 @@ hit AS (SELECT DISTINCT r, k, n, item_id FROM dw JOIN iw USING (n, g)),
 covered AS (SELECT r, count(DISTINCT p) AS n_hit
   FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hit) GROUP BY r),
 named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-  FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+  FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r),
+pair AS (SELECT r, k, n, ir, item_id, j, k - row_number() OVER (PARTITION BY r, ir, k - j ORDER BY k) AS run
+  FROM dw JOIN ip USING (n, g)),
+runs AS (SELECT r, item_id, count(*) + n - 1 AS length, min(k) - 1 AS start, min(j) - 1 AS item_start
+  FROM pair GROUP BY r, ir, item_id, n, k - j, run),
+top AS (SELECT * FROM runs QUALIFY row_number() OVER (
+  PARTITION BY r ORDER BY length DESC, start, item_id, item_start) = 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)""")
+       coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(top.length, 0) AS BIGINT) AS longest,
+       CAST(top.start AS BIGINT) AS longest_start, top.item_id AS longest_item,
+       CAST(top.item_start AS BIGINT) AS longest_item_start
+FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r) LEFT JOIN top USING (r)""")
 def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_decontamination.matches(table(spark, sf_dir, "documents"),
                                            table(spark, sf_dir, "benchmark"))
@@ -329,7 +339,10 @@ def op10_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", "n_hit",
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"))
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.coalesce("longest.length", F.lit(0).cast("bigint")).alias("longest"),
+        F.col("longest.start").alias("longest_start"), F.col("longest.item").alias("longest_item"),
+        F.col("longest.item_start").alias("longest_item_start"))
 
 
 _DIVERGENCE_SQL = rf"""WITH d AS (

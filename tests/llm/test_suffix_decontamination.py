@@ -59,6 +59,43 @@ def test_matches(case):
         assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=repr) == clean
 
 
+def longest(rows, items):
+    """The longest common run of each document that holds a whole window, by diagonals."""
+    starts = {}
+    for name, own in items:
+        for j in range(len(own) - min(10, len(own)) + 1 if own else 0):
+            starts.setdefault(tuple(own[j:j + min(10, len(own))]), []).append((name, own, j))
+    out = []
+    for doc, text in rows:
+        words, best = letter_words(text), None
+        for n in {len(k) for k in starts}:
+            for k in range(len(words) - n + 1):
+                for name, own, j in starts.get(tuple(words[k:k + n]), ()):
+                    size = n
+                    while k + size < len(words) and j + size < len(own) and words[k + size] == own[j + size]:
+                        size += 1
+                    found = (-size, k, name, j)
+                    best = found if best is None or found < best else best
+        out.append((doc, best))
+    return sorted(out, key=repr)
+
+
+def test_longest_of_each_document(spark, case):
+    rows, docs, bench, items = case
+    passage = " ".join(f"v{k % 40}" for k in range(90))
+    words = passage.split()
+    more = [(92_001, " ".join(words[5:70]) + " gap " + passage), (92_002, "a b " + " ".join(words[30:41])),
+            (92_003, passage * 2), (92_004, " ".join(words[:25] + ["x"] + words[25:])), (92_004, passage)]
+    tests = [(950, passage), (951, " ".join(words[20:60])), (951, passage), (952, "v1 v2 v3"), (950, passage)]
+    rows, docs = rows + more, docs.unionByName(text_frame(spark, more))
+    bench = bench.unionByName(spark.createDataFrame(tests, "item_id long, text string"))
+    want = longest(rows, items + [(str(n), letter_words(t)) for n, t in tests])
+    for size in (op.BLOCK_BYTES, 2000):
+        got = [(r.id, r.longest and (-r.longest.length, r.longest.start, r.longest["item"], r.longest.item_start))
+               for r in op.matches(docs, bench, block_bytes=size).collect()]
+        assert sorted(got, key=repr) == want
+
+
 def test_longest_matches(case):
     rows, docs, bench, items = case
     words = {d: letter_words(t) for d, t in rows}
