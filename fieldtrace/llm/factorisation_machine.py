@@ -2,7 +2,8 @@
 
 Each text becomes one vector: square roots of the shares of its words in hashed
 buckets, statistics of its structure (shares of byte classes, marks, repeated
-words and lines) and its size.  The score is
+words and lines), its size, and metadata: of each column named by the caller its
+logarithm, and whether it is missing.  The score is
 
     sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j),
 
@@ -11,10 +12,12 @@ with the pairwise part taken in linear time as
 
 The model is fitted on at most ``max_rows`` labelled rows (those with the
 smallest hash of their id), by gradient steps on the driver.  Every text is
-scored whole, in batches on the executors.  Only the text is an input.
+scored whole, in batches on the executors.  Only the text and the named metadata
+are inputs.
 
 Edge cases: null texts count as empty; an empty text has a score like any other
-(its vector holds structure only).  Rows with a null label or id are not learnt
+(its vector holds structure only).  Metadata that is null, NaN or infinite is
+missing.  Rows with a null label or id are not learnt
 from; ids that are labelled twice count with their smallest label.  Without
 labelled rows every score is 0.5.
 """
@@ -57,6 +60,7 @@ class Model:
     scale: np.ndarray
     linear: np.ndarray
     factors: np.ndarray
+    meta: tuple[str, ...] = ()
 
     def score(self, x: np.ndarray) -> np.ndarray:
         x = standard(x, self.mean, self.scale)
@@ -84,9 +88,22 @@ def _unique_shares(owner: np.ndarray, keys: np.ndarray, n: int, total: np.ndarra
     return distinct / total, most / total
 
 
-def vectors(column: pa.Array) -> Iterator[np.ndarray]:
+def meta_vectors(columns: list[pa.Array], n: int) -> np.ndarray:
+    """Signed logarithm of each metadata column, and whether it is missing."""
+    out = np.zeros((n, 2 * len(columns)), np.float32)
+    for k, column in enumerate(columns):
+        value = column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        known = np.isfinite(value)
+        value = np.where(known, value, 0)
+        out[:, 2 * k] = np.sign(value) * np.log1p(np.abs(value))
+        out[:, 2 * k + 1] = ~known
+    return out
+
+
+def vectors(column: pa.Array, meta: list[pa.Array] = ()) -> Iterator[np.ndarray]:
     """The vectors of a batch of texts, slice by slice."""
     view, offsets = utf8(column)
+    more = meta_vectors(meta, len(column))
     for w in words_in(view, offsets, NOT_BLANK, lower=False):
         n = w.hi - w.lo
         x = np.zeros((n, WIDTH), np.float32)
@@ -124,24 +141,25 @@ def vectors(column: pa.Array) -> Iterator[np.ndarray]:
         x[:, at + 8] = np.log1p(size)
         twice = (hashes[1:] == hashes[:-1]) & (text_of[1:] == text_of[:-1])
         x[:, at + 9] = np.bincount(text_of[1:], twice, n) / np.maximum(words, 1)
-        yield x
+        yield np.hstack((x, more[w.lo:w.hi])) if len(meta) else x
 
 
 _PLAIN = _CLASSES[0] | _CLASSES[1] | _CLASSES[2] | _CLASSES[3]
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 256, rate: float = 0.01,
-        decay: float = 1e-3, seed: int = 7) -> Model:
+        decay: float = 1e-3, seed: int = 7, meta: tuple[str, ...] = ()) -> Model:
     """Adam steps on the logistic loss, by batches in a fixed order."""
+    width = x.shape[1]
     if not len(y):
-        return Model(0.0, np.zeros(STRUCTURE), np.ones(STRUCTURE), np.zeros(WIDTH),
-                     np.zeros((WIDTH, FACTORS)))
+        return Model(0.0, np.zeros(width - BUCKETS), np.ones(width - BUCKETS), np.zeros(width),
+                     np.zeros((width, FACTORS)), meta)
     mean = x[:, BUCKETS:].mean(0, dtype=np.float64)
     scale = x[:, BUCKETS:].std(0, dtype=np.float64) + 1e-3
     rng = np.random.default_rng(seed)
     share = np.clip(y.mean(), 0.01, 0.99)
-    p = [np.array([np.log(share / (1 - share))]), np.zeros(WIDTH),
-         rng.normal(0, 0.02, (WIDTH, FACTORS))]
+    p = [np.array([np.log(share / (1 - share))]), np.zeros(width),
+         rng.normal(0, 0.02, (width, FACTORS))]
     m, s = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for step in range(1, steps + 1):
         some = rng.integers(0, len(y), min(batch, len(y)))
@@ -158,13 +176,16 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 256, rate:
             s[k] = 0.999 * s[k] + 0.001 * grad * grad
             p[k] = p[k] - slow * (m[k] / (1 - 0.9 ** step)) / (
                 np.sqrt(s[k] / (1 - 0.999 ** step)) + 1e-8)
-    return Model(float(p[0][0]), mean, scale, p[1], p[2])
+    return Model(float(p[0][0]), mean, scale, p[1], p[2], meta)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
+          label_col: str = "quality", max_rows: int = MAX_ROWS,
+          meta: tuple[str, ...] = ()) -> Model:
     """Fit on at most ``max_rows`` rows of ``labels``; runs jobs.
 
+    ``meta`` names columns of numbers of ``docs`` that are features, too.
+
     The sample is small by its bound, so it is broadcast to the documents, and
     only its vectors come back.
     """
@@ -172,12 +193,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
               .groupBy(F.col(id_col).alias("key")).agg(F.min(label_col).cast("double").alias("label"))
               .orderBy(F.xxhash64("key"), "key").limit(max_rows))
-    rows = (docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    names = [f"meta_{k}" for k in range(len(meta))]
+    rows = (docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"),
+                        *[F.col(c).cast("double").alias(n) for c, n in zip(meta, names)])
             .join(F.broadcast(sample), "key"))
 
     def as_bytes(batches):
         for batch in batches:
-            x = [v.tobytes() for part in vectors(batch.column("text"))
+            x = [v.tobytes() for part in vectors(batch.column("text"), [batch.column(n) for n in names])
                  for v in part.astype(np.float16)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key").cast(pa.string()), batch.column("label"),
@@ -185,20 +208,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = rows.mapInArrow(as_bytes, "key string, label double, x binary").toArrow()
     got = got.sort_by([("key", "ascending"), ("x", "ascending")])
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, WIDTH)
-    return fit(x.astype(np.float32), got["label"].to_numpy())
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(
+        -1, WIDTH + 2 * len(meta))
+    return fit(x.astype(np.float32), got["label"].to_numpy(), meta=tuple(meta))
 
 
 def score(text: Column, model: Model) -> Column:
-    """The probability of label 1 for a text."""
+    """The probability of label 1 for a text; the model's metadata columns stand beside it."""
     text_batches()
 
+    if not model.meta:
+        @arrow_udf("double")
+        def machine(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in batches:
+                yield pa.array(np.concatenate([np.empty(0), *map(model.score, vectors(column))]))
+
+        return machine(text)
+
     @arrow_udf("double")
-    def machine(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            yield pa.array(np.concatenate([np.empty(0), *map(model.score, vectors(column))]))
+    def machine_with_meta(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for column, *meta in batches:
+            yield pa.array(np.concatenate([np.empty(0), *map(model.score, vectors(column, meta))]))
 
-    return machine(text)
+    return machine_with_meta(text, *[F.col(c).cast("double") for c in model.meta])
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text",

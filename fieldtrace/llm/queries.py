@@ -206,7 +206,7 @@ def learnt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = factorisation_machine.train(docs, learnt_labels(spark, sf_dir))
+    model = factorisation_machine.train(docs, learnt_labels(spark, sf_dir), meta=("n_chars",))
     scored = docs.select("doc_id", factorisation_machine.score(F.col("text"), model).alias("score"))
     return scored.select(
         "doc_id", (_fold() == 0).alias("held_out"), "score",

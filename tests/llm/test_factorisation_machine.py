@@ -58,3 +58,20 @@ def test_scores_do_not_depend_on_neighbours():
     texts = ["A b c.\nA b c.", "", "x" * 50, "Ünï ü\tü"]
     alone = np.concatenate([next(op.vectors(pa.array([t]))) for t in texts])
     assert np.allclose(alone, next(op.vectors(pa.array(texts))))
+
+
+def test_metadata_is_an_input(spark):
+    """Texts that are alike are told apart by a column; missing values have a score."""
+    rows = [(k, "same words here", float(1000 * (k % 2))) for k in range(60)]
+    odd = [(100, "same words here", None), (101, None, float("nan")), (102, "", float("-inf")), (103, "x", -5.0),
+           (104, "same words here", None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, size double").withColumn("meta_0", F.lit("own"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    model = op.train(docs, labels, meta=("size",))
+    assert len(model.linear) == op.WIDTH + 2
+    got = {r.doc_id: r.score for r in docs.select("doc_id", op.score(F.col("text"), model).alias("score")).collect()}
+    assert all(0 <= s <= 1 for s in got.values()) and got[100] == got[104]
+    assert min(got[k] for k in range(1, 60, 2)) > 0.8 and max(got[k] for k in range(0, 60, 2)) < 0.2
+    assert {r.doc_id for r in op.keep_good(docs, model).collect()} >= set(range(1, 60, 2))
+    blank = op.train(docs, labels.limit(0), meta=("size",))
+    assert set(docs.select(op.score(F.col("text"), blank).alias("s")).toPandas().s) == {0.5}
