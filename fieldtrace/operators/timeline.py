@@ -9,11 +9,14 @@ A session that is too long for one task is cut into blocks of consecutive
 positions.  Windows then run per block, and what has to cross a block border is
 carried by *edge rows*: for each block only its first and last row and the few
 first or last members of each subset.  Their number depends on the number of
-blocks, not rows, so the second, cross-block window stays small.
+blocks, not rows.  They are a timeline themselves, and cut the same way: groups
+of neighbouring blocks, as many blocks to a group as there are groups, so no
+window spans more than about the square root of a session's blocks.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
@@ -37,6 +40,7 @@ MAX_BROADCAST_BYTES = 16_000_000
 MEASURE = "measure"
 
 _BLOCK = "__block"
+_GROUP = "__group"
 
 
 @dataclass(frozen=True)
@@ -76,11 +80,13 @@ class Timeline:
 
     ``order[0]`` is the position in the session, from which blocks follow if it
     is dense; further entries break ties among rows that share one.  ``block_rows=None`` means every session
-    fits one task.
+    fits one task.  ``group_blocks`` neighbouring blocks share the window that carries
+    across their borders; None means that all blocks of a session do.
     """
     keys: tuple[str, ...] = ("session_id",)
     order: tuple[str, ...] = ("seq",)
     block_rows: int | None = None
+    group_blocks: int | None = None
 
     def ordered_by(self, *order: str) -> Timeline:
         return replace(self, order=order)
@@ -93,11 +99,7 @@ class Timeline:
         if _BLOCK not in df.columns:
             df = df.withColumn(
                 _BLOCK, F.floor((F.col(self.order[0]) - 1) / self.block_rows))
-        parts = (*self.keys, _BLOCK)
-        rows = df.withColumns(slots)
-        carry = self._carry(rows, parts, asked)
-        local = self._local(rows, parts, asked).join(carry, list(parts), "left")
-        return self._read(local, parts, asked, carry)
+        return self._look_in_parts(df.withColumns(slots), (*self.keys, _BLOCK), asked)
 
     def settle(self, df: DataFrame) -> DataFrame:
         """Cut the lineage between look-ups of block-wise work.
@@ -116,6 +118,12 @@ class Timeline:
 
     # -- reading ---------------------------------------------------------
 
+    def _look_in_parts(self, rows: DataFrame, parts: Sequence[str],
+                       asked: dict[str, Look]) -> DataFrame:
+        carry = self._carry(rows, parts, asked)
+        local = self._local(rows, parts, asked).join(carry, list(parts), "left")
+        return self._read(local, parts, asked, carry)
+
     def _windows(self, parts: Sequence[str]):
         w = Window.partitionBy(*parts).orderBy(*self.order)
         return w, w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -137,7 +145,8 @@ class Timeline:
         out, gone = {}, [f"__s_{n}" for n in asked]
         for name, look in asked.items():
             if isinstance(look, Running):
-                out[name] = F.col(f"__l_{name}") + F.coalesce(f"__c_{name}", F.lit(0))
+                own, before = F.col(f"__l_{name}"), F.col(f"__c_{name}")
+                out[name] = F.coalesce(own + before, own, before)
                 gone += [f"__l_{name}", f"__c_{name}"]
             elif isinstance(look, Latest):
                 out[name] = F.coalesce(f"__l_{name}", f"__c_{name}_1")["v"]
@@ -170,44 +179,92 @@ class Timeline:
 
     def _carry(self, rows: DataFrame, parts: Sequence[str], asked: dict[str, Look]) -> DataFrame:
         """What each block needs from the others: one row per block."""
+        edges = self._edges(rows, parts, asked)
+        if self.group_blocks is None:
+            across, kept = self._across(edges, asked)
+        else:
+            across, kept = self._across_groups(edges, asked)
+        return across.groupBy(*parts).agg(*[F.any_value(c, F.lit(True)).alias(c) for c in kept])
+
+    def _edges(self, rows: DataFrame, parts: Sequence[str], asked: dict[str, Look]) -> DataFrame:
+        """The rows of each block that others may ask for, or that ask for the block."""
         w, upto = self._windows(parts)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         marks = {"__first": F.row_number().over(w) == 1,
                  "__last": F.lead(F.lit(1)).over(w).isNull()}
-        edge = F.col("__first") | F.col("__last")
+        edge, slots = F.col("__first") | F.col("__last"), {}
         for name, look in asked.items():
             slot, mark = f"__s_{name}", f"__m_{name}"
             if isinstance(look, Running):
                 marks[mark] = F.sum(slot).over(upto)
-            elif isinstance(look, Ahead):
-                marks[mark] = F.col(slot).isNotNull() & (F.count(slot).over(upto) <= look.depth)
-                edge = edge | F.col(mark)
+                # From here on the sum of a block is the amount of its last row.
+                slots[slot] = F.when(F.col("__last"), F.col(mark))
+                continue
+            if isinstance(look, Ahead):
+                near = F.count(slot).over(upto) <= look.depth
             else:
-                depth = 1 if isinstance(look, Latest) else look.depth
-                marks[mark] = F.col(slot).isNotNull() & (
-                    F.count(slot).over(whole) - F.count(slot).over(upto) < depth)
-                edge = edge | F.col(mark)
+                near = F.count(slot).over(whole) - F.count(slot).over(upto) < _depth(look)
+            marks[mark] = F.col(slot).isNotNull() & near
+            edge = edge | F.col(mark)
         needed = [*parts, *[c for c in self.order if c not in parts],
                   *[f"__s_{n}" for n in asked]]
-        edges = rows.select(*needed).withColumns(marks).where(edge)
+        return (rows.select(*needed).withColumns(marks).where(edge).withColumns(slots)
+                .drop(*[f"__m_{n}" for n in asked]))
 
-        across = Window.partitionBy(*self.keys).orderBy(_BLOCK, *self.order)
+    def _across(self, edges: DataFrame, asked: dict[str, Look]) -> tuple[DataFrame, list[str]]:
+        """Look along the edge rows of a whole session in one window."""
+        across = Window.partitionBy(*self.keys).orderBy(*self._by_block())
         earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-        found, kept = {}, []
+        found = {}
         for name, look in asked.items():
             if isinstance(look, Running):
-                total = F.when(F.col("__last"), F.col(f"__m_{name}"))
-                found[f"__c_{name}"] = F.when(F.col("__first"), F.sum(total).over(earlier))
-                kept.append(f"__c_{name}")
+                found[f"__c_{name}"] = F.when(F.col("__first"), F.sum(f"__s_{name}").over(earlier))
                 continue
             at = "__last" if isinstance(look, Ahead) else "__first"
-            depth = 1 if isinstance(look, Latest) else look.depth
-            for k in range(1, depth + 1):
+            for k in range(1, _depth(look) + 1):
                 found[f"__c_{name}_{k}"] = F.when(
                     F.col(at), _neighbour(name, look, k).over(across))
-                kept.append(f"__c_{name}_{k}")
-        return (edges.withColumns(found).groupBy(*parts)
-                .agg(*[F.any_value(c, F.lit(True)).alias(c) for c in kept]))
+        return edges.withColumns(found), list(found)
+
+    def _across_groups(self, edges: DataFrame,
+                       asked: dict[str, Look]) -> tuple[DataFrame, list[str]]:
+        """Look along the edge rows group by group, as along the rows block by block.
+
+        The edge rows are read twice, so they are written first.
+        """
+        edges = settle(edges.withColumn(_GROUP, F.floor(F.col(_BLOCK) / self.group_blocks)))
+        looks: dict[str, Look] = {}
+        for name, look in asked.items():
+            held = F.col(f"__s_{name}")
+            if isinstance(look, Running):
+                looks[f"__g_{name}"] = Running(held)
+            else:
+                # A block gets what lies before or after it, so never its own last value.
+                kind = Ahead if isinstance(look, Ahead) else Behind
+                looks[f"__g_{name}"] = kind(held, held.isNotNull(), _depth(look))
+        above = replace(self, order=self._by_block(), group_blocks=None)
+        slots = {f"__s_{name}": _slot(look) for name, look in looks.items()}
+        seen = above._look_in_parts(edges.withColumns(slots), (*self.keys, _GROUP), looks)
+        found = {}
+        for name in asked:
+            above_name = f"__g_{name}"
+            look = looks[above_name]
+            if isinstance(look, Running):
+                before = F.col(above_name) - F.coalesce(f"__s_{name}", F.lit(0))
+                found[f"__c_{name}"] = F.when(F.col("__first"), before)
+                continue
+            at = "__last" if isinstance(look, Ahead) else "__first"
+            for k in range(1, look.depth + 1):
+                found[f"__c_{name}_{k}"] = F.when(
+                    F.col(at), F.col(_numbered(above_name, look, k)))
+        return seen.withColumns(found), list(found)
+
+    def _by_block(self) -> tuple[str, ...]:
+        return (_BLOCK, *[c for c in self.order if c != _BLOCK])
+
+
+def _depth(look: Look) -> int:
+    return 1 if isinstance(look, Latest) else look.depth
 
 
 def _slot(look: Look) -> Column:
@@ -298,8 +355,8 @@ def _apart(df: DataFrame, keys: Sequence[str],
     return df.join(listed, list(keys), "left_anti"), df.join(listed, list(keys), "left_semi")
 
 
-def _placed(df: DataFrame, line: Timeline) -> DataFrame:
-    """Rows of long sessions with their block.
+def _placed(df: DataFrame, line: Timeline) -> tuple[DataFrame, Timeline]:
+    """Rows of long sessions with their block, and the timeline with its groups of blocks.
 
     The position gives the block if it is dense; otherwise a place counted in
     the session does, since sparse positions would leave a row or two per block.
@@ -308,11 +365,15 @@ def _placed(df: DataFrame, line: Timeline) -> DataFrame:
     size = df.groupBy(*line.keys).agg(F.count(F.lit(1)).alias("__n"), F.min(at).alias("__least"),
                                       F.max(at).alias("__most"))
     dense = (F.col("__least") >= 1) & (F.col("__most") <= F.col("__n"))
-    if size.where(~F.coalesce(dense, F.lit(False))).isEmpty():
-        return df
+    found = size.agg(F.max("__n").alias("rows"),
+                     F.bool_and(F.coalesce(dense, F.lit(False))).alias("dense")).first()
+    blocks = -(-(found["rows"] or 1) // line.block_rows)
+    line = replace(line, group_blocks=math.isqrt(blocks - 1) + 1)
+    if found["dense"] is not False:
+        return df, line
     counted = _numbered_apart(df, line.keys, [F.col(c) for c in line.order], "__place")
     return counted.withColumn(
-        _BLOCK, F.floor((F.col("__place") - 1) / line.block_rows)).drop("__place")
+        _BLOCK, F.floor((F.col("__place") - 1) / line.block_rows)).drop("__place"), line
 
 
 def per_session(df: DataFrame, work: Callable[[DataFrame, Timeline], DataFrame],
@@ -333,8 +394,8 @@ def per_session(df: DataFrame, work: Callable[[DataFrame, Timeline], DataFrame],
         return work(df, plain)
     blocked = replace(plain, block_rows=block_rows)
     ordinary, lengthy = _apart(df, keys, long)
-    done = blocked.leave(work(_placed(blocked.settle(lengthy), blocked), blocked))
-    return work(ordinary, plain).unionByName(done)
+    placed, blocked = _placed(blocked.settle(lengthy), blocked)
+    return work(ordinary, plain).unionByName(blocked.leave(work(placed, blocked)))
 
 
 def row_sequence(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],

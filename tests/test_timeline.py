@@ -42,13 +42,14 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_rows", [None, 1, 2, 5, 100])
-def test_looks(spark, block_rows):
+@pytest.mark.parametrize("block_rows, group_blocks", [
+    (None, None), (1, None), (2, None), (5, None), (100, None), (1, 1), (1, 4), (2, 3), (5, 2)])
+def test_looks(spark, block_rows, group_blocks):
     for seed in range(2):
         rows = made_up(seed)
         df = spark.createDataFrame(
             rows, "session_id string, seq int, text string, member boolean, amount int")
-        line = Timeline(block_rows=block_rows)
+        line = Timeline(block_rows=block_rows, group_blocks=group_blocks)
         text, member = F.col("text"), F.col("member")
         got = line.look(df, nxt=Ahead(text, member, 2), back=Behind(text, member, 3),
                         raw=Behind(text), known=Latest(text), total=Running(F.col("amount")))
@@ -57,6 +58,50 @@ def test_looks(spark, block_rows):
         assert as_rows(got, *cols) == brute(rows)
 
 
+def test_carry_in_two_levels(spark, monkeypatch):
+    """A session of 100,000 rows in blocks of 7: the same values, and no window over
+    more blocks or groups than the square root of the blocks."""
+    rows = settle(spark.range(1, 100_001).select(
+        F.lit("s").alias("session_id"), F.col("id").alias("seq"),
+        F.when(F.xxhash64("id") % 5 == 0, F.col("id")).alias("known"),
+        (F.xxhash64("id") % 4_001 == 0).alias("rare"), (F.col("id") % 11).alias("amount")))
+    edges = []
+
+    def keep(df):
+        out = settle(df)
+        if "__group" in df.columns:
+            edges.append(out)
+        return out
+
+    monkeypatch.setattr("fieldtrace.operators.timeline.settle", keep)
+
+    def work(df, line):
+        seq, rare = F.col("seq"), F.col("rare")
+        return line.look(df, nxt=Ahead(seq, rare, 2), back=Behind(seq, rare, 3),
+                         latest=Latest(F.col("known")), total=Running(F.col("amount")))
+
+    long = spark.createDataFrame([("s",)], "session_id string")
+    cut = per_session(rows, work, long=long, block_rows=7)
+    plain = work(rows, Timeline())
+    assert len(edges) == 1
+    groups = edges[0].groupBy("__group").agg(F.countDistinct("__block").alias("n")).collect()
+    root = 120                          # of 14,286 blocks, rounded up
+    assert len(groups) <= root and max(r["n"] for r in groups) <= root
+    assert cut.count() == 100_000
+    assert plain.exceptAll(cut.select(*plain.columns)).isEmpty()
+
+
+def test_running_sum_over_blocks_without_amounts(spark):
+    amounts = [None, None, 3, None, None, None, 4, None]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(amounts, 1)],
+                               "session_id string, seq int, amount int")
+    look = {"total": Running(F.col("amount"))}
+    plain = as_rows(Timeline().look(df, **look))
+    for groups in (None, 2):
+        cut = Timeline(block_rows=2, group_blocks=groups).look(df, **look)
+        assert as_rows(cut, "session_id", "seq", "amount", "total") == plain
+
+
 @pytest.fixture(scope="module")
 def log(spark):
     rows, long = scripted_log(spark, SMALL)
