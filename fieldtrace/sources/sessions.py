@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clock import clean_date
-from ..operators.columns import rename_columns, rename_matching
+from ..operators.columns import quoted, rename_columns, rename_matching
 from ..operators.timeline import BLOCK_ROWS, long_sessions, row_sequence
 
 _TEXTS = ("time_raw", "time_2", "observer", "groups", "focal_individual",
@@ -171,7 +173,7 @@ def bucket_of(session: str, buckets: int) -> Column:
 
 def buckets_of(spark: SparkSession, path: str) -> int:
     """The number of buckets a dataset was written with, from its marker file."""
-    return int(spark.read.text(f"{path.rstrip('/')}/_buckets").first()[0])
+    return int(_marker(spark, path, "_buckets"))
 
 
 def _with_order(df: DataFrame, fmt: str, order: Sequence[str]) -> DataFrame:
@@ -231,6 +233,57 @@ def _with_the_others(df: DataFrame, path: str, fmt: str, sessions: Sequence[str]
     return df.unionByName(kept)
 
 
+def write_log(log: DataFrame, path: str, *, buckets: int, block_rows: int = BLOCK_ROWS) -> None:
+    """A log laid out by session, so that :func:`read_log` needs no shuffle; overwrites.
+
+    Sessions share ``buckets`` buckets of Parquet files, sorted by session and position.
+    A bucket is one task of every later job, so it should hold some tens of megabytes.
+    A session of more than ``block_rows`` positions has a file per block, so no task
+    writes more of it.  A null session or position stops the job.
+    """
+    spark = log.sparkSession
+    table = f"log_{uuid.uuid4().hex}"
+    # Spark's own bucket of a session, so that each bucket of short sessions is one file.
+    bucket = F.pmod(F.hash("session_id"), F.lit(buckets))
+    block = F.floor((F.col("seq") - 1) / block_rows)
+    try:
+        (_never_null(log, "session_id", "seq").repartition(bucket, block)
+         .write.mode("overwrite").format("parquet").option("path", path)
+         .bucketBy(buckets, "session_id").sortBy("session_id", "seq").saveAsTable(table))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")      # the files stay
+    _mark(spark, path, "_schema", log.schema.json())    # an empty log has no file
+    _mark(spark, path, "_buckets", str(buckets))
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """A log that :func:`write_log` wrote, partitioned by session as it lies.
+
+    Windows, counts and joins by session follow without an exchange of the log.
+    Spark's catalogue is what knows buckets, so the files pass through it under a
+    name of their own, which is gone again when this returns.
+    """
+    schema = T.StructType.fromJson(json.loads(_marker(spark, path, "_schema")))
+    table = f"log_{uuid.uuid4().hex}"
+    columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (session_id) "
+              f"SORTED BY (session_id, seq) INTO {buckets_of(spark, path)} BUCKETS "
+              "LOCATION '" + path.replace("\\", "\\\\").replace("'", "\\'") + "'")
+    try:
+        return spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+
+
+def _mark(spark: SparkSession, path: str, name: str, value: str) -> None:
+    (spark.range(1).select(F.lit(value).alias("value")).coalesce(1)
+     .write.mode("overwrite").text(f"{path.rstrip('/')}/{name}"))
+
+
+def _marker(spark: SparkSession, path: str, name: str) -> str:
+    return spark.read.text(f"{path.rstrip('/')}/{name}").first()[0]
+
+
 def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet",
                    order: Sequence[str] = ("row_order",), ranged: bool = False,
                    buckets: int | None = None, sessions: Sequence[str] | None = None,
@@ -284,8 +337,7 @@ def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet",
             if after.get(directory) == names:    # nothing was written there
                 _delete(spark, directory)
     elif buckets is not None:
-        (spark.range(1).select(F.lit(str(buckets)).alias("value")).coalesce(1)
-         .write.mode("overwrite").text(f"{path.rstrip('/')}/_buckets"))
+        _mark(spark, path, "_buckets", str(buckets))
 
 
 def write_table(df: DataFrame, path: str, *, fmt: str = "parquet",

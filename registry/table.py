@@ -13,7 +13,7 @@ from fieldtrace.operators import per_session, row_position
 from fieldtrace.operators.timeline import shared_folder
 from fieldtrace.plans import ROW_ORDER, report
 from fieldtrace.plans import event_table as build
-from fieldtrace.sources import write_sessions, write_table
+from fieldtrace.sources import read_log, write_log, write_sessions, write_table
 
 from .base import has, hits, query, semis
 from .script import (DICTIONARY_SQL, IN_TURN, LOG_SQL, SCATTERED, dictionary, scattered,
@@ -353,6 +353,7 @@ def event_table_scattered(spark, sf_dir):
 
 # Sessions that are cut, and the blocks they are cut into.
 LONG_ROWS, BLOCK = 66, 7
+LOG_BUCKETS = 8
 
 
 @query(scattered(WHOLE_SQL))
@@ -362,6 +363,15 @@ def event_table_blocked(spark, sf_dir):
     return _all_headings(build(log, dictionary(spark), long=long, block_rows=BLOCK))
 
 
+@query(scattered(WHOLE_SQL))
+def event_table_laid_out(spark, sf_dir):
+    """The same from a log that lies bucketed by session: no exchange of the log."""
+    log, long = scripted_log(spark, sf_dir, SCATTERED)
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    write_log(log, path, buckets=LOG_BUCKETS)
+    return _all_headings(build(read_log(spark, path), dictionary(spark), long=long))
+
+
 ORDERED_SQL = STAGES_SQL + f"""
 SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY {ORDER}) AS row_no,
   seq, behavior, partner, modifiers, s FROM (SELECT *, CAST(duration AS BIGINT) AS s FROM clocked)"""

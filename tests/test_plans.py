@@ -34,6 +34,14 @@ def test_event_table_shuffles_the_log_once(spark):
     assert not nodes(plan, "SortMergeJoin")
 
 
+def test_event_table_of_a_laid_out_log_does_not_shuffle_it(spark):
+    plan = plan_of(QUERIES["event_table_laid_out"](spark, SMALL))
+    # The one of the handful of dictionary entries.
+    assert len(nodes(plan, "Exchange")) == 1
+    assert "Bucketed: true" in plan
+    assert not nodes(plan, "SortMergeJoin")
+
+
 def test_event_table_reads_only_what_it_needs(spark):
     plan = plan_of(QUERIES["event_table"](spark, SMALL))
     scan = next(line for line in plan.splitlines() if "FileScan parquet" in line)

@@ -6,7 +6,8 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtrace import read_dictionary, read_sessions, report, write_sessions, write_table
+from fieldtrace import (read_dictionary, read_log, read_sessions, report, write_log,
+                        write_sessions, write_table)
 from fieldtrace import functions as fx
 from fieldtrace import operators as op
 from fieldtrace.__main__ import main
@@ -324,3 +325,24 @@ def test_extra_columns_survive_whatever_their_names(spark):
     assert rows and all(r[n] == f"own {n}" for r in rows for n in names)
     with pytest.raises(ValueError, match="columns of the result"):
         event_table(log.withColumn("check", F.lit(True)), words)
+
+
+def test_log_laid_out_by_session(spark, tmp_path):
+    path = str(tmp_path / "it's a log")
+    rows = [(s, i, f"{s}{i}") for s in "abcdef" for i in range(1, 40 if s == "a" else 4)]
+    log = spark.createDataFrame(rows, "session_id string, seq bigint, `a b` string")
+    write_log(log, path, buckets=4, block_rows=10)
+    back = read_log(spark, path)
+    assert back.columns == log.columns and as_rows(back) == as_rows(log)
+    assert len(back.inputFiles()) >= 4                  # the long session has one per block
+    counted = back.groupBy("session_id").count()
+    assert as_rows(counted) == as_rows(log.groupBy("session_id").count())
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("log_")]
+    write_log(log.where("session_id < 'c'"), path, buckets=2)
+    assert as_rows(read_log(spark, path)) == as_rows(log.where("session_id < 'c'"))
+    write_log(log.limit(0), path, buckets=3)
+    assert read_log(spark, path).count() == 0
+    with pytest.raises(Exception, match="null session_id in the log"):
+        write_log(log.withColumn("session_id", F.lit(None).cast("string")), path, buckets=2)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("log_")]
