@@ -238,8 +238,8 @@ def write_log(log: DataFrame, path: str, *, buckets: int, block_rows: int = BLOC
 
     Sessions share ``buckets`` buckets of Parquet files, sorted by session and position.
     A bucket is one task of every later job, so it should hold some tens of megabytes.
-    A session of more than ``block_rows`` positions has a file per block, so no task
-    writes more of it.  A null session or position stops the job.
+    A session of more than ``block_rows`` positions is dealt to tasks by block, so its
+    bucket has several files.  A null session or position stops the job.
     """
     spark = log.sparkSession
     table = f"log_{uuid.uuid4().hex}"
