@@ -37,6 +37,7 @@ from ..operators.timeline import (BLOCK_ROWS, MEASURE, Behind, Latest,
 from ..vocabulary import (CATEGORIES, DIG_PREFIX, FOUND_PREFIX, PLACES,
                           REPORT_HEADINGS, SECONDS_PER_DAY, SESSION_START,
                           WRESTLE_MAP)
+from .accounting import RowCounts
 
 # Opt-in corrections of the protocol's quirks; the default is as written.
 REPAIRS = frozenset({
@@ -67,7 +68,7 @@ LOG_COLUMNS = frozenset({
 def event_table(log: DataFrame, dictionary: DataFrame, *,
                 repair: Collection[str] = (), on_mismatch: str = "raise",
                 long: DataFrame | str | None = MEASURE,
-                block_rows: int = BLOCK_ROWS) -> DataFrame:
+                block_rows: int = BLOCK_ROWS, counts: RowCounts | None = None) -> DataFrame:
     """The tidy event table of all sessions.
 
     ``log`` has ``session_id``, ``seq`` (dense from 1) and the raw columns of
@@ -77,7 +78,8 @@ def event_table(log: DataFrame, dictionary: DataFrame, *,
     the final headings.  Further columns of ``log`` are kept, whatever their names,
     unless they are columns of the result.  A session that repeats a position stops the
     job that meets it.  Runs a job that measures the dictionary,
-    and one that looks for long sessions unless ``long`` is given.
+    and one that looks for long sessions unless ``long`` is given.  ``counts`` learns
+    how many rows each step removed or added.
     """
     unknown = set(repair) - REPAIRS
     if unknown:
@@ -97,13 +99,15 @@ def event_table(log: DataFrame, dictionary: DataFrame, *,
         rows = pack(list_tags(normalize(rows), fixes))
         rows = raw_pass(rows, timeline, fixes)
         rows = family_pass(timeline.settle(rows), timeline, fixes)
-        rows = marker_pass(timeline.settle(rows), timeline, fixes)
+        rows = marker_pass(timeline.settle(rows), timeline, fixes, counts)
         rows = split_sizes(unpack(rows), fixes)
         rows = split_tags(judge_uneven(rows, on_mismatch))
         rows = tags_to_labels(rows, fixes)
         rows = relabel(rows, dictionary, small=small)
         rows = mirror_partner(rows, keep_partner="keep_partner" in fixes,
                               literal="mirror_literal" in fixes)
+        if counts is not None:
+            rows = counts.finished(rows, F.col("check"))
         return finalize(rows, fixes)
 
     done = per_session(log, work, long=long, block_rows=block_rows)
@@ -246,7 +250,8 @@ def list_tags(df: DataFrame, fixes: frozenset[str]) -> DataFrame:
     return as_lists(df, _TAGS, ";")
 
 
-def marker_pass(df: DataFrame, timeline: Timeline, fixes: frozenset[str]) -> DataFrame:
+def marker_pass(df: DataFrame, timeline: Timeline, fixes: frozenset[str],
+                counts: RowCounts | None = None) -> DataFrame:
     """Classify loose end markers, look up the last tag before each row, drop
     removed and unresolved rows, and copy sized markers under a size label.
 
@@ -266,6 +271,8 @@ def marker_pass(df: DataFrame, timeline: Timeline, fixes: frozenset[str]) -> Dat
     label = F.col("written") if "near_original" in fixes else F.col("behavior")
     df = timeline.look(df, **near_looks(label, ~F.col("gone")),
                        tag_before=Behind(F.col("last_tag"), F.col("stays")))
+    if counts is not None:
+        df = counts.before_removal(df, F.col("gone"), F.col("stays"))
     df = df.where(F.col("stays"))
     df = df.withColumns({"sized": is_sized_loose(), "near": is_near(),
                          "wide": F.coalesce(count_pattern(m, ";") > 1, F.lit(False))})

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldtrace.operators import per_session, row_position
-from fieldtrace.operators.timeline import shared_folder
-from fieldtrace.plans import ROW_ORDER, report
+from fieldtrace.operators.timeline import settle, shared_folder
+from fieldtrace.plans import ROW_ORDER, RowCounts, report
 from fieldtrace.plans import event_table as build
 from fieldtrace.sources import read_log, write_log, write_sessions, write_table
 
@@ -372,6 +372,34 @@ def event_table_laid_out(spark, sf_dir):
     return _all_headings(build(read_log(spark, path), dictionary(spark), long=long))
 
 
+_LATER = {"mirrored": "mirror_rank = 0", "approach": "approach_pos > 0", "tag_label": "tag_rank = 0",
+          "tag": "tag_pos > 0", "piece": "piece_pos > 0", "size": "size_pos > 0",
+          "marker": "marker_rank = 0"}
+_CAUSE = ("CASE " + " ".join(f"WHEN {test} THEN '{step}'" for step, test in _LATER.items())
+          + " ELSE 'original' END")
+
+# What each step removed or added, from the rows before and after it.
+COUNTS_SQL = STAGES_SQL + f"""
+SELECT 'rows_in' AS measure, (SELECT count(*) FROM log) AS n
+UNION ALL SELECT 'ended', (SELECT count(*) FROM log) - (SELECT count(*) FROM merged)
+UNION ALL SELECT 'unresolved', (SELECT count(*) FROM tiny WHERE marker_rank = 1
+  AND (only_tiny OR (coalesce(several, false) AND check_flag IS NOT NULL)))
+UNION ALL SELECT 'rows_out', (SELECT count(*) FROM clocked)
+UNION ALL SELECT 'flagged', (SELECT count(*) FROM clocked WHERE check_flag)
+UNION ALL SELECT step, count(cause) FROM (VALUES ('original'), {', '.join(f"('{s}')" for s in _LATER)}) AS s(step)
+  LEFT JOIN (SELECT {_CAUSE} AS cause FROM clocked) ON cause = step GROUP BY step"""
+
+
+@query(scattered(COUNTS_SQL))
+def row_accounting(spark, sf_dir):
+    """Rows removed, kept, added by each step and flagged, counted while the table is
+    written, long sessions cut; the query fails if they do not add up."""
+    log, long = scripted_log(spark, sf_dir, SCATTERED, LONG_ROWS)
+    counts = RowCounts()
+    settle(build(log, dictionary(spark), long=long, block_rows=BLOCK, counts=counts))
+    return counts.frame(spark)
+
+
 ORDERED_SQL = STAGES_SQL + f"""
 SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY {ORDER}) AS row_no,
   seq, behavior, partner, modifiers, s FROM (SELECT *, CAST(duration AS BIGINT) AS s FROM clocked)"""
