@@ -394,7 +394,9 @@ def per_session(df: DataFrame, work: Callable[[DataFrame, Timeline], DataFrame],
         return work(df, plain)
     blocked = replace(plain, block_rows=block_rows)
     ordinary, lengthy = _apart(df, keys, long)
-    placed, blocked = _placed(blocked.settle(lengthy), blocked)
+    # Dealt evenly: the tasks that read them do the heavy work of the first pass.
+    dealt = lengthy.repartition(*keys, order[0])
+    placed, blocked = _placed(blocked.settle(dealt), blocked)
     return work(ordinary, plain).unionByName(blocked.leave(work(placed, blocked)))
 
 

@@ -196,3 +196,26 @@ def test_input_partitioning_does_not_matter(spark, log):
     one = event_table(log.repartition(1), words)
     many = event_table(log.repartition(16, "seq"), words)
     assert as_rows(one) == as_rows(many)
+
+
+def test_rows_of_long_sessions_are_dealt_evenly(spark):
+    """One task wrote them all before, and one task then read them all."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    rows = spark.range(1, 201, 1, 1).selectExpr("'a' AS session_id", "id AS seq")
+    long = spark.createDataFrame([("a",)], "session_id string")
+    seen = []
+
+    def work(df, line):
+        if line.block_rows is not None:
+            seen.append(df)
+        return df
+
+    spark.conf.set(key, "false")
+    try:
+        done = per_session(rows, work, long=long, block_rows=50)
+        parts = seen[0].groupBy(F.input_file_name().alias("f")).count().collect()
+    finally:
+        spark.conf.unset(key)
+    assert sum(r["count"] for r in parts) == 200
+    assert max(r["count"] for r in parts) < 100
+    assert sorted(r["seq"] for r in done.collect()) == list(range(1, 201))
