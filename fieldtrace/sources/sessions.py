@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from itertools import batched
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.clock import clean_date
 from ..operators.columns import quoted, rename_columns, rename_matching
-from ..operators.timeline import BLOCK_ROWS, long_sessions, row_sequence
+from ..operators.timeline import BLOCK_ROWS, long_sessions, row_sequence, settle, sized
 
 _TEXTS = ("time_raw", "time_2", "observer", "groups", "focal_individual",
           "behavior", "partner", "agg_sub", "play", "olfactory", "pup_care",
@@ -198,29 +200,59 @@ def _layout(spark: SparkSession, path: str) -> tuple[bool, int | None]:
     return True, buckets_of(spark, path) if fs.exists(marker) else None
 
 
-def _files(spark: SparkSession, path: str, by: str, values: Sequence[object]) -> dict[str, set[str]]:
-    """The names of the files in each of these partition directories that is there."""
+def _files(spark: SparkSession, path: str, buckets: Sequence[int]) -> dict[str, set[str]]:
+    """The names of the files in each of these buckets' directories that is there."""
     jvm, out = spark._jvm, {}
-    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for value in values:
-        at = jvm.org.apache.hadoop.fs.Path(path, f"{by}={escape(str(value))}")
+    for bucket in buckets:
+        at = jvm.org.apache.hadoop.fs.Path(path, f"{BUCKET}={bucket}")
         fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(at):
             out[at.toString()] = {f.getPath().getName() for f in fs.listStatus(at)}
     return out
 
 
-def _delete(spark: SparkSession, directory: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def _delete(spark: SparkSession, directories: Iterable[str]) -> None:
+    """Delete directories that may be there, a few at a time."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
+    def gone(directory: str) -> None:
+        at = jvm.org.apache.hadoop.fs.Path(directory)
+        at.getFileSystem(conf).delete(at, True)
 
-def _buckets_held(spark: SparkSession, sessions: Sequence[str], buckets: int) -> list[int]:
-    named = spark.createDataFrame([(s,) for s in sessions], "s string")
-    return [r["b"] for r in named.select(bucket_of("s", buckets).alias("b")).distinct().collect()]
+    with ThreadPoolExecutor(8) as pool:
+        for some in batched(directories, 10_000):
+            list(pool.map(gone, some))
 
 
-def _with_the_others(df: DataFrame, path: str, fmt: str, sessions: Sequence[str],
+def _directories(spark: SparkSession, path: str, sessions: DataFrame) -> Iterable[str]:
+    """The sessions' own directories, one by one."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for row in sessions.select(F.col("session_id").cast("string")).toLocalIterator():
+        name = row[0] if row[0].isalnum() and row[0].isascii() else escape(row[0])
+        yield f"{path.rstrip('/')}/session_id={name}"
+
+
+def _named(df: DataFrame, sessions: Sequence[str] | DataFrame) -> DataFrame:
+    """The sessions' names once, as the rows have them, ready to join with rows."""
+    spark = df.sparkSession
+    if not isinstance(sessions, DataFrame):
+        sessions = spark.createDataFrame([(s,) for s in sessions], "session_id string")
+    named = (sessions.select(F.col(sessions.columns[0]).cast(df.schema["session_id"].dataType)
+                             .alias("session_id")).where("session_id IS NOT NULL").distinct())
+    return sized(settle(named), ["session_id"])
+
+
+def _only(df: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows; one of another session stops the job."""
+    other = F.raise_error(F.concat(F.lit("not one of the sessions to write: "),
+                                   F.col("session_id").cast("string")))
+    held = df.join(named.withColumn("__named", F.lit(True)), "session_id", "left")
+    return held.select(*[
+        (F.when(F.col("__named"), F.col(c)).otherwise(other.cast(df.schema[c].dataType)).alias(c)
+         if c == "session_id" else F.col(quoted(c))) for c in df.columns])
+
+
+def _with_the_others(df: DataFrame, path: str, fmt: str, named: DataFrame,
                      options: Mapping[str, str], touched: Sequence[int]) -> DataFrame:
     """The rows, and those that other sessions have in the buckets ``touched``."""
     reader = df.sparkSession.read.options(**options)
@@ -229,7 +261,8 @@ def _with_the_others(df: DataFrame, path: str, fmt: str, sessions: Sequence[str]
         if differ:
             raise ValueError(f"the dataset and the rows differ in {sorted(differ)}")
     there = reader.schema(df.schema).format(fmt).load(path)
-    kept = there.where(F.col(BUCKET).isin(list(touched)) & ~F.col("session_id").isin(list(sessions)))
+    kept = (there.where(F.col(BUCKET).isin(list(touched)) & F.col("session_id").isNotNull())
+            .join(named, "session_id", "left_anti"))
     return df.unionByName(kept)
 
 
@@ -286,7 +319,8 @@ def _marker(spark: SparkSession, path: str, name: str) -> str:
 
 def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet",
                    order: Sequence[str] = ("row_order",), ranged: bool = False,
-                   buckets: int | None = None, sessions: Sequence[str] | None = None,
+                   buckets: int | None = None,
+                   sessions: Sequence[str] | DataFrame | None = None,
                    options: Mapping[str, str] | None = None) -> None:
     """One directory per session, rows in order inside each file; overwrites.
 
@@ -300,11 +334,11 @@ def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet",
     With very many sessions give ``buckets``: sessions share that many
     directories, sorted by session, so neither listing nor commit grows with them.
 
-    ``sessions`` states that the rows are all of these sessions and of no others: they
-    are replaced, also by nothing, and every other session stays as it is.  Only
-    their directories are written; in shared ones the rows of other sessions are
-    carried over, and the dataset keeps its number of buckets.  A row of another
-    session stops the job before anything is replaced.
+    ``sessions``, a list or a frame of one column, states that the rows are all of these
+    sessions and of no others: they are replaced, also by nothing, and every other
+    session stays as it is.  Only their directories are written; in shared ones the
+    rows of other sessions are carried over, and the dataset keeps its number of
+    buckets.  A row of another session stops the job before anything is replaced.
     """
     spark, given, part = df.sparkSession, dict(options or {}), sessions is not None
     if part:
@@ -312,18 +346,20 @@ def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet",
         if there and buckets is not None and own != buckets:
             raise ValueError(f"the dataset has {own or 'no'} buckets, not {buckets}")
         buckets, part = own if there else buckets, there
-        other = F.raise_error(F.concat(F.lit("not one of the sessions to write: "), F.col("session_id")))
-        df = df.withColumn("session_id", F.when(F.col("session_id").isin(list(sessions)), F.col("session_id"))
-                           .otherwise(other.cast(df.schema["session_id"].dataType)))
-    by, held = "session_id", sessions
+        named = _named(df, sessions)
+        df = _only(df, named)
+    by = "session_id"
     if buckets is not None:
         df, by = df.withColumn(BUCKET, bucket_of("session_id", buckets)), BUCKET
     df = _with_order(df, fmt, order)
     if part and buckets is not None:
-        held = _buckets_held(spark, sessions, buckets)
+        touched = [r[0] for r in named.select(bucket_of("session_id", buckets)).distinct().collect()]
         # Rows carried over are not grouped with the new ones.
-        df, ranged = _with_the_others(df, path, fmt, sessions, given, held), True
-    before = _files(spark, path, by, held) if part else {}
+        df, ranged = _with_the_others(df, path, fmt, named, given, touched), True
+        before = _files(spark, path, touched)
+    elif part:
+        # Written aside first, which tells the sessions without rows; grouped no longer.
+        df, ranged = settle(df), True
     placed = df.repartitionByRange("session_id", *order) if ranged else df
     ordered = placed.sortWithinPartitions(
         *([BUCKET] if buckets is not None else []), "session_id", *order)
@@ -331,11 +367,12 @@ def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet",
     (ordered.write.mode("overwrite").options(**given)
      .option("partitionOverwriteMode", "dynamic" if part else "static")
      .partitionBy(by).format(fmt).save(path))
-    if part:
-        after = _files(spark, path, by, held)
-        for directory, names in before.items():
-            if after.get(directory) == names:    # nothing was written there
-                _delete(spark, directory)
+    if part and buckets is not None:
+        after = _files(spark, path, touched)
+        _delete(spark, [d for d, names in before.items() if after.get(d) == names])
+    elif part:
+        without = named.join(df.select("session_id"), "session_id", "left_anti")
+        _delete(spark, _directories(spark, path, without))
     elif buckets is not None:
         _mark(spark, path, "_buckets", str(buckets))
 

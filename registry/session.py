@@ -77,7 +77,7 @@ def sink_partial(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("string").alias("session_id"), "event_id", "ts", "value")
     kind = F.col("session_id").cast("bigint") % 3
-    again = [r[0] for r in rows.where(kind != 0).select("session_id").distinct().collect()]
+    again = rows.where(kind != 0).select("session_id").distinct()
     new = rows.where(kind == 1).withColumn("value", F.lit(-1.0))
     schema, parts = "session_id string, event_id bigint, ts timestamp_ntz, value double", []
     for layout, buckets in (("apart", None), ("shared", 5)):

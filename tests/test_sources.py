@@ -179,6 +179,28 @@ def test_partial_runs_keep_the_other_sessions(spark, tmp_path, buckets, fmt):
     assert not left
 
 
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_partial_run_of_many_sessions(spark, tmp_path, monkeypatch, kind):
+    """Names come as a frame and are not listed in the plan; directories are not asked one by one."""
+    def no_listing(*_):
+        raise AssertionError("sessions' directories are not listed")
+    monkeypatch.setattr("fieldtrace.sources.sessions._files", no_listing)
+    rows = spark.range(120).selectExpr(f"CAST(id % 40 AS {kind}) AS session_id", "id AS seq", "'a' AS v")
+    path = str(tmp_path / "out")
+    write_sessions(rows, path, order=["seq"], ranged=True)
+    again = rows.where("session_id % 4 > 0").select("session_id")        # repeated names
+    new = rows.where("session_id % 4 = 1").withColumn("v", F.lit("b"))
+    write_sessions(new, path, order=["seq"], sessions=again)
+    back = spark.read.schema(rows.schema).parquet(path)
+    want = [(r["session_id"], r["seq"], "b" if int(r["session_id"]) % 4 else "a")
+            for r in rows.collect() if int(r["session_id"]) % 4 < 2]
+    assert as_rows(back, *rows.columns) == sorted(want, key=repr)
+    assert {int(d.name.split("=")[1]) % 4 for d in (tmp_path / "out").glob("session_id=*")} == {0, 1}
+    with pytest.raises(Exception, match="not one of the sessions"):
+        write_sessions(rows, path, order=["seq"], sessions=again)
+    assert as_rows(back, *rows.columns) == sorted(want, key=repr)
+
+
 def test_partial_run_with_other_columns(spark, tmp_path):
     log = log_of(spark, SESSIONS).select("session_id", "seq", "behavior")
     write_sessions(log, str(tmp_path / "x"), order=["seq"], buckets=2)
