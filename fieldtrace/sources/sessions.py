@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from itertools import batched
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +75,22 @@ def _bound_by_header(spark: SparkSession, path: str, schema: T.StructType | str,
     return T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
 
 
+@contextmanager
+def listed_in_bulk(spark: SparkSession) -> Iterator[None]:
+    """Frames read in here list their directories by a few tasks a core.
+
+    Spark starts a task for each directory, up to ten thousand, which takes longer
+    to start than to list.  A smaller number that is set is kept.
+    """
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    given = spark.conf.get(name)
+    spark.conf.set(name, min(int(given), max(64, 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, given)
+
+
 def read_sessions(spark: SparkSession, path: str, *, fmt: str = "parquet",
                   schema: T.StructType | str | None = LOG_SCHEMA,
                   sessions: Sequence[str] | None = None,
@@ -93,20 +111,21 @@ def read_sessions(spark: SparkSession, path: str, *, fmt: str = "parquet",
     """
     given = dict(options or {})
     reader = spark.read.options(**given)
-    if raw:
-        df = reader.format(fmt).load(path)
-    elif fmt == "csv" and given.get("header", "").lower() == "true" and schema is not None:
-        df = (reader.option("mode", "FAILFAST")
-              .schema(_bound_by_header(spark, path, schema, given)).csv(path))
-    elif schema is not None:
-        own = schema
-        if fmt in ("parquet", "orc"):
-            declared = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-            there = set(reader.format(fmt).load(path).columns)
-            own = T.StructType([f for f in declared if f.name in there or f.name != "seq"])
-        df = reader.option("mode", "FAILFAST").schema(own).format(fmt).load(path)
-    else:
-        df = reader.format(fmt).load(path)
+    with listed_in_bulk(spark):
+        if raw:
+            df = reader.format(fmt).load(path)
+        elif fmt == "csv" and given.get("header", "").lower() == "true" and schema is not None:
+            df = (reader.option("mode", "FAILFAST")
+                  .schema(_bound_by_header(spark, path, schema, given)).csv(path))
+        elif schema is not None:
+            own = schema
+            if fmt in ("parquet", "orc"):
+                declared = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+                there = set(reader.format(fmt).load(path).columns)
+                own = T.StructType([f for f in declared if f.name in there or f.name != "seq"])
+            df = reader.option("mode", "FAILFAST").schema(own).format(fmt).load(path)
+        else:
+            df = reader.format(fmt).load(path)
     if sessions is not None:
         df = df.where(F.col("session_id").cast("string").isin(list(sessions)))
         if BUCKET in df.columns and sessions:
@@ -167,6 +186,8 @@ def name_sessions(df: DataFrame, catalogue: DataFrame, position: str = "sheet_no
 
 
 BUCKET = "session_bucket"
+# Rows held at once, and written as a row group, where tasks write files through Arrow.
+GROUP_ROWS = 100_000
 
 
 def bucket_of(session: str, buckets: int) -> Column:
@@ -377,6 +398,76 @@ def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet",
         _mark(spark, path, "_buckets", str(buckets))
 
 
+def write_grouped(df: DataFrame, path: str) -> None:
+    """One directory per session, as Parquet, into a folder that is not there yet.
+
+    The rows of a session follow each other in their partition, and get a file there.
+
+    Hadoop's local file system starts a process for every directory, file and checksum
+    it makes, so that sessions of some dozen rows take longer to place than to
+    write.  There the tasks write through Arrow; each file appears whole and under the
+    same name at every attempt.  Elsewhere Spark's own writer does.
+    """
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    uri = fs.makeQualified(at).toUri()
+    if uri.getScheme() != "file":
+        df.write.partitionBy("session_id").parquet(path)
+        return
+    fs.mkdirs(at)
+    root, job = uri.getPath().rstrip("/"), uuid.uuid4().hex
+    special = r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]"""
+    names = [c for c in df.columns if c != "session_id"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Sent by value, with all it needs: the workers may lack this package.
+        import os
+        import re
+        from itertools import groupby
+
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        task, done = TaskContext.get(), set()
+        name = f"part-{task.partitionId():05d}-{job}.snappy.parquet"
+
+        def runs():
+            for batch in batches:
+                ends, start = pc.run_end_encode(batch.column(0)), 0
+                rows = pa.Table.from_arrays(batch.columns[1:], names)
+                for session, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist()):
+                    # Named as Spark does, which has one name for null and an empty text.
+                    yield (re.sub(special, lambda c: f"%{ord(c[0]):02X}", session or "")
+                           or "__HIVE_DEFAULT_PARTITION__"), rows.slice(start, end - start)
+                    start = end
+
+        for session, parts in groupby(runs(), key=lambda run: run[0]):
+            if session in done:
+                raise ValueError(f"the rows of session {session!r} are not together")
+            done.add(session)
+            folder = f"{root}/session_id={session}"
+            os.makedirs(folder, exist_ok=True)
+            # Readers pass over names with a dot in front.
+            made, held = f"{folder}/.{name}.{task.taskAttemptId()}", [next(parts)[1]]
+            with pq.ParquetWriter(made, held[0].schema, store_schema=False) as file:
+                for _, rows in parts:
+                    held.append(rows)
+                    if sum(map(len, held)) >= GROUP_ROWS:
+                        file.write_table(pa.concat_tables(held))
+                        held = []
+                if held:
+                    file.write_table(pa.concat_tables(held))
+            os.replace(made, f"{folder}/{name}")
+        yield pa.RecordBatch.from_pydict({"sessions": [len(done)]})
+
+    # A heading may hold a dot, which the names of a Python function's columns may not.
+    (df.select(F.col("session_id").cast("string"),
+               *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)])
+     .mapInArrow(write, "sessions long").agg(F.sum("sessions")).collect())
+
+
 def write_table(df: DataFrame, path: str, *, fmt: str = "parquet",
                 order: Sequence[str] = ("row_order",),
                 options: Mapping[str, str] | None = None) -> None:

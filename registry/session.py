@@ -84,8 +84,9 @@ def sink_partial(spark, sf_dir):
         path = f"{shared_folder(spark)}/partial-{uuid.uuid4().hex}"
         sources.write_sessions(rows, path, order=("ts", "event_id"), ranged=True, buckets=buckets)
         sources.write_sessions(new, path, order=("ts", "event_id"), ranged=True, sessions=again)
-        parts.append(spark.read.schema(schema).parquet(path).select(
-            F.lit(layout).alias("layout"), "session_id", "event_id", "value"))
+        with sources.listed_in_bulk(spark):
+            back = spark.read.schema(schema).parquet(path)
+        parts.append(back.select(F.lit(layout).alias("layout"), "session_id", "event_id", "value"))
     return parts[0].unionByName(parts[1])
 
 
@@ -174,8 +175,8 @@ def raw_source(spark, sf_dir):
     raw = log.withColumn("date", F.concat(F.col("date").cast("string"), F.lit(DATE_SUFFIX)))
     raw = raw.withColumnsRenamed(RAW_NAMES)
     path = f"{shared_folder(spark)}/raw-{uuid.uuid4().hex}"
-    (raw.repartition("session_id").sortWithinPartitions("session_id", "seq").drop("seq")
-     .write.partitionBy("session_id").parquet(path))
+    sources.write_grouped(raw.repartition("session_id").sortWithinPartitions(
+        "session_id", "seq").drop("seq"), path)
     back = sources.read_sessions(spark, path, raw=True)
     return back.select(
         F.col("session_id").cast("string").alias("session_id"), "seq", "date",

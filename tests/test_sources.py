@@ -13,7 +13,7 @@ from fieldtrace import operators as op
 from fieldtrace.__main__ import main
 from fieldtrace.operators.rows import residual_text
 from fieldtrace.plans import event_table
-from fieldtrace.sources import LOG_SCHEMA
+from fieldtrace.sources import LOG_SCHEMA, write_grouped
 from fieldtrace.sources.sessions import RAW_HEADINGS, from_headings
 from fieldtrace.vocabulary import REPORT_HEADINGS
 
@@ -152,6 +152,67 @@ def test_relabel_with_more_hot_labels_than_the_summary_names(spark):
         assert as_rows(op.relabel(rows, words, small=False, hot_rows=0, most_hot=most)) == want
 
 
+# -- many sessions ---------------------------------------------------------------
+
+def test_many_directories_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / "log" / f"session_id={i}").mkdir(parents=True)
+    rows = spark.createDataFrame([(1, "GA")], "seq long, behavior string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    made = next((tmp_path / "one").glob("part-*")).read_bytes()
+    for folder in (tmp_path / "log").iterdir():
+        (folder / "part-00000.parquet").write_bytes(made)
+    context, name = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    given = spark.conf.get(name)
+    context.setJobGroup("listing", "listing")
+    try:
+        back = read_sessions(spark, str(tmp_path / "log"), schema=None)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing")
+             for s in tracker.getJobInfo(j).stageIds]
+    assert 1 < max(tasks) <= 64 and spark.conf.get(name) == given
+    assert as_rows(back, "session_id") == sorted([(i,) for i in range(300)], key=repr)
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_grouped_rows_are_written_as_spark_writes_them(spark, tmp_path, monkeypatch, kind):
+    """A session in several batches and row groups; names to escape; null and empty."""
+    monkeypatch.setattr("fieldtrace.sources.sessions.GROUP_ROWS", 5)
+    ids = [str(i) for i in range(30)] if kind == "bigint" else [
+        "a b", "b/c", "50%", "x:y=z", "#1", "[q]^", "t\ts", "Zoë", "it's", "", None]
+    rows = [(s, k, None if k % 3 else f"v{k}", "" if k % 2 else None) for i, s in enumerate(ids)
+            for k in range(1, 40 if i == 1 else 3 + i % 3)]
+    df = spark.createDataFrame(rows, "session_id string, seq int, `Time...2` string, `a (b)` string")
+    placed = (df.withColumn("session_id", F.col("session_id").cast(kind)).repartition(3, "session_id")
+              .sortWithinPartitions("session_id", "seq"))
+    placed.write.partitionBy("session_id").parquet(str(tmp_path / "spark"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        write_grouped(placed, str(tmp_path / "own"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    one, two = (spark.read.parquet(str(tmp_path / n)) for n in ("spark", "own"))
+    cells = ["session_id", "seq", "`Time...2`", "`a (b)`"]
+    assert one.schema == two.schema and as_rows(one, *cells) == as_rows(two, *cells)
+    made = {n: sorted((f.parent.name, f.name[:10]) for f in (tmp_path / n).glob("*/*")
+                      if not f.name.endswith(".crc")) for n in ("spark", "own")}
+    assert made["spark"] == made["own"]
+    at = two.select("session_id", "seq", F.col("_metadata.row_index").alias("at"))
+    assert at.where("session_id IS NOT NULL AND at != seq - 1").isEmpty()
+    # No file of Hadoop's, each of which costs a process on a local file system.
+    assert not list((tmp_path / "own").rglob("*.crc")) and not list((tmp_path / "own").rglob(".part*"))
+
+
+def test_grouped_writer_refuses_rows_apart(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "session_id string, seq int").coalesce(1)
+    with pytest.raises(Exception, match="'a' are not together"):
+        write_grouped(df, str(tmp_path / "out"))
+    write_grouped(df.limit(0), str(tmp_path / "none"))
+    assert list((tmp_path / "none").iterdir()) == []
+
+
 # -- some sessions written again ------------------------------------------------
 
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
