@@ -126,8 +126,9 @@ def linked(prints: DataFrame, radius: int = RADIUS, folder: str | None = None) -
     rows = prints.select("fp", F.explode(tables).alias("key"))
     shared = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("hub"))
               .where("n > 1").select("key", "hub"))
-    # A hash of the masked value only brings together; distance decides.
-    members = settle(rows.join(shared, "key"), folder)
+    # A hash of the masked value only brings together; distance decides.  Spark sizes
+    # exploded rows as if there were one a fingerprint, so it may not choose to broadcast.
+    members = settle(rows.join(shared.hint("merge"), "key"), folder)
     stars = settle(members.where((F.col("fp") != F.col("hub")) & (_apart("fp", "hub") <= radius))
                    .select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct(), folder)
     first = components(stars, folder)

@@ -112,3 +112,29 @@ def test_long_text_counts_all_hashes(spark):
     docs = spark.createDataFrame([(text,)], "text string")
     got = docs.select(op.fingerprint(F.col("text")).alias("p")).first().p
     assert got & (2 ** 64 - 1) == fingerprint(text)
+
+
+def written_plans(monkeypatch):
+    """The plans of what the operator writes, as they are once they ran."""
+    plans, write = [], op.settle
+
+    def settle(df, folder=None):
+        out = write(df, folder)
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(op, "settle", settle)
+    return plans
+
+
+def unsent(plans):
+    """The rows exploded over the masks are joined, and not by a broadcast."""
+    exploded = [p for p in plans if "Generate explode" in p]
+    return bool(exploded) and all("Join" in p and "Broadcast" not in p for p in exploded)
+
+
+def test_keep_first_sends_no_exploded_rows(spark, sample_texts, monkeypatch):
+    plans = written_plans(monkeypatch)
+    op.keep_first(text_frame(spark, sample_texts)).collect()
+    assert unsent(plans)
