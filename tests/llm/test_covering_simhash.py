@@ -138,3 +138,9 @@ def test_keep_first_sends_no_exploded_rows(spark, sample_texts, monkeypatch):
     plans = written_plans(monkeypatch)
     op.keep_first(text_frame(spark, sample_texts)).collect()
     assert unsent(plans)
+
+
+def test_near_duplicates_sends_no_exploded_rows(spark, sample_texts, monkeypatch):
+    plans = written_plans(monkeypatch)
+    op.near_duplicates(text_frame(spark, sample_texts)).collect()
+    assert unsent(plans)
