@@ -354,6 +354,8 @@ def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet",
 
     With very many sessions give ``buckets``: sessions share that many
     directories, sorted by session, so neither listing nor commit grows with them.
+    Directories of their own are written and replaced by the tasks where the path is on
+    a local file system and plain Parquet is asked for; see :func:`write_grouped`.
 
     ``sessions``, a list or a frame of one column, states that the rows are all of these
     sessions and of no others: they are replaced, also by nothing, and every other
@@ -373,6 +375,8 @@ def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet",
     if buckets is not None:
         df, by = df.withColumn(BUCKET, bucket_of("session_id", buckets)), BUCKET
     df = _with_order(df, fmt, order)
+    own_way = buckets is None and fmt == "parquet" and not given and _written_alike(spark, df)
+    root = _local(spark, path) if own_way else None
     if part and buckets is not None:
         touched = [r[0] for r in named.select(bucket_of("session_id", buckets)).distinct().collect()]
         # Rows carried over are not grouped with the new ones.
@@ -384,6 +388,9 @@ def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet",
     placed = df.repartitionByRange("session_id", *order) if ranged else df
     ordered = placed.sortWithinPartitions(
         *([BUCKET] if buckets is not None else []), "session_id", *order)
+    if root is not None:
+        _write_own(ordered, path, root, named if part else None)
+        return
     # Dynamic: only the directories that get rows are replaced, once all are written.
     (ordered.write.mode("overwrite").options(**given)
      .option("partitionOverwriteMode", "dynamic" if part else "static")
@@ -398,6 +405,32 @@ def write_sessions(df: DataFrame, path: str, *, fmt: str = "parquet",
         _mark(spark, path, "_buckets", str(buckets))
 
 
+def _local(spark: SparkSession, path: str) -> str | None:
+    """The folder of a path on a local file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    return uri.getPath().rstrip("/") or None if uri.getScheme() == "file" else None
+
+
+_ALIKE = {T.BinaryType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType,
+          T.FloatType, T.DoubleType, T.DateType, T.TimestampNTZType}
+
+
+def _written_alike(spark: SparkSession, df: DataFrame) -> bool:
+    """Whether Arrow writes these columns, by the session's settings, as Spark does."""
+    def alike(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return len(kind) > 0 and all(alike(f.dataType) for f in kind)
+        return type(kind) in _ALIKE or kind == T.StringType()
+
+    kinds = [f.dataType for f in df.schema if f.name != "session_id"]
+    settings = {"spark.sql.parquet.compression.codec": "snappy",
+                "spark.sql.parquet.writeLegacyFormat": "false",
+                "spark.sql.files.maxRecordsPerFile": "0"}
+    return (0 < len(kinds) < len(df.schema) and all(map(alike, kinds))
+            and all(spark.conf.get(name) == usual for name, usual in settings.items()))
+
+
 def write_grouped(df: DataFrame, path: str) -> None:
     """One directory per session, as Parquet, into a folder that is not there yet.
 
@@ -408,21 +441,31 @@ def write_grouped(df: DataFrame, path: str) -> None:
     write.  There the tasks write through Arrow; each file appears whole and under the
     same name at every attempt.  Elsewhere Spark's own writer does.
     """
-    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    uri = fs.makeQualified(at).toUri()
-    if uri.getScheme() != "file":
+    root = _local(df.sparkSession, path)
+    if root is None:
         df.write.partitionBy("session_id").parquet(path)
         return
-    fs.mkdirs(at)
-    root, job = uri.getPath().rstrip("/"), uuid.uuid4().hex
-    special = r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]"""
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).mkdirs(at)
+    _write_files(df, root, uuid.uuid4().hex)
+
+
+# Of the name of a session, what Spark escapes in the name of its directory, and the
+# one directory of null and an empty text.
+_SPECIAL = r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]"""
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _write_files(df: DataFrame, root: str, job: str) -> None:
+    """Below a local folder a directory for each session with its file, ``job`` in its name."""
+    special, no_name = _SPECIAL, _NO_NAME
     names = [c for c in df.columns if c != "session_id"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Sent by value, with all it needs: the workers may lack this package.
         import os
         import re
+        from contextlib import suppress
         from itertools import groupby
 
         import pyarrow as pa
@@ -438,9 +481,8 @@ def write_grouped(df: DataFrame, path: str) -> None:
                 ends, start = pc.run_end_encode(batch.column(0)), 0
                 rows = pa.Table.from_arrays(batch.columns[1:], names)
                 for session, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist()):
-                    # Named as Spark does, which has one name for null and an empty text.
                     yield (re.sub(special, lambda c: f"%{ord(c[0]):02X}", session or "")
-                           or "__HIVE_DEFAULT_PARTITION__"), rows.slice(start, end - start)
+                           or no_name), rows.slice(start, end - start)
                     start = end
 
         for session, parts in groupby(runs(), key=lambda run: run[0]):
@@ -448,7 +490,9 @@ def write_grouped(df: DataFrame, path: str) -> None:
                 raise ValueError(f"the rows of session {session!r} are not together")
             done.add(session)
             folder = f"{root}/session_id={session}"
-            os.makedirs(folder, exist_ok=True)
+            # Not the root: it is gone if the job has failed meanwhile.
+            with suppress(FileExistsError):
+                os.mkdir(folder)
             # Readers pass over names with a dot in front.
             made, held = f"{folder}/.{name}.{task.taskAttemptId()}", [next(parts)[1]]
             with pq.ParquetWriter(made, held[0].schema, store_schema=False) as file:
@@ -468,6 +512,89 @@ def write_grouped(df: DataFrame, path: str) -> None:
      .mapInArrow(write, "sessions long").agg(F.sum("sessions")).collect())
 
 
+def _write_own(df: DataFrame, path: str, root: str, named: DataFrame | None) -> None:
+    """The sessions' own directories below a local folder: all of them, or those named.
+
+    Written aside, then put in place of the folder or of the named directories.
+    """
+    spark, job = df.sparkSession, uuid.uuid4().hex
+    jvm = spark._jvm.org.apache.hadoop.fs
+    parent, _, last = root.rpartition("/")
+    at = jvm.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Readers pass over names with a dot in front.
+    aside = f"{parent}/.{last}.{job}" if named is None else f"{root}/.{job}"
+    beside = fs.makeQualified(jvm.Path("file", None, aside))
+    try:
+        if not fs.mkdirs(beside):
+            raise OSError(f"cannot make {aside}")
+        _write_files(df, aside, job)
+        if named is not None:
+            _put_in_place(named, aside, root, job)
+        else:
+            fs.create(jvm.Path(beside, "_SUCCESS")).close()
+            if fs.exists(at) and not fs.delete(at, True) or not fs.rename(beside, at):
+                raise OSError(f"cannot replace {path}")
+    finally:
+        # Under another name, where no task of a failed job still writes.
+        gone = beside.suffix("-gone")
+        if fs.exists(beside) and fs.rename(beside, gone):
+            fs.delete(gone, True)
+    spark.catalog.refreshByPath(path)
+
+
+def _put_in_place(named: DataFrame, aside: str, root: str, job: str) -> None:
+    """Put each named session's files of this ``job`` in place of those it had, and remove
+    the directories of those without.  Any task may run again."""
+    special, no_name = _SPECIAL, _NO_NAME
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+        import re
+        import shutil
+        from contextlib import suppress
+
+        import pyarrow as pa
+
+        def listed(folder):
+            with suppress(FileNotFoundError):
+                return os.listdir(folder)
+            return []
+
+        n = 0
+        for batch in batches:
+            for session in batch.column(0).to_pylist():
+                name = "session_id=" + (re.sub(special, lambda c: f"%{ord(c[0]):02X}", session) or no_name)
+                new, old = f"{aside}/{name}", f"{root}/{name}"
+                for file in listed(new):
+                    if not file.startswith("."):    # of an attempt that was lost
+                        os.makedirs(old, exist_ok=True)
+                        with suppress(FileNotFoundError):
+                            os.replace(f"{new}/{file}", f"{old}/{file}")
+                with suppress(OSError):
+                    os.rmdir(new)
+                there = listed(old)
+                if session == "" and not any(job in file for file in there):
+                    continue    # it shares its directory with null
+                for file in there:
+                    if job in file:
+                        continue
+                    if os.path.isdir(f"{old}/{file}") and not os.path.islink(f"{old}/{file}"):
+                        shutil.rmtree(f"{old}/{file}", ignore_errors=True)
+                    else:
+                        with suppress(FileNotFoundError):
+                            os.remove(f"{old}/{file}")
+                if not any(job in file for file in there):
+                    with suppress(FileNotFoundError):
+                        os.rmdir(old)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"sessions": [n]})
+
+    few = named.sparkSession.sparkContext.defaultParallelism
+    (named.select(F.col("session_id").cast("string")).repartition(4 * few)
+     .mapInArrow(put, "sessions long").agg(F.sum("sessions")).collect())
+
+
 def write_table(df: DataFrame, path: str, *, fmt: str = "parquet",
                 order: Sequence[str] = ("row_order",),
                 options: Mapping[str, str] | None = None) -> None:

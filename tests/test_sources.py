@@ -262,6 +262,71 @@ def test_partial_run_of_many_sessions(spark, tmp_path, monkeypatch, kind):
     assert as_rows(back, *rows.columns) == sorted(want, key=repr)
 
 
+def directories(path):
+    return sorted({f.parent.name for f in path.glob("*/part-*")})
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+@pytest.mark.parametrize("again", [[0, 1, 4, 5, 8, 9], [0, 2, 3, 8, 9, 77], []])
+def test_own_directories_are_written_as_spark_writes_them(spark, tmp_path, monkeypatch, kind, again):
+    """All, and then some: names to escape, null and empty; new, without rows, and absent."""
+    names = [str(i) for i in range(100)] if kind == "bigint" else [
+        "a b", "b/c", "50%", "x:y=z", "#1", "[q]^", "t\ts", "Zoë", "it's", "", *map(str, range(90))]
+    cells = ["seq", "if(seq % 3 = 0, null, concat('v', seq)) AS `Time...2`", "date '2024-03-05' AS d",
+             "timestamp_ntz '2024-03-05 01:02:03.000456' AS t", "if(seq = 1, null, struct(seq AS k)) AS o"]
+    pairs = [(s, k) for i, s in enumerate(names[:10]) for k in range(1, 3 + i % 3)]
+    pairs += [(None, 1), (None, 2)] if kind == "string" else []
+    raw = spark.createDataFrame(pairs, "session_id string, seq int").repartition(5)
+    log = raw.selectExpr(f"CAST(session_id AS {kind}) AS session_id", *cells)
+    some = spark.createDataFrame([(names[i],) for i in again], "s string")
+    held = [names[i] for i in again if i % 4 < 2] + ["none"]
+    new = log.where(F.col("session_id").cast("string").isin(held)).withColumn("d", F.lit(None).cast("date"))
+    new = new.unionByName(new.where("seq = 1").withColumn("seq", F.lit(99)))
+    for way in ("own", "spark"):
+        if way == "spark":
+            monkeypatch.setattr("fieldtrace.sources.sessions._local", lambda *_: None, raising=False)
+        path = str(tmp_path / way)
+        log.limit(3).write.parquet(path)         # overwritten, whatever it was
+        write_sessions(log, path, order=["seq"], ranged=True)
+        before = directories(tmp_path / way)
+        write_sessions(new, path, order=["seq"], sessions=some)
+    one, two = (spark.read.schema(log.schema).parquet(str(tmp_path / n)) for n in ("spark", "own"))
+    columns = ["session_id", "seq", "`Time...2`", "d", "t", "o"]
+    assert as_rows(one, *columns) == as_rows(two, *columns)
+    assert spark.read.parquet(str(tmp_path / "own")).schema == spark.read.parquet(str(tmp_path / "spark")).schema
+    assert len(before) == 10 and directories(tmp_path / "own") == directories(tmp_path / "spark")
+    # No file of Hadoop's below a session, each of which costs a process on a local file system.
+    assert not list((tmp_path / "own").glob("session_id=*/.*")) and (tmp_path / "own" / "_SUCCESS").exists()
+    assert [f.name for f in tmp_path.iterdir() if f.name.startswith(".")] == []
+    assert [f.name for f in (tmp_path / "own").glob(".*") if not f.name.endswith(".crc")] == []
+
+
+def test_own_directories_stay_if_a_run_fails_and_are_placed_once(spark, tmp_path, monkeypatch):
+    from fieldtrace.sources import sessions as of
+    path, rows = str(tmp_path / "out"), spark.range(40).selectExpr(
+        "CAST(id % 8 AS string) AS session_id", "id AS seq", "'a' AS v")
+    write_sessions(rows, path, order=["seq"], ranged=True)
+    want = as_rows(spark.read.schema(rows.schema).parquet(path), *rows.columns)
+    bad = rows.withColumn("seq", F.when(F.col("seq") == 31, F.raise_error(F.lit("late")).cast("long"))
+                          .otherwise(F.col("seq")))
+    for how in ({}, {"sessions": [str(i) for i in range(8)]}):
+        with pytest.raises(Exception, match="late"):
+            write_sessions(bad, path, order=["seq"], ranged=False, **how)
+        assert as_rows(spark.read.schema(rows.schema).parquet(path), *rows.columns) == want
+        assert [f.name for f in tmp_path.iterdir()] == ["out"] and not list((tmp_path / "out").glob(".?*[!c]"))
+    put, twice = of._put_in_place, []
+
+    def put_again(*given):          # as a task does that runs a second time
+        twice.extend(put(*given) for _ in range(2))
+
+    monkeypatch.setattr(of, "_put_in_place", put_again)
+    write_sessions(rows.where("session_id < '2'").withColumn("v", F.lit("b")), path, order=["seq"],
+                   sessions=["0", "1", "2"])
+    back = spark.read.schema(rows.schema).parquet(path)
+    assert len(twice) == 2 and as_rows(back, *rows.columns) == sorted(
+        [(s, k, "b" if s < "2" else v) for s, k, v in want if s != "2"], key=repr)
+
+
 def test_partial_run_with_other_columns(spark, tmp_path):
     log = log_of(spark, SESSIONS).select("session_id", "seq", "behavior")
     write_sessions(log, str(tmp_path / "x"), order=["seq"], buckets=2)
